@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .packing import op8_best_fit_packing
 from .simhash import op2_simhash_near_dedup
 
-QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+}
 
 ORACLES: dict[str, str] = {}
