@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op7_source_mixing
 from .packing import op8_best_fit_packing
 from .simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
