@@ -46,7 +46,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                known.learn(words)
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -7,11 +7,14 @@ white-space words one after another; the frequent words of a corpus are encoded
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-MEMO_WORDS = 300_000
+#: Words that one generation of a memo holds; two generations are kept.
+MEMO_WORDS = 250_000
 
 _loaded: dict[str, object] = {}
 
@@ -23,36 +26,83 @@ def vocab_path(name: str) -> str:
 
 
 class Memo(dict):
-    """word (bytes) -> what `encode` gives for it; emptied when it holds MEMO_WORDS words."""
-
-    def __init__(self, encode: Callable[[list[bytes]], Iterable]):
-        self.encode = encode
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
+    """word -> encode(word). When a generation is full it becomes the old one, and the words that are
+    still in use move over as they are asked for."""
+
+    def __init__(self, encode: Callable):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+        self._turn()
+        self[word] = found
+        return found
+
+    def _turn(self) -> None:
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+class BatchMemo(Memo):
+    """A memo whose encode takes a list of words at once; `of` gives the values of a text's words."""
+
+    def of(self, words: list[bytes]) -> list:
+        self._turn()
+        new = []
+        for w in set(words):
+            if w not in self:
+                if w in self.old:
+                    self[w] = self.old[w]
+                else:
+                    new.append(w)
         if new:
-            if len(self) + len(new) > MEMO_WORDS:
-                self.clear()
-                new = list(set(words))
             self.update(zip(new, self.encode(new), strict=True))
+        return list(map(self.__getitem__, words))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the
+    other bytes for the code points from 256 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _word_ids(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
+#: Words of these characters need no normalising beyond lower case, and their splits are known.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")
+_SPLITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+")
+
+
+def _word_ids(path: str) -> Callable[[bytes], bytes]:
+    """For the lower-casing vocabulary with word ends. Plain words go to the model piece by piece, which
+    saves the general pipeline's overhead; all others take the whole pipeline."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return lambda words: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    model, letters = t.model, _byte_letters()
+    part = Memo(lambda p: array("I", [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes())
+
+    def encode(word: bytes) -> bytes:
+        w = word.decode()
+        if _PLAIN.fullmatch(w) and "<|" not in w:
+            return b"".join([part[p] for p in _SPLITS.findall(w.lower())])
+        return np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    return encode
 
 
-def _pieces(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
+def _pieces(path: str) -> Callable[[list[bytes]], list[bytes]]:
     import sentencepiece
 
     t = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda words: [np.array(ids, "<u4").tobytes() for ids in t.encode([w.decode() for w in words], num_threads=1)]
+    return lambda words: [array("I", ids).tobytes() for ids in t.encode([w.decode() for w in words], num_threads=1)]
 
 
-def _ranks(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
+def _ranks(path: str) -> Callable[[bytes], int]:
     import base64
 
     import public_tokenizers
@@ -62,15 +112,17 @@ def _ranks(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     # a word inside a text carries the blank before it
-    return lambda words: [np.array(t.encode_ordinary(" " + w.decode()), "<u4").tobytes() for w in words]
+    return lambda word: len(t.encode_ordinary(" " + word.decode()))
 
 
 def memo(path: str) -> Memo:
-    """The worker's memo for one vocabulary file: .json (tokenizers), .model (sentencepiece) or
-    .tiktoken. Its values are the ids as little-endian unsigned 32-bit bytes."""
+    """The worker's memo for one vocabulary file, from words as UTF-8: ids as little-endian unsigned
+    32-bit bytes for .json (tokenizers) and .model (sentencepiece), the number of ids for .tiktoken."""
     if path not in _loaded:
-        kind = _word_ids if path.endswith(".json") else _pieces if path.endswith(".model") else _ranks
-        _loaded[path] = Memo(kind(path))
+        if path.endswith(".model"):
+            _loaded[path] = BatchMemo(_pieces(path))
+        else:
+            _loaded[path] = Memo((_word_ids if path.endswith(".json") else _ranks)(path))
     return _loaded[path]
 
 
