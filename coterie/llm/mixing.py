@@ -14,8 +14,7 @@ inside the shard by sorting on a hash.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; sources without
 words get target 0; an empty table gives an empty result; rows that repeat both doc_id and text share
-their place and are taken together; other columns pass through `mixed` untouched and never clash, since
-the working columns are prefixed.
+their place and are taken together; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -83,6 +82,12 @@ def _cut(cells: DataFrame, quota: DataFrame, key: str) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """docs and, prefixed mix_: size, source_size, target, copies (how often the mix takes the document)
     and shards (the output shard of each copy)."""
+    return _mixed(docs, weights, repeats).select("mix_row.*", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_shards")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    # docs' row travels as one struct, so that no column of it can clash with the working columns
+    docs = docs.select(F.struct("*").alias("mix_row"), "doc_id", "text", "source")
     placed = _placed(docs, True)
     cells = stash(placed.groupBy("source", "mix_b1", "mix_b2").agg(F.sum("mix_size").alias("words")), "cells")
     sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, repeats)
@@ -124,7 +129,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MA
 
     out = with_source(placed, "no", "source_size", "target", "whole", "rest")
     renamed = {"no": "mix_no", "source_size": "mix_source_size", "target": "mix_target", "whole": "mix_whole", "rest": "mix_rest"}
-    # the source's columns come last; names that docs has too stay docs' own
     out = out.toDF(*placed.columns, *renamed.values())
     cut = cut.toDF("mix_no", "mix_c1", "mix_c2", "mix_c3")
     out = out.join(known(out, cut), "mix_no", "left").join(known(out, dealt.toDF("mix_no", "mix_b1", "mix_dealt")), ["mix_no", "mix_b1"], "left")
@@ -132,16 +136,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MA
     before = (p1 < F.col("mix_c1")) | ((p1 == F.col("mix_c1")) & ((p2 < F.col("mix_c2")) | ((p2 == F.col("mix_c2")) & (F.col("mix_h") <= F.coalesce(F.col("mix_c3"), F.lit(-(1 << 63)))))))
     extra = F.when((F.col("mix_rest") > 0) & (F.col("mix_c1").isNull() | before), 1).otherwise(0)
     return out.withColumn("mix_copies", (F.col("mix_whole") + extra).cast("int")).select(
-        *docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", F.slice(F.coalesce("mix_dealt", F.array().cast("array<int>")), F.lit(1), F.col("mix_copies")).alias("mix_shards")
+        "mix_row", "mix_size", "mix_source_size", "mix_target", "mix_copies", F.slice(F.coalesce("mix_dealt", F.array().cast("array<int>")), F.lit(1), F.col("mix_copies")).alias("mix_shards")
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: docs' columns, one row per taken copy, by shard and shuffled inside each."""
-    rows = mixed(docs, weights, repeats).select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    shuffled = F.xxhash64(F.lit(SEED + 1), "doc_id", "text", "mix_copy")
-    rows = rows.withColumn("mix_turn", shuffled)
-    return rows.repartition("mix_shard", F.pmod("mix_turn", F.lit(BLOCKS))).sortWithinPartitions("mix_shard", "mix_turn").select(*docs.columns)
+    rows = _mixed(docs, weights, repeats).select("mix_row", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    rows = rows.withColumn("mix_turn", F.xxhash64(F.lit(SEED + 1), "mix_row.doc_id", "mix_row.text", "mix_copy"))
+    rows = rows.repartition("mix_shard", F.pmod("mix_turn", F.lit(BLOCKS))).sortWithinPartitions("mix_shard", "mix_turn")
+    return rows.select("mix_row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .mixing import op7_source_mixing
 from .packing import op8_best_fit_packing
+from .quality import op5_quality_rules
 from .simhash import op2_simhash_near_dedup
+from .urls import OP4_ORACLE, op4_url_filters
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_url_filters": op4_url_filters,
+    "op5_quality_rules": op5_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filters": OP4_ORACLE,
+}

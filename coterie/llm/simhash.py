@@ -61,14 +61,14 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) for every row of docs."""
+    """(doc_id, text_hash, fp) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, words_each) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, words_each) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -148,16 +148,34 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_lists, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
+def _grouped(docs: DataFrame, words_each: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, root, component_id) of the distinct ones."""
     fps = stash(fingerprints(docs, words_each), "fingerprints")
     root = components(links(fps))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     member = least.join(root, least.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     of_root = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = member.join(of_root, "root").select("fp", "component_id")
+    return fps, member.join(of_root, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs."""
+    fps, by_fp = _grouped(docs, words_each)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of docs for each group of near-duplicates: that of the least doc_id (rows without an id
+    come last, rows of one id go by the hash of their text), and one of it if it is repeated."""
+    fps, by_fp = _grouped(docs, words_each)
+    rows = fps.join(by_fp, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("k")
+    keep = stash(rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), F.col("k.n").alias("n")), "keep")
+    named = docs["doc_id"].cast("long").eqNullSafe(keep["keep_id"]) & (F.xxhash64(docs["text"]) == keep["keep_hash"])
+    once = docs.join(keep.where(keep["n"] == 1), named, "left_semi")
+    again = docs.join(keep.where(keep["n"] > 1), named, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(again)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
