@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import op6_license_scans
 from .mixing import op7_source_mixing
 from .packing import op8_best_fit_packing
 from .quality import op5_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scans": op6_license_scans,
     "op7_source_mixing": op7_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
