@@ -5,12 +5,14 @@ from __future__ import annotations
 from .licenses import op6_license_scans
 from .mixing import op7_source_mixing
 from .packing import op8_best_fit_packing
+from .preferences import OP3_ORACLE, op3_preference_formatting
 from .quality import op5_quality_rules
 from .simhash import op2_simhash_near_dedup
 from .urls import OP4_ORACLE, op4_url_filters
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_preference_formatting": op3_preference_formatting,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scans": op6_license_scans,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_preference_formatting": OP3_ORACLE,
     "op4_url_filters": OP4_ORACLE,
 }
