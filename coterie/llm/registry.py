@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import op6_license_scans
 from .mixing import op7_source_mixing
+from .neighbours import op10_embedding_near_dedup
 from .packing import op8_best_fit_packing
 from .preferences import OP3_ORACLE, op3_preference_formatting
 from .quality import op5_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_license_scans": op6_license_scans,
     "op7_source_mixing": op7_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
