@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import op6_license_scans
+from .lm import op1_lm_scoring
 from .mixing import op7_source_mixing
 from .neighbours import op10_embedding_near_dedup
 from .packing import op8_best_fit_packing
@@ -12,6 +13,7 @@ from .simhash import op2_simhash_near_dedup
 from .urls import OP4_ORACLE, op4_url_filters
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_preference_formatting": op3_preference_formatting,
     "op4_url_filters": op4_url_filters,
