@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .htmltext import op9_html_extraction
 from .licenses import op6_license_scans
 from .lm import op1_lm_scoring
 from .mixing import op7_source_mixing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_license_scans": op6_license_scans,
     "op7_source_mixing": op7_source_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
