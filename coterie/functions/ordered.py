@@ -28,7 +28,7 @@ def running(df: DataFrame, by: str, tie: list[str], sums: dict[str, Column], des
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     across = W.orderBy(F.col("_range").desc() if descending else F.col("_range")).rowsBetween(W.unboundedPreceding, -1)
     before = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = W.partitionBy("_range").orderBy(way(by), *tie)
+    inside = W.partitionBy("_range").orderBy(way(by), *([] if peers else tie))
     inside = inside.rangeBetween(W.unboundedPreceding, W.currentRow) if peers else inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = ranged.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(F.broadcast(before), "_range")
     return out.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])

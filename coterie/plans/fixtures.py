@@ -35,7 +35,7 @@ def joined(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """(id, y, p): a fixed score between 0 and 1 on orders, with ties."""
-    p = F.round((F.col("o_totalprice") % 1000) / 1000, 3)
+    p = F.floor(F.col("o_totalprice") % 1000) / 1000
     return active(spark, sf).select("id", "y", p.alias("p"))
 
 
@@ -58,7 +58,7 @@ ACTIVE = "active AS (SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS INTEGE
 PASSIVE = "passive AS (SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS n_lines, sum(l_quantity) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, round(avg(l_tax), 6) AS avg_tax, round(sum(l_extendedprice), 2) AS sum_price FROM lineitem GROUP BY 1)"
 JOINED = f"{ACTIVE}, {PASSIVE}, joined AS (SELECT a.id, y, o_totalprice, priority, n_lines, sum_qty, avg_disc, avg_tax, sum_price FROM active a JOIN passive p ON a.id = p.id)"
 LONG = "long AS (SELECT id, y, feature, value FROM (UNPIVOT (SELECT id, y, n_lines, sum_qty, avg_disc, avg_tax, sum_price FROM joined) ON n_lines, sum_qty, avg_disc, avg_tax, sum_price INTO NAME feature VALUE value))"
-SCORED = f"{ACTIVE}, scored AS (SELECT id, y, round((o_totalprice % 1000) / 1000, 3) AS p FROM active)"
+SCORED = f"{ACTIVE}, scored AS (SELECT id, y, floor(o_totalprice % 1000) / 1000 AS p FROM active)"
 DIRTY = "dirty AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS brand, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_type END AS type FROM part)"
 CLIENTS = "clients AS (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS client_id, value, day(ts) AS day, ts FROM events)"
 VECTORS = "vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"

@@ -12,6 +12,7 @@ from ..operators.transform import bin_code
 
 def windowed_bins(events: DataFrame, edges: Sequence[float], window: str = "1 day", lateness: str = "2 days") -> DataFrame:
     """(start, bin, n) per event-time window, for batch and streaming tables with ts and value."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     stream = events.withWatermark("ts", lateness) if events.isStreaming else events
     return stream.groupBy(F.window("ts", window).alias("w"), bin_code(F.col("value"), edges).alias("bin")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "bin", "n")
 
