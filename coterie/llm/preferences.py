@@ -12,6 +12,11 @@ one with more assistant characters is chosen, the earlier one if they have equal
 has no partner and no row. Ranks come from counts by salt and a row number inside each salt, so one very
 common opening is spread over many tasks.
 
+The whole query leaves nobody out. Whoever has no partner in an opening is paired across openings: in
+buckets of the md5 of conv_id, in the order of conv_id, and the odd ones of the buckets with each other.
+Prompts of such pairs are empty. If the number of conversations is odd, the last has a null rejected_id
+and all its turns are its completion.
+
 Cases: exact repeats of a row count once; several different rows of one turn number are turns one after
 another, by role and text (nulls first); null turn numbers come first; null role or text renders as
 empty; rows with a null conv_id belong to no conversation and are left out; a pair of equal conversations
@@ -40,8 +45,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     return t.withColumn("part", part).withColumn("same", same)
 
 
-def opening_pairs(turns: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(chosen_id, rejected_id) of conversations that open with the same turn."""
+def _openings(turns: DataFrame, salts: int) -> DataFrame:
+    """(conv_id, opening, n, rank): the first turn, the assistant characters and the rank in the opening."""
     order = F.struct("turn", "part")
     length = F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0))
     convs = turns.groupBy("conv_id").agg(F.min_by("same", order).alias("opening"), F.coalesce(length, F.lit(0)).alias("n"))
@@ -50,13 +55,38 @@ def opening_pairs(turns: DataFrame, salts: int = SALTS) -> DataFrame:
     before = F.sum("c").over(W.partitionBy("opening").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("opening", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(W.partitionBy("opening", "salt").orderBy("conv_id")) - 1
-    ranked = convs.withColumn("rank", rank).join(sums, ["opening", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    pairs = ranked.groupBy("opening", F.expr("rank div 2").alias("pair")).agg(
+    return convs.withColumn("rank", rank).join(sums, ["opening", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+
+
+def _couples(ranked: DataFrame, *keys: str) -> DataFrame:
+    """Neighbours in rank under the keys: k of them (two, or one at an odd end), the chosen one as best."""
+    return ranked.groupBy(*keys, F.expr("rank div 2").alias("pair")).agg(
         F.count("*").alias("k"),
         F.max(F.struct("n", (-F.col("rank")).alias("late"), "conv_id")).alias("best"),
         F.min(F.struct("n", (-F.col("rank")).alias("late"), "conv_id")).alias("rest"),
     )
-    return pairs.where("k = 2").select(F.col("best.conv_id").alias("chosen_id"), F.col("rest.conv_id").alias("rejected_id"))
+
+
+def _ids(couples: DataFrame) -> DataFrame:
+    return couples.where("k = 2").select(F.col("best.conv_id").alias("chosen_id"), F.col("rest.conv_id").alias("rejected_id"))
+
+
+def opening_pairs(turns: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(chosen_id, rejected_id) of conversations that open with the same turn."""
+    return _ids(_couples(_openings(turns, salts), "opening"))
+
+
+def whole_pairs(turns: DataFrame, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+    """(chosen_id, rejected_id) over all conversations, each in one pair, and (conv_id) of the one that is
+    left if their number is odd."""
+    bucket = F.substring(F.md5(F.col("conv_id").cast("string")), 1, 3).alias("bucket")
+    odd = lambda couples: couples.where("k = 1").select("best.n", "best.conv_id").select("n", "conv_id", bucket)
+    alike = stash(_couples(_openings(turns, salts), "opening"), "couples")
+    near = odd(alike).withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("conv_id")) - 1)
+    near = stash(_couples(near, "bucket"), "couples")
+    # at most one a bucket is left, 4096 rows
+    last = stash(_couples(odd(near).withColumn("rank", F.row_number().over(W.orderBy("bucket")) - 1)), "couples")
+    return _ids(alike).union(_ids(near)).union(_ids(last)), odd(last).select("conv_id")
 
 
 def render(role: Column, text: Column) -> tuple[Column, Column]:
@@ -87,11 +117,27 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def format_alone(turns: DataFrame, alone: DataFrame) -> DataFrame:
+    """Rendered segments, as format_pairs gives them, of conversations (conv_id) without a partner."""
+    head, body = render(F.col("role"), F.col("text"))
+    learns, rendered, none = F.coalesce("role", F.lit("")) == "assistant", F.concat(head, body), F.lit(None).cast("long")
+    return turns.join(alone, "conv_id").select(
+        F.col("conv_id").alias("chosen_id"), none.alias("rejected_id"), F.lit("chosen").alias("segment"), "turn", F.col("part").cast("long").alias("turn_part"), "role", rendered.alias("rendered"),
+        F.when(learns, F.length(head)).otherwise(0).cast("long").alias("loss_start"), F.when(learns, F.length(rendered)).otherwise(0).cast("long").alias("loss_end"), F.lit(0).cast("long").alias("n_prompt_turns"),
+    )
+
+
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns_of(table(spark, sf_dir, "conversations"))
     return format_pairs(turns, opening_pairs(turns))
 
 
+def op3_preference_formatting_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    pairs, alone = whole_pairs(turns)
+    return format_pairs(turns, pairs).union(format_alone(turns, alone))
+
+
 OP3_ORACLE = """
 WITH t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS part,
@@ -130,3 +176,25 @@ SELECT chosen_id, rejected_id, segment, turn, part AS turn_part, role, head || b
   CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS loss_start,
   CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(head || body) ELSE 0 END AS loss_end, n_prompt_turns
 FROM cut"""
+
+#: The same but for the couples: each conversation is in one, the last one with nobody if the number is odd.
+_COUPLES = """couples AS (
+  SELECT a.conv_id AS one, b.conv_id AS two, a.n AS n1, b.n AS n2
+  FROM {r} a JOIN {r} b ON a.{key} = b.{key} AND a.rank % 2 = 0 AND b.rank = a.rank + 1)"""
+_LEFT = "SELECT conv_id, n, substr(md5(CAST(conv_id AS VARCHAR)), 1, 3) AS bucket, 0 AS everything FROM {r} a WHERE rank % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {r} b WHERE a.{key} = b.{key} AND b.rank = a.rank + 1)"
+_STEPS = [("ranked", "opening"), ("ranked2", "bucket"), ("ranked3", "everything")]
+OP3_WHOLE_ORACLE = (
+    OP3_ORACLE[: OP3_ORACLE.index("couples AS (")]
+    + f"""left1 AS ({_LEFT.format(r="ranked", key="opening")}),
+ranked2 AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY conv_id) - 1 AS rank FROM left1),
+left2 AS ({_LEFT.format(r="ranked2", key="bucket")}),
+ranked3 AS (SELECT *, row_number() OVER (ORDER BY bucket) - 1 AS rank FROM left2),
+"""
+    + ", ".join(f"step{k}_{_COUPLES.format(r=r, key=key)}" for k, (r, key) in enumerate(_STEPS))
+    + f""",
+couples AS (
+  SELECT * FROM step0_couples UNION ALL SELECT * FROM step1_couples UNION ALL SELECT * FROM step2_couples
+  UNION ALL SELECT conv_id, NULL, n, -1 FROM ({_LEFT.format(r="ranked3", key="everything")})),
+"""
+    + OP3_ORACLE[OP3_ORACLE.index("pairs AS (") :].replace("s.rejected_id = w.rejected_id", "s.rejected_id IS NOT DISTINCT FROM w.rejected_id")
+)

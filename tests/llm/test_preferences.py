@@ -29,3 +29,30 @@ def test_against_sql_and_by_hand(spark):
         assert (r[8] > 0) == (r[2] != "prompt" and r[5] == "assistant")
     empty = preferences.turns_of(df.limit(0))
     assert preferences.format_pairs(empty, preferences.opening_pairs(empty)).count() == 0
+
+
+def test_whole_covers_every_conversation(spark):
+    for rows in (ROWS, [r for r in ROWS if r[0] != 20], ROWS[:4]):
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        turns = preferences.turns_of(df)
+        pairs, alone = preferences.whole_pairs(turns)
+        got = sorted(map(tuple, preferences.format_pairs(turns, pairs).union(preferences.format_alone(turns, alone)).collect()), key=str)
+        con = duckdb.connect()
+        con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+        assert sorted(con.execute(preferences.OP3_WHOLE_ORACLE).fetchall(), key=str) == got
+        ids = {r[0] for r in rows if r[0] is not None}
+        couples = {r[:2] for r in got}
+        assert sorted(i for c in couples for i in c if i is not None) == sorted(ids)
+        assert sum(c[1] is None for c in couples) == len(ids) % 2
+        assert len(rows) == 4 or {(1, 64), (65, 2), (10, 11), (-6, -5)} <= couples
+    empty = turns.limit(0)
+    pairs, alone = preferences.whole_pairs(empty)
+    assert pairs.count() == 0 and alone.count() == 0
+
+
+def test_whole_query_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = preferences.op3_preference_formatting_whole(spark, sf).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    assert len(got) > 0 and sorted(con.execute(preferences.OP3_WHOLE_ORACLE).fetchall(), key=str) == sorted(map(tuple, got), key=str)
