@@ -4,9 +4,9 @@ Two public vocabularies read every whole text. The piece vocabulary (BPE with by
 characters per token, the share of byte-fallback tokens and the entropy of the text's token
 distribution; a byte-level vocabulary for many languages gives a second characters-per-token figure.
 Ordinary prose of a language sits in a narrow band of each; symbol noise, shouting, tables, wrong
-encodings and repetition leave it. The bands are medians and quartile spreads over all documents of the
-language (the script where the language is null), by approximate percentiles that Spark merges from
-partial sketches. A measure spreads more in short texts, so a band opens with one over the square root
+encodings and repetition leave it. The bands are medians and quartile spreads over the distinct texts of
+the language (the script where the language is null) that pass the base rules, so neither copies nor
+junk shape them; they are approximate percentiles that Spark merges from partial sketches. A measure spreads more in short texts, so a band opens with one over the square root
 of the token count, and texts under MIN_TOKENS tokens are not judged by it.
 
 Cases: a null text is an empty text and, having under ten words, fails the base rules; a null language
@@ -118,12 +118,13 @@ def _band(c: str) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, base counts, fertility measures, base_failed, kept) for every row of docs."""
     m = stash(measures(docs), "measures").withColumn("grp", F.coalesce("lang", F.concat(F.lit("script:"), "script")))
-    judged = m.where(F.col("n_tokens") >= MIN_TOKENS)
-    bands = judged.groupBy("grp").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"{c}_q") for c in LEAST_SPREAD])
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    judged = m.where((F.col("n_tokens") >= MIN_TOKENS) & ~failed)
+    once = judged.groupBy("grp", "text_hash").agg(*[F.max(c).alias(c) for c in LEAST_SPREAD])
+    bands = once.groupBy("grp").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"{c}_q") for c in LEAST_SPREAD])
     out = m.join(bands, "grp", "left")
     leaves = [_band(c) for c in LEAST_SPREAD]
     unusual = (F.col("n_tokens") >= MIN_TOKENS) & (leaves[0] | leaves[1] | leaves[2] | leaves[3])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~unusual)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return out.select(*names, "n_tokens", "chars_per_token", "chars_per_token_bytes", "fallback_share", "entropy", "text_hash")

@@ -69,3 +69,19 @@ def test_fertility_of_a_whole_text(judged):
 
 def test_empty(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_copies_and_junk_do_not_shape_the_bands(spark):
+    rng = random.Random(5)
+    plain, long = ["the", "house", "and", "water", "over", "people", "green", "time"], ["zxqv", "qwrtk", "vbnmz", "kjhgf", "xzcvb"]
+    # the share of rare words runs from none to a half, so the measures spread widely
+    rows = [(i, " ".join(rng.choice(long if rng.random() < i / 400 else plain) for _ in range(300)), "en") for i in range(200)]
+    rows += [(1000 + i, prose(rng, plain + long, 300), "de") for i in range(200)]
+    copies = [(2000 + i, rows[100][1], "en") for i in range(200)]
+    junk = [(3000 + i, " ".join(["house"] * (300 + i)), "en") for i in range(300)]
+    verdicts = []
+    for more in ([], copies, junk):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        verdicts.append({r.doc_id: r.kept for r in quality.judge(docs).where("doc_id < 1000").collect()})
+    assert sum(verdicts[0].values()) >= 195
+    assert verdicts[1] == verdicts[0] and verdicts[2] == verdicts[0]
