@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -126,6 +127,27 @@ def distance_correlation(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> D
     return row.select(F.sqrt(part(0) / F.sqrt(part(1) * part(2))).alias("dcor"))
 
 
+def distance_correlation_vectors(df: DataFrame, vec: str, cut: int) -> DataFrame:
+    """(dcor) as above for two parties' parts of a vector of doubles, cut at `cut`. Each task adds up one
+    matrix of centred products, so many dimensions need no aggregate per pair of them."""
+    means = df.select(F.posexplode(vec).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").collect()
+    mean = np.array([r["m"] for r in means])
+    d = len(mean)
+
+    def products(batches):
+        total = np.zeros((d, d))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.ravel())], ["k", "s"])
+
+    own = F.col("k") % d < cut
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("s") * F.col("s"))), F.lit(0.0))
+    sums = df.select(vec).mapInArrow(products, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
+    left = F.floor(F.col("k") / d) < cut
+    return sums.agg(part(left & ~own).alias("ab"), part(left & own).alias("aa"), part(~left & ~own).alias("bb")).select(F.sqrt(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("dcor"))
+
+
 def label_dp(label: Column, n_classes: int, epsilon: float, seed: int) -> Column:
     """Randomised response: keeps the label with the odds that epsilon allows, else one of the others."""
     stay = float(np.exp(epsilon) / (np.exp(epsilon) + n_classes - 1))

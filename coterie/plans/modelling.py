@@ -414,11 +414,16 @@ def kmeans_inertia(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_constrained(spark: SparkSession, sf: str) -> DataFrame:
-    v = fx.vectors(spark, sf).withColumn("seed", F.when(F.col("vec_id") < 100, F.col("label")).otherwise(-1))
+    v = fx.vectors(spark, sf).withColumn("seed", F.when(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 0, F.col("label")).otherwise(-1))
     model = kmeans.SeededKMeans(10, "vec_id", "vec", "seed", constrained=True, max_iter=3).fit(v)
     return model.predict(v).select("vec_id", "cluster")
 
 
+@query(f"WITH {fx.VECTORS} SELECT label AS cluster, CAST(i - 1 AS INTEGER) AS dim, round(avg(vec[i]), 6) AS mean FROM vectors, range(1, 65) r(i) GROUP BY 1, 2")
+def kmeans_labelled_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return kmeans.centroids(fx.vectors(spark, sf), "vec", "label").withColumn("mean", F.round("mean", 6))
+
+
 # --- federated and split learning ---
 
 _PARAMS = "params AS (SELECT client_id, CAST(count(*) AS BIGINT) AS n, 'layer' || CAST(day % 4 AS VARCHAR) AS name, CAST(0 AS INTEGER) AS idx, round(avg(value), 6) AS value FROM clients GROUP BY 1, 3)"
@@ -512,6 +517,11 @@ def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return neural.distance_correlation(v, ["v0", "v1", "v2", "v3"], ["v32", "v33", "v34", "v35"]).select(F.round("dcor", 6).alias("dcor"))
 
 
+@query()
+def distance_correlation_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return neural.distance_correlation_vectors(fx.vectors(spark, sf), "vec", 32).select(F.round("dcor", 6).alias("dcor"))
+
+
 @query()
 def split_network(spark: SparkSession, sf: str) -> DataFrame:
     j = transform.scale(fx.joined(spark, sf), fx.FEATURES)

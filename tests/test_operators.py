@@ -368,3 +368,31 @@ def test_entry_stands_without_the_corpus_operators():
     root = str(Path(__file__).resolve().parent.parent)
     code = "import sys; sys.modules['coterie.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_distance_correlation_of_all_dimensions(spark, tmp_path):
+    from coterie.plans import registry
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 64)) + 3
+    x[:, 40:] += x[:, 8:32]
+    spark.createDataFrame([(i, list(map(float, r)), i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["distance_correlation_whole"](spark, str(tmp_path)).first()["dcor"]
+
+    def centred(v):
+        d = ((v[:, None] - v[None]) ** 2).sum(-1)
+        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+
+    a, b = centred(x[:, :32]), centred(x[:, 32:])
+    assert got == pytest.approx(np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean())), abs=2e-6)
+
+
+def test_labels_beyond_the_first_ids_count(spark, tmp_path):
+    from coterie.plans import registry
+
+    rng = np.random.default_rng(5)
+    rows = [(1000 + i, list(map(float, rng.standard_normal(64) + 20 * (i % 10))), i % 10) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert registry.QUERIES["kmeans_labelled_centroids"](spark, str(tmp_path)).count() == 640
+    label = {i: y for i, _, y in rows}
+    assert all(r.cluster == label[r.vec_id] for r in registry.QUERIES["kmeans_constrained"](spark, str(tmp_path)).collect())
