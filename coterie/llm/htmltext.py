@@ -9,13 +9,19 @@ node stands inside a dropped one; the text that kept nodes hold directly is the
 The trees are trained here, on TRAINING_PAGES generated pages whose main text is known (a documented,
 fixed bound; no table is needed), once per process, and travel to the tasks as a few arrays.
 
-Cases: null and empty pages give empty text; broken markup is read as far as it goes; repeated rows are
+The generated pages differ in words, markup habits and names: many have no article element, no class at
+all or classes that tell nothing, so that density, place and siblings carry the decision there.
+
+Cases: null and empty pages give empty text; broken markup is read as far as it goes, and a control or
+drawing that is never closed costs no text after it; a very long or hostile page is read in one linear
+pass; where two labellings are equally likely (a gain of exactly 0) the node is dropped; repeated rows are
 read each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,89 +32,110 @@ from pyspark.sql import functions as F
 
 from .base import table
 from .dom import Page
+from .pagegen import KINDS, generated_page, varied_page
 
-TRAINING_PAGES = 500
-TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
+#: Training pages with telling names, and varied ones.
+TRAINING_PAGES = 400, 700
+TREES, DEPTH, RATE, BINS = 100, 4, 0.25, 32
+#: Share of the features that one tree sees.
+COLUMNS = 0.3
 
 _TAGS = ("p", "div", "section", "article", "main", "body", "header", "footer", "nav", "aside", "form", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "figure", "h1", "h2", "h3", "dl")
-#: Attribute tokens by kind.
-_KINDS = (
-    frozenset("article articlebody content main post entry story text body page prose document".split()),
-    frozenset("nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs topbar".split()),
-    frozenset("header masthead head logo branding site title".split()),
-    frozenset("footer foot copyright legal colophon bottom".split()),
-    frozenset("sidebar side aside rail widget widgets secondary complementary".split()),
-    frozenset("ad ads advert adverts advertisement sponsor sponsored promo promoted banner banners adslot".split()),
-    frozenset("cookie cookies consent notice notices gdpr alert popup modal overlay privacy warning".split()),
-    frozenset("comment comments reply replies discussion respond disqus feedback commentlist reader".split()),
-    frozenset("form search login signup subscribe newsletter register contact".split()),
-    frozenset("share social related recommended recommendations tags meta author byline trending popular".split()),
-)
+_OWN = re.compile("\u00a9|(?i:copyright|all rights reserved|cookies?|subscribe|newsletter|advertisement|sponsored|log in|sign in|sign up|comments?|repl(?:y|ies))\\b")
+_MEASURES = 46
 
 
 def features(page: Page) -> np.ndarray:
     """One row per node."""
     n = len(page.tag)
-    own = np.zeros(n)
-    stops = np.zeros(n)
-    pieces = np.zeros(n)
+    own, stops, signs, first, last = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, np.inf), np.zeros(n)
+    total = 0
     for node, _, text in page.pieces:
         size = len(text.strip())
         if size:
+            first[node] = min(first[node], total)
+            total += size
+            last[node] = total
             own[node] += size
-            pieces[node] += 1
-            stops[node] += text.count(". ") + text.count(", ")
+            stops[node] += text.count(". ") + text.count(", ") + text.rstrip().endswith(".")
+            if size < 400 and _OWN.search(text):
+                signs[node] += 1
     parent = np.array(page.parent)
-    links = np.array(page.links, float)
-    size, link, stop, tags, kids = own.copy(), links.copy(), stops.copy(), np.ones(n), np.zeros(n)
+    heading = np.array([len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in page.tag], float)
+    tops = np.array([t == "h1" for t in page.tag], float)
     paragraphs = np.array([t == "p" for t in page.tag], float)
+    link, anchors, control = np.array(page.links, float), np.array(page.n_links, float), np.array(page.controls, float)
+    size, tags, kids, kid_p, flow = own.copy(), np.ones(n), np.zeros(n), np.zeros(n), own - link
+    stop, sign, heads, h1s, ps = stops.copy(), signs.copy(), heading.copy(), tops.copy(), paragraphs.copy()
+    up = page.parent
     for k in range(n - 1, 0, -1):
-        p = parent[k]
+        p = up[k]
         size[p] += size[k]
         link[p] += link[k]
+        anchors[p] += anchors[k]
+        control[p] += control[k]
         stop[p] += stop[k]
+        sign[p] += sign[k]
         tags[p] += tags[k]
-        paragraphs[p] += paragraphs[k]
+        ps[p] += ps[k]
+        heads[p] += heads[k]
+        h1s[p] += h1s[k]
         kids[p] += 1
-    x = np.zeros((n, 14 + len(_TAGS) + 2 * len(_KINDS)), np.float32)
-    x[:, 0] = page.depth
-    x[:, 1] = np.log1p(size)
-    x[:, 2] = size / max(size[0], 1)
-    x[:, 3] = link / np.maximum(size, 1)
-    x[:, 4] = tags / np.maximum(size, 1)
-    x[:, 5] = stop / np.maximum(size, 1)
-    x[:, 6] = own / np.maximum(size, 1)
-    x[:, 7] = kids
-    x[:, 8] = np.log1p(paragraphs)
-    up = np.maximum(parent, 0)
-    x[:, 9] = kids[up]
-    x[:, 10] = size / np.maximum(size[up], 1)
-    index, same, seen = np.zeros(n), np.zeros(n), {}
+        kid_p[p] += paragraphs[k]
+        flow[p] += own[k] - page.links[k]  # unlinked text in the node itself and right below it
+        first[p] = min(first[p], first[k])
+        last[p] = max(last[p], last[k])
+    densest = flow.copy()
+    for k in range(n - 1, 0, -1):
+        densest[up[k]] = max(densest[up[k]], densest[k])
+    above = flow.copy()
     for k in range(1, n):
-        key = parent[k], page.tag[k]
-        index[k] = seen[parent[k]] = seen.get(parent[k], -1) + 1
+        above[k] = max(above[k], above[up[k]])
+    top = max(flow.max(), 1.0)
+    index, same, seen, before, after, largest = np.zeros(n), np.zeros(n), {}, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    latest: dict[int, int] = {}
+    for k in range(1, n):
+        p = up[k]
+        key = p, page.tag[k]
+        index[k] = seen[p] = seen.get(p, -1) + 1
         seen[key] = seen.get(key, 0) + 1
+        if p in latest:
+            before[k], after[latest[p]] = latest[p], k
+        latest[p] = k
+        largest[p] = max(largest[p], size[k])
     for k in range(1, n):
-        same[k] = seen[parent[k], page.tag[k]]
-    x[:, 11] = index / np.maximum(kids[up], 1)
-    x[:, 12] = same
-    x[:, 13] = np.log1p(size / np.maximum(kids, 1))
-    number = {t: 14 + k for k, t in enumerate(_TAGS)}
-    first = 14 + len(_TAGS)
+        same[k] = seen[up[k], page.tag[k]]
+    place = np.maximum(parent, 0)
+    grand = np.maximum(parent[place], 0)
+    some, all_ = np.maximum(size, 1), max(size[0], 1.0)
+    density = link / some
+    first = np.where(np.isfinite(first), first, 0)
+    marked = float("article" in page.tag) + 2.0 * ("main" in page.tag)
+    title = np.flatnonzero(tops)
+    title_at = first[title[0]] if len(title) else -1.0
+    x = np.zeros((n, _MEASURES + len(_TAGS) + 2 * len(KINDS)), np.float32)
+    x[:, :_MEASURES] = np.stack([
+        page.depth, np.log1p(size), size / all_, density, tags / some, stop / some, own / some, kids, np.log1p(ps), kids[place], size / some[place], index / np.maximum(kids[place], 1), same,
+        np.log1p(size / np.maximum(kids, 1)), density[place], np.log1p(size[place]), stop[place] / some[place], first / all_, last / all_, density[before] * (before > 0), np.log1p(size[before]) * (before > 0),
+        density[after] * (after > 0), np.log1p(size[after]) * (after > 0), size / np.maximum(largest[place], 1), np.log1p(anchors), anchors / (kids + 1), sign / np.maximum(tags, 1), np.minimum(signs, 3), kid_p[place],
+        size[grand] / all_, heads, h1s, h1s[place], first - title_at > 0, (first < title_at) * (title_at >= 0), flow[place] / top, flow / top, densest / top, above[place] / top, density[grand], np.log1p(stop), np.log1p(link), np.full(n, marked), np.full(n, np.log1p(all_)), np.log1p(control), np.log1p(control[place]),
+    ], 1)
+    number = {t: _MEASURES + k for k, t in enumerate(_TAGS)}
+    at_own = _MEASURES + len(_TAGS)
     for k in range(n):
         at = number.get(page.tag[k])
         if at:
             x[k, at] = 1
         if page.names[k]:
-            for j, kind in enumerate(_KINDS):
+            for j, kind in enumerate(KINDS):
                 if page.names[k] & kind:
-                    x[k, first + j] = 1
+                    x[k, at_own + j] = 1
     # ancestors: token kinds, and standing tags of page furniture as if they were tokens
-    a = first + len(_KINDS)
+    a = at_own + len(KINDS)
     furniture = {"nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 8, "article": 0, "main": 0}
     for k in range(1, n):
-        p = parent[k]
-        x[k, a:] = np.maximum(x[p, a:], x[p, first:a])
+        p = up[k]
+        x[k, a:] = np.maximum(x[p, a:], x[p, at_own:a])
         if page.tag[p] in furniture:
             x[k, a + furniture[page.tag[p]]] = 1
     return x
@@ -127,7 +154,9 @@ class Boosted:
         rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
         self.start = np.log(rate / (1 - rate))
         score = np.full(n, self.start)
+        rng = np.random.default_rng(3)
         for t in range(TREES):
+            columns = np.sort(rng.choice(m, max(1, int(COLUMNS * m)), replace=False))
             p = 1 / (1 + np.exp(-score))
             g, h = p - y, p * (1 - p)
             node = np.zeros(n, np.int64)
@@ -135,7 +164,7 @@ class Boosted:
                 width = 2**d
                 best = np.full(width, 1e-6)
                 choice: list = [None] * width
-                for f in range(m):
+                for f in columns.tolist():
                     if not len(edges[f]):
                         continue
                     key = node * (BINS + 1) + codes[:, f]
@@ -182,78 +211,7 @@ def decode(parent: list[int], log_odds: np.ndarray) -> list[bool]:
     return keep
 
 
-# --- generated training pages ---
-
-
-def _words(rng: random.Random, low: int, high: int) -> str:
-    parts = ("er", "on", "the", "an", "re", "ou", "ti", "st", "en", "ie", "la", "de", "ch", "ó", "é", "ment", "ing", "ge")
-    out = []
-    for _ in range(rng.randint(low, high)):
-        w = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
-        out.append(rng.choice((w, w, w, w, w, w + ",", w + ".", w.upper() + "!!", w + " |", w + "%%%")) if rng.random() < 0.5 else w)
-    return " ".join(out)
-
-
-def _tagged(rng: random.Random, kind: int, tag: str, inner: str) -> str:
-    token = rng.choice(sorted(_KINDS[kind]))
-    attr = rng.choice((f' class="{token}"', f' id="{token}"', f' class="{token} x{rng.randint(0, 9)}"', f' class="site-{token}"', f' class="{token}-box wide"'))
-    return f"<{tag}{attr}>{inner}</{tag}>"
-
-
-def _main(rng: random.Random) -> str:
-    out = [f"<h1>{_words(rng, 1, 12)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 20))):
-        r, text = rng.random(), _words(rng, *rng.choice(((1, 3), (3, 30), (20, 120), (100, 400))))
-        if r < 0.7:
-            out.append(rng.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><a href='/x'>{_words(rng, 1, 3)}</a> {text}</p>")))
-        elif r < 0.78:
-            out.append(f"<h2>{_words(rng, 1, 8)}</h2>")
-        elif r < 0.84:
-            out.append(f"<ul>{''.join(f'<li>{_words(rng, 1, 20)}</li>' for _ in range(rng.randint(1, 6)))}</ul>")
-        elif r < 0.88:
-            out.append(f"<table>{''.join(f'<tr><td>{_words(rng, 1, 4)}</td><td>{_words(rng, 1, 4)}</td></tr>' for _ in range(rng.randint(1, 6)))}</table>")
-        elif r < 0.92:
-            out.append(f"<blockquote><p>{text}</p></blockquote>")
-        elif r < 0.95:
-            out.append(f"<pre>{text}</pre>")
-        else:
-            out.append(f"<div>{text}</div>")
-    return "".join(out)
-
-
-def _furniture(rng: random.Random) -> str:
-    links = lambda: "<ul>" + "".join(f'<li><a href="/{k}">{_words(rng, 1, 3)}</a></li>' for k in range(rng.randint(2, 9))) + "</ul>"
-    text = lambda: _words(rng, *rng.choice(((2, 8), (5, 30), (20, 120))))
-    form = f'<form action="/s"><label>{_words(rng, 1, 3)}</label><input name="q"><p>{_words(rng, 1, 20)}</p></form>'
-    comments = "".join(_tagged(rng, 7, rng.choice(("div", "li", "article")), f"<p>{text()}</p>") for _ in range(rng.randint(1, 6)))
-    return rng.choice((
-        f"<nav>{links()}</nav>", _tagged(rng, 1, "div", links()), f"<header><p>{_words(rng, 1, 8)}</p>{links()}</header>", _tagged(rng, 2, rng.choice(("div", "header")), f"<p>{_words(rng, 1, 10)}</p>"),
-        f"<footer>{rng.choice(('', '&copy; '))}{text()}</footer>", _tagged(rng, 3, rng.choice(("div", "footer")), f"<p>{text()}</p>"), f"<aside><h3>{_words(rng, 1, 4)}</h3><p>{text()}</p></aside>",
-        _tagged(rng, 4, rng.choice(("div", "aside", "section")), f"<h3>{_words(rng, 1, 4)}</h3>{links()}<p>{text()}</p>"), _tagged(rng, 5, "div", text()), _tagged(rng, 5, rng.choice(("div", "aside", "section")), f"<p>{text()}</p>"),
-        _tagged(rng, 6, "div", f"<p>{text()}</p>"), _tagged(rng, 6, "div", text()), f'<section id="comments"><h2>{_words(rng, 1, 3)}</h2>{comments}</section>', _tagged(rng, 7, "div", comments),
-        form, _tagged(rng, 8, "div", form), _tagged(rng, 9, "div", links()),
-    ))
-
-
-def generated_page(rng: random.Random) -> tuple[str, str, str]:
-    """What stands before the main text, the main text (furniture in it between \\x00 and \\x01), and what
-    stands after it."""
-    inner = _main(rng)
-    if rng.random() < 0.3:  # furniture inside the article, at its end
-        inner += "\x00" + _furniture(rng) + "\x01"
-    main = rng.choice((
-        f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", _tagged(rng, 0, "div", inner),
-        _tagged(rng, 0, "section", inner), f"<div>{_tagged(rng, 0, 'div', inner)}</div>", f"<div><div>{inner}</div></div>",
-    ))
-    before = "".join(_furniture(rng) for _ in range(rng.randint(0, 4)))
-    after = "".join(_furniture(rng) for _ in range(rng.randint(0, 4)))
-    if rng.random() < 0.3:
-        before, after = f"{before}<div id='wrap'>", f"{after}</div>"
-    return before, main, after
-
-
-def _labelled(rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
-    before, main, after = generated_page(rng)
+def _labelled(before: str, main: str, after: str) -> tuple[np.ndarray, np.ndarray]:
     head = "<!DOCTYPE html><html><head><title>t</title></head><body>"
     # marks tell which pieces of text are main; they are removed before the features are made
     page = Page(head + "\x01" + before + "\x00" + main.replace("\x00", "\x02").replace("\x01", "\x00").replace("\x02", "\x01") + "\x01" + after + "</body></html>")
@@ -273,9 +231,9 @@ def _labelled(rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def model(pages: int = TRAINING_PAGES, seed: int = 11) -> Boosted:
+def model(pages: tuple[int, int] = TRAINING_PAGES, seed: int = 11) -> Boosted:
     rng = random.Random(seed)
-    rows = [_labelled(rng) for _ in range(pages)]
+    rows = [_labelled(*make(rng)) for make, n in zip((generated_page, varied_page), pages, strict=True) for _ in range(n)]
     return Boosted().fit(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
 
 
@@ -285,7 +243,8 @@ def main_texts(sources: list[str | None], trees: Boosted) -> list[str]:
     odds = trees.log_odds(np.concatenate(rows)) if rows else np.empty(0)
     out, at = [], 0
     for p, x in zip(pages, rows, strict=True):
-        out.append(p.text(decode(p.parent, odds[at : at + len(x)])))
+        own = np.where(p.voided, -np.inf, odds[at : at + len(x)])
+        out.append(p.text(decode(p.parent, own)))
         at += len(x)
     return out
 

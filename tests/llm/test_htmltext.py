@@ -1,6 +1,10 @@
 import html
 import random
 import re
+import time
+from collections import Counter
+
+import plain_pages
 
 from coterie.llm import htmltext
 from coterie.llm.dom import Page
@@ -58,3 +62,36 @@ def test_cases(spark):
     assert by[1] == by[2] == "" and by[3] == "Té x\n" + " ".join(body.split()) + "\na b <c>"
     assert by[6] == ("long words. " * 50000).strip()
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_without_names():
+    """Unclassed pages in ordinary words, from another source than the training pages."""
+    own = plain_pages.pages(240)
+    assert len(own) >= 200
+    blocks = lost = 0
+    for source, want, junk in own:
+        got = htmltext.main_texts([source], htmltext.model())[0].split("\n")
+        blocks += len(want)
+        lost += sum((Counter(want) - Counter(got)).values())
+        assert not [x for x in junk if x in got and x not in want]
+    assert lost <= 0.02 * blocks
+
+
+def test_hostile_pages_take_linear_time():
+    for part, n in (('<a href="', 115_000), ("<div>", 100_000), ("<title>", 150_000), ("<button>x<p>", 85_000), ("<!--", 260_000)):
+        began = time.time()
+        page = Page(part * n + "</section>" * 50_000)
+        assert time.time() - began < 4, part
+        assert len(page.parent) == len(page.tag)
+    began = time.time()
+    Page("<table>" + "<div>" * 60_000 + "<td></td>" * 60_000)
+    assert time.time() - began < 5
+
+
+def test_unclosed_controls_cost_no_text():
+    body = "Some words, and more words of the story that goes on. " * 3
+    for start in ("<button>", "<select>", "<svg>", "<video>", "<object data='x'>"):
+        source = f"<html><body><ul><li><a href='/'>Home</a></ul><article><h1>The title of it</h1><p>{body}</p>{start}<p>{body}</p><p>Last {body}</p></article></body></html>"
+        assert htmltext.main_texts([source], htmltext.model())[0].split("\n") == ["The title of it", body.strip(), body.strip(), "Last " + body.strip()], start
+    inside = f"<article><h1>The title of it</h1><p>{body}<button>Share</button> and <math>x = 1</math></p><p>{body}</p></article>"
+    assert htmltext.main_texts([inside], htmltext.model())[0].split("\n")[1] == body + "and x = 1"
