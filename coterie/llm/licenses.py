@@ -5,15 +5,23 @@ seeds; whatever matches it with at most k edits holds one seed unchanged (pigeon
 Aho-Corasick automaton over all seeds locates the only places where a match can be. There the regex
 library verifies with bounded errors and gives the span.
 
-Cases: a null text is an empty text with no words, no places and score 0; overlapping places all count;
-an empty table gives an empty result; repeated rows are scanned each; other columns are not read.
+Every window is verified on its own and its best match kept. Of matches of one notice that share a word,
+the one with the fewest edits stays (the earlier one of equals); matches that share none all stay. So each
+place where a notice stands within its edits is covered by a reported span. Windows of equal text are
+verified once, so a text that repeats a notice a million times costs no more than its length.
+
+Cases: a null text is an empty text with no words, no places and score 0; overlapping places of base
+phrases all count; very long texts take time in proportion to their length and seed hits; an empty table
+gives an empty result; repeated rows are scanned each; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +65,9 @@ def edits(notice: str) -> int:
 class Scanner:
     """Seeds and verifiers of a list of (notice, label)."""
 
+    #: Window texts whose verdicts are remembered.
+    MEMO = 200_000
+
     def __init__(self, notices: tuple = NOTICES):
         self.notices = []
         seeds: dict[str, list[tuple[int, int]]] = {}
@@ -70,49 +81,75 @@ class Scanner:
         for seed, places in seeds.items():
             self.automaton.add_word(seed, (len(seed), places))
         self.automaton.make_automaton()
+        self.memo: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+
+    def _verify(self, number: int, window: str) -> tuple[int, int, int] | None:
+        """(edits, start, stop) of the best match inside a window."""
+        key = number, window
+        if key not in self.memo:
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            m = self.notices[number][3].search(window)
+            self.memo[key] = (sum(m.fuzzy_counts), *m.span()) if m else None
+        return self.memo[key]
 
     def spans(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(label, first word, last word, edits, notice length) of the notices in a text in normal form
-        (a blank at each end). Overlapping windows of one notice are searched together."""
-        windows: dict[int, list[list[int]]] = {}
+        (a blank at each end)."""
+        windows: dict[int, set[int]] = {}
         for end, (n, places) in self.automaton.iter(text):
             for number, at in places:
-                whole, k = self.notices[number][:2]
-                low = max(0, end + 1 - n - at - k)
-                high = min(len(text), low + whole + 2 * k + 1)
-                own = windows.setdefault(number, [])
-                if own and low <= own[-1][1]:
-                    own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
-                else:
-                    own.append([low, high])
+                windows.setdefault(number, set()).add(end + 1 - n - at)
+        if not windows:
+            return []
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
         out = []
         for number, own in windows.items():
-            whole, _, label, pattern = self.notices[number]
-            for low, high in own:
-                for m in pattern.finditer(text, low, high):
-                    s, e = m.span()
-                    first = text.count(" ", 0, s + 1) - (text[s] != " ")
-                    last = text.count(" ", 0, e - 1) - 1
-                    out.append((label, max(first - 1, 0), max(last, first - 1, 0), sum(m.fuzzy_counts), whole - 2))
+            whole, k, label, _ = self.notices[number]
+            found = set()
+            for place in own:
+                low = max(0, place - k)
+                best = self._verify(number, text[low : place + whole + k])
+                if best:
+                    found.add((best[0], low + best[1], low + best[2]))
+            if not found:
+                continue
+            cost, start, stop = np.array(sorted(found)).T
+            # the words that hold the first and the last character that isn't a blank
+            first = np.searchsorted(blanks, start, side="right") - 1
+            last = np.searchsorted(blanks, stop - 1) - 1
+            taken: list[int] = []  # first words of the chosen spans, which share no word
+            ends: dict[int, int] = {}
+            for c, f, e in zip(cost.tolist(), first.tolist(), last.tolist(), strict=True):
+                e = max(e, f)
+                at = bisect_right(taken, f)
+                if (at and ends[taken[at - 1]] >= f) or (at < len(taken) and taken[at] <= e):
+                    continue
+                taken.insert(at, f)
+                ends[f] = e
+                out.append((label, f, e, c, whole - 2))
         return sorted(out)
 
 
 def scan_text(text: str | None, scanner: Scanner) -> tuple:
     words = raw(text).translate(_BLANKS).split()
     joined = b" " + b" ".join(words) + b" "
-    starts, base = [], set()
+    places, base = [], set()
     for phrase, label in PHRASES:
         whole = b" " + phrase + b" "
         at = joined.find(whole)
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
             at = joined.find(whole, at + 1)
-    spans = scanner.spans(joined.decode())
+    first = last = None
+    if places:
+        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        first, last = np.searchsorted(blanks, [min(places), max(places)]).tolist()
+    spans = scanner.spans(joined.decode("utf-8", "surrogatepass"))
     score = 1.0 if base else max((1.0 - k / n for _, _, _, k, n in spans), default=0.0)
     labels = base | {label for label, *_ in spans}
-    first, last = (min(starts), max(starts)) if starts else (None, None)
-    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"label": a, "first_word": f, "last_word": e, "edits": k} for a, f, e, k, _ in spans]
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"label": a, "first_word": f, "last_word": e, "edits": k} for a, f, e, k, _ in spans]
 
 
 _SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())])
@@ -136,4 +173,4 @@ def scan(docs: DataFrame, notices: tuple = NOTICES) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("spans")
+    return scan(table(spark, sf_dir, "documents"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from coterie.llm import licenses
 
@@ -73,3 +74,64 @@ def test_fuzzy_search_against_edit_distance():
 def test_spans():
     text = " foo released under the mit licence bar "
     assert ("mit", 1, 5, 1, 30) in licenses.Scanner().spans(text)
+
+
+def aligned(pattern, text):
+    """All (start, stop, least edits) of substrings of text within one edit distance table per start."""
+    out = []
+    for i in range(len(text)):
+        row = list(range(len(pattern) + 1))
+        for j in range(i, min(len(text), i + len(pattern) + 8)):
+            new = [row[0] + 1]
+            for a, x in enumerate(pattern, 1):
+                new.append(min(row[a] + 1, new[a - 1] + 1, row[a - 1] + (x != text[j])))
+            row = new
+            out.append((i, j + 1, row[-1]))
+    return out
+
+
+def test_all_spans_against_brute_force():
+    """Every place within its edits is covered by a span; spans are true, and of one notice share no word."""
+    rng = random.Random(9)
+    notices = (("released under the mit license", "mit"), ("gnu general public license", "gpl"), ("all rights reserved", "arr"))
+    scanner = licenses.Scanner(notices)
+    fixed = [" the gnu general public licence gnu general public license x ", " released undr the mit license and so on released under the mit license "]
+    for case in range(30):
+        if case < len(fixed):
+            text = fixed[case]
+        else:
+            parts = []
+            for _ in range(rng.randint(1, 3)):
+                s = list(rng.choice(notices)[0])
+                for _ in range(rng.randint(0, 3)):
+                    at = rng.randrange(len(s))
+                    s[at : at + rng.randint(0, 1)] = rng.choice(["", "e", " "])
+                parts += ["".join(s), rng.choice(["", "some words", "x"])]
+            text = " " + " ".join(" ".join(parts).split()) + " "
+        got = scanner.spans(text)
+        word_at = lambda k: text.count(" ", 0, k + 1) - 1
+        for notice, label in notices:
+            whole, k = f" {notice} ", licenses.edits(notice)
+            own = sorted((f, e, c) for lab, f, e, c, _ in got if lab == label)
+            assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
+            close = [(word_at(i), word_at(j - 1 - (text[j - 1] == " ")), d) for i, j, d in aligned(whole, text) if d <= k]
+            for f, e, d in close:
+                assert any(a <= e and f <= b for a, b, _ in own), (text, label, f, e, own)
+            for a, b, c in own:
+                assert c == min(d for f, e, d in close if a <= f and e <= b), (text, label, a, b, c)
+
+
+def test_repeated_notices_take_linear_time():
+    text = "under the mit license " * 230_000
+    began = time.time()
+    n_words, n_base, first, last, base, labels, score, spans = licenses.scan_text(text, licenses.Scanner())
+    assert time.time() - began < 5
+    assert (n_words, n_base, first, last, base, score) == (920_000, 230_000, 0, 919_996, "mit", 1.0)
+    text = "licensed under the mit license " * 1000
+    assert len([1 for x in licenses.scan_text(text, licenses.Scanner())[-1] if x["edits"] == 0 and x["label"] == "mit"]) >= 1000
+
+
+def test_query_gives_spans(spark):
+    out = licenses.op6_license_scans(spark, "/root/testdata/sf0.001")
+    assert out.columns[-1] == "spans"
+    assert all(set(r.labels.split(",")) - {""} == {x.label for x in r.spans} | (set(r.base_labels.split(",")) - {""}) for r in out.collect())
