@@ -69,3 +69,28 @@ def test_no_rows_and_no_words(spark):
     assert [(r.mix_target, r.mix_copies) for r in mixing.mixed(blank).collect()] == [(0.0, 0)] * 2
     one = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
     assert [(r.mix_target, r.mix_copies) for r in mixing.mixed(one).collect()] == [(2.0, 1)]
+
+
+def test_one_row_repeated_for_a_third_of_a_source(spark):
+    """Equal rows are taken one by one, so the target is met within one document."""
+    rng = random.Random(2)
+    rows = [(None, "ten words " * 5, "a", 1)] * 100 + [(i, "w " * rng.randint(1, 30), "a", 1) for i in range(200)]
+    rows += [(1000 + i, "some more words here " * rng.randint(1, 9), s, 2) for i, s in enumerate("bcdb" * 120)]
+    rows += [(7, "same again " * 4, "d", 3)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    sizes, taken, by_row = defaultdict(int), defaultdict(int), defaultdict(set)
+    for _, text, s, _ in rows:
+        sizes[s] += len(text.split())
+    out = mixing.mixed(docs).collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.source, r.n) for r in out))) == sorted(map(str, rows))
+    for r in out:
+        taken[r.source] += r.mix_size * r.mix_copies
+        by_row[r.source, r.text].add(r.mix_copies)
+        assert 0 <= r.mix_copies <= 3 and len(r.mix_shards) == r.mix_copies
+    for s, t in water(sizes).items():
+        assert abs(taken[s] - t) <= 36, (s, taken[s], t)
+    alone = spark.createDataFrame([(None, "ten words " * 5, "a")] * 100 + [(i, "x y", "b") for i in range(20)], "doc_id long, text string, source string")
+    t = water({"a": 1000, "b": 40})
+    got = mixing.mixed(alone).collect()
+    assert abs(sum(r.mix_size * r.mix_copies for r in got if r.source == "a") - t["a"]) <= 5
+    assert sorted(map(str, mixing.mixed(alone.repartition(5)).collect())) == sorted(map(str, got))
