@@ -102,19 +102,28 @@ class EliasFano:
         return cls(head["n"], head["low_bits"], *parts)
 
 
-#: Codes of probabilities: 0 is none, 1 to 255 are steps down from 1 in log10. Rounding is downward, so
-#: that a context's probabilities never sum to more than one.
-STEP = 7.0 / 254
+#: Codes of probabilities: 0 is none, 1 to 255 are equal steps down from 1 in log10 over a span of decades.
+#: Rounding is downward, so that a context's probabilities never sum to more than one.
+SPAN = 7.0
+STEPS = 254
+STEP = SPAN / STEPS
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
+def span_of(weight: np.ndarray) -> np.ndarray:
+    """The span of a context in which one occurrence has the probability 1 / weight: at least SPAN, and so
+    wide that no occurrence falls below the last code. Both sides know the weight."""
+    return np.maximum(SPAN, np.log10(np.maximum(weight, 1.0)))
+
+
+def quantise(p: np.ndarray, span: np.ndarray | float = SPAN) -> np.ndarray:
+    """Codes of the probabilities; what lies below the span is rounded down to none."""
     with np.errstate(divide="ignore"):
-        code = 1 + np.ceil(-np.log10(p) / STEP - 1e-9)
-    return np.where(p > 0, np.clip(code, 1, 255), 0).astype(np.uint8)
+        code = 1 + np.ceil(-np.log10(p) * (STEPS / span) - 1e-9)
+    return np.where((p > 0) & (code <= STEPS + 1), np.clip(code, 1, STEPS + 1), 0).astype(np.uint8)
 
 
-def probability(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** (-STEP * (code.astype(np.float64) - 1)), 0.0)
+def probability(code: np.ndarray, span: np.ndarray | float = SPAN) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** (-(span / STEPS) * (code.astype(np.float64) - 1)), 0.0)
 
 
 class Trie:

@@ -4,7 +4,8 @@ The model is a bigram model over lower-cased words and an end token, learnt from
 not held out:  P(w | v) = (c(v w) + m(v) P(w)) / (c(v) + m(v)),  m(v) = 4 c(v)^0.8,  P(w) the add-half
 unigram of the base score. Per context it is a proper distribution; the mass m(v) grows with the context
 as the number of its followers does. The trie keeps the quantised c(v w) / (c(v) + m(v)), rounded
-down; the back-off weight m(v) / (c(v) + m(v)) follows from c(v).
+down, on a scale that reaches from 1 to one occurrence in that context, so that no code raises it; the
+back-off weight m(v) / (c(v) + m(v)) follows from c(v).
 
 The model grows with the corpus, so it is never in one place: it is sharded by context, and the queries
 travel to the shards. Documents are first encoded in batches of about BATCH_TOKENS tokens, written once.
@@ -17,7 +18,9 @@ batch; contexts with more than 1/(8 S) of all tokens, S the number of shards, ar
 Cases: a null text is empty and has the end token only; a null doc_id is not held out; repeated rows are
 learnt and scored each; a held-out word or context that training lacks falls back to the unigram; an
 empty table gives an empty result; without training documents every token has the add-half chance of an
-unseen one; other columns are not read.
+unseen one; a very long text is one document of a batch of its own size; words of equal count take their ids
+in the order of their hashes, which no score depends on; more distinct words than 32-bit ids can tell apart
+raise an OverflowError; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from .base import raw, stash, table
-from .eliasfano import Trie, probability, quantise
+from .eliasfano import Trie, probability, quantise, span_of
 
 FOLDS = 5
 HELD_FOLD = 1
@@ -140,6 +143,8 @@ def _answer_words(bits: int):
         order = np.argsort(-total, kind="stable")
         ids = np.full(len(words), NONE, np.int64)
         seen = order[: int((total > 0).sum())]
+        if len(seen) << bits >= NONE:
+            raise OverflowError(f"{len(seen)} distinct words in one of {1 << bits} shards: word ids are 32 bits wide")
         ids[seen] = (np.arange(len(seen)) << bits) | rows[0]["to"]
         out, at = [{"to": -1, "kind": _STATS, "part": rows[0]["to"], "data": np.array([total.sum(), len(seen)], "<i8").tobytes()}], 0
         for r, (h, _) in zip(rows, asked, strict=True):
@@ -176,7 +181,7 @@ class _Batch:
         pairs, self.inverse = np.unique((a[self.known] << np.uint64(32)) | b[self.known], return_inverse=True)
         train = np.repeat(self.trains, self.lengths)[self.known] > 0
         self.n = np.bincount(self.inverse[train], minlength=len(pairs)).astype("<u4")
-        self.total = np.empty(len(pairs), np.int64)
+        self.total = np.zeros(len(pairs), np.int64)
         self.total[self.inverse] = self.context[self.known]
         a = pairs >> np.uint64(32)
         split = self.total * 8 * shards > n_tokens
@@ -201,7 +206,7 @@ class _Batch:
             code[self.order] = np.concatenate(answers)
         base = (self.count[self.tokens] + 0.5) / (n + 0.5 * (v + 1))
         own = np.zeros(len(self.tokens))
-        own[self.known] = probability(code)[self.inverse]
+        own[self.known] = probability(code, span_of(self.total + MASS * self.total**MASS_POWER))[self.inverse]
         mass = MASS * self.context**MASS_POWER
         rest = np.where(self.context > 0, mass / np.maximum(self.context + mass, 1), 1.0)
         start = np.r_[0, np.cumsum(self.lengths.astype(np.int64))[:-1]]
@@ -229,7 +234,8 @@ def _answer_pairs(mail: pa.Table) -> pa.Table:
     total = np.concatenate([t for _, t, _ in parts])[first].astype(np.float64)
     n = np.bincount(inverse, np.concatenate([c for _, _, c in parts]), len(pairs))
     context, follower = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(NONE)).astype(np.int64)
-    codes = quantise(n / (total + MASS * total**MASS_POWER))
+    weight = total + MASS * total**MASS_POWER
+    codes = quantise(n / weight, span_of(weight))
     has = n > 0
     folder = tempfile.mkdtemp(prefix="trie-")
     try:
@@ -261,12 +267,17 @@ def score(docs: DataFrame) -> DataFrame:
     tokens = batches.agg(F.sum("part")).first()[0] or 0
     shards = max(MIN_SHARDS, 1 << max(0, (tokens // SHARD_TOKENS - 1)).bit_length())
     bits = shards.bit_length() - 1
-    words = stash(batches.mapInArrow(_ask_words(bits), _MAIL_DDL).groupBy("to").applyInArrow(_answer_words(bits), _MAIL_DDL), "words")
+    words = stash(_by_address(batches.mapInArrow(_ask_words(bits), _MAIL_DDL), shards).applyInArrow(_answer_words(bits), _MAIL_DDL), "words")
     n, v = _sums(words.where(F.col("kind") == _STATS).select("data"))
     mail = batches.union(words.where(F.col("kind") == _WORDS))
-    asked = mail.groupBy("to").applyInArrow(_ask_pairs(shards, n), _MAIL_DDL)
-    pairs = stash(asked.groupBy("to").applyInArrow(_answer_pairs, _MAIL_DDL), "bigrams")
-    return mail.union(pairs).groupBy("to").applyInArrow(_scores(shards, n, v), _SCORES)
+    asked = _by_address(mail, shards).applyInArrow(_ask_pairs(shards, n), _MAIL_DDL)
+    pairs = stash(_by_address(asked, shards).applyInArrow(_answer_pairs, _MAIL_DDL), "bigrams")
+    return _by_address(mail.union(pairs), shards).applyInArrow(_scores(shards, n, v), _SCORES)
+
+
+def _by_address(mail: DataFrame, shards: int) -> GroupedData:
+    """Mail by its address, over as many partitions as there are shards, which grow with the corpus."""
+    return mail.repartition(shards, "to").groupBy("to")
 
 
 def _sums(stats: DataFrame) -> tuple[int, int]:

@@ -87,3 +87,38 @@ def test_edges(spark):
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     (only,) = lm.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert only.held_out and only.train_tokens == 0 and only.score == pytest.approx(0.0)
+
+
+def test_codes_never_raise_a_probability():
+    """Also in contexts seen more than 1e7 times."""
+    import numpy as np
+
+    from coterie.llm.eliasfano import probability, quantise, span_of
+
+    rng = np.random.default_rng(1)
+    total = np.floor(10 ** rng.uniform(0, 13, 20_000))
+    n = np.maximum(1, np.floor(total * 10 ** -rng.uniform(0, 13, 20_000)))
+    weight = total + 4 * total**0.8
+    span = span_of(weight)
+    assert (span > 7).any()
+    codes = quantise(n / weight, span)
+    back = probability(codes, span)
+    assert (codes > 0).all() and (back <= n / weight * (1 + 1e-6)).all()
+    assert (np.log10(n / weight) - np.log10(back) <= span / 254 + 1e-6).all()
+    assert quantise(np.array([1e-8, 1e-9, 0.0])).tolist() == [0, 0, 0]
+    counts = np.r_[3e7, np.ones(200_000)]
+    weight = counts.sum() + 4 * counts.sum() ** 0.8
+    assert probability(quantise(counts / weight, span_of(weight)), span_of(weight)).sum() <= 1
+
+
+def test_too_many_words_raise():
+    import numpy as np
+    import pytest
+
+    from coterie.llm import lm
+
+    row = {"to": 0, "kind": 1, "part": 0, "data": lm._press(np.arange(4, dtype="<u8"), np.ones(4, "<u4"))}
+    import pyarrow as pa
+
+    with pytest.raises(OverflowError):
+        lm._answer_words(31)(pa.Table.from_pylist([row], lm._MAIL))
