@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -85,3 +86,48 @@ def test_copies_and_junk_do_not_shape_the_bands(spark):
         verdicts.append({r.doc_id: r.kept for r in quality.judge(docs).where("doc_id < 1000").collect()})
     assert sum(verdicts[0].values()) >= 195
     assert verdicts[1] == verdicts[0] and verdicts[2] == verdicts[0]
+
+
+def test_verdicts_against_brute_force(spark):
+    """Bands and verdicts recomputed from the measures, over all rows of a table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    out = quality.judge(docs).collect()
+    names = list(quality.LEAST_SPREAD)
+    groups = {}
+    for r in out:
+        if not r.base_failed:
+            groups.setdefault(r.lang, {})[r.text_hash] = [math.floor(r[c] / quality.GRID + 0.5) for c in names]
+    quart = {}
+    for g, own in groups.items():
+        for k, c in enumerate(names):
+            v = sorted(x[k] for x in own.values())
+            quart[g, c] = [v[max(0, math.ceil(q * len(v)) - 1)] * quality.GRID for q in (0.25, 0.5, 0.75)]
+    wrong = 0
+    for r in out:
+        want = not r.base_failed
+        for c in names if want else ():
+            low, mid, high = quart[r.lang, c]
+            room = max(high - low, quality.LEAST_SPREAD[c]) * (quality.WIDTH + quality.SHORT_WIDTH * math.sqrt(quality.SHORT_TOKENS / max(r.n_tokens, 1)))
+            want &= r[c] - mid >= -room and (c == "entropy" or r[c] - mid <= room)
+        wrong += want != r.kept
+    assert wrong == 0
+    assert sorted(map(str, quality.judge(docs.repartition(7)).collect())) == sorted(map(str, out))
+
+
+def test_a_row_of_another_language_stays(spark):
+    """The same id and text may be kept in one language and rejected in another."""
+    rng = random.Random(8)
+    plain, other = ["the", "house", "and", "water", "over", "people", "green", "time"], ["zxqv&%", "qwrtk##", "vbnmz$$", "kjhgf**", "xzcvb%%"]
+    rows = [(i, prose(rng, plain, 200), "en") for i in range(60)] + [(100 + i, prose(rng, other, 200), "xx") for i in range(60)]
+    rows += [(500, rows[70][1], "en"), (500, rows[70][1], "xx"), (500, rows[70][1], "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.lang) for r in quality.keep_rows(docs).collect()]
+    assert [x for x in got if x[0] == 500] == [(500, "xx")] * 2
+
+
+def test_short_texts_are_judged(spark):
+    rng = random.Random(8)
+    plain = ["the", "house", "and", "water", "over", "people", "green", "time"]
+    rows = [(i, prose(rng, plain, 200), "en") for i in range(60)] + [(900, "ǅ♞☃ ⛄♜♝ ♟♚♛ ☂☁☀ ✈✉✂ ♠♡♢ ⚀⚁⚂ ⚃⚄⚅ ♔♕♖ ♗♘♙ ☕☘☠", "en"), (901, "the house and water over people of the green time house", "en")]
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept[900] and kept[901]
