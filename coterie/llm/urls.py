@@ -1,18 +1,23 @@
 """URL filters (operator 4), in DataFrame functions only.
 
 Two rule kinds. Host rules (host, path prefix, verdict) fit a host and its subdomains; the longest that
-fits decides. Urls that none fits go to pattern rules, which are regular expressions: each is indexed by
-the rarest of its literal tokens, rarity being the token's count over all urls of the table, so that a
-url's tokens fetch few candidates and only those expressions run. Rule lists are parameters and travel
-as literals: their size is the list's, not the data's.
+fits decides. Urls that none fits go to pattern rules, which are regular expressions. Both are index
+tables that urls fetch from by key: host rules under their host, asked for by the suffixes of a url's host;
+pattern rules under the rarest of their literal tokens, rarity being the token's count over all urls of the
+table, asked for by the url's tokens. Only the rules so fetched compare paths or run expressions, so the
+cost of a url follows its tokens and not the number of rules. The verdict follows from the url alone, so
+distinct urls are judged once. The index tables are broadcast up to BROADCAST_RULES rows and joined beyond.
 
 Cases: null urls and urls without `://` have an empty host and path, no host rule, and are judged by
-patterns on the empty url, so allowed; repeated rows are judged each alike; an empty table gives an
-empty result; other columns are not read.
+patterns on the empty url, so allowed; of equally long rules that fit (the same host and path listed twice)
+the one last by verdict wins; block patterns win over allow patterns; pattern rules without a literal token
+run on every url; very long urls are judged whole; repeated rows are judged each alike; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +35,16 @@ PATTERN_RULES = (
     (r"(^|[./-])free-bets([./-]|$)", ("free", "bets"), "block"),
     (r"(^|[./-])adult-[a-z0-9]+([./-]|$)", ("adult",), "block"),
     (r"(^|[./-])casino([./-]|$)", ("casino",), "block"),
-    (r"(^|[./-])(doubleclick|adserver)([./-]|$)", (), "block"),
+    (r"(^|[./-])doubleclick([./-]|$)", ("doubleclick",), "block"),
+    (r"(^|[./-])adserver([./-]|$)", ("adserver",), "block"),
     (r"/login(/|\?|$)", ("login",), "block"),
     (r"[?&]sessionid=", ("sessionid",), "block"),
 )
 
 
+BROADCAST_RULES = 500_000
+
+
 def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -49,63 +58,64 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_rule(host: Column, path: Column, rules: tuple = HOST_RULES) -> Column:
-    """The longest fitting rule as struct(rule, verdict), or null. Rules are found by the host's suffixes."""
-    by_host: dict[str, list] = {}
-    for h, p, verdict in rules:
-        by_host.setdefault(h, []).append((p, verdict))
-    entry = lambda h, p, v: F.struct(F.lit(len(h) + len(p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(p).alias("path"), F.lit(v).alias("verdict"))
-    index = F.create_map(*[x for h, own in by_host.items() for x in (F.lit(h), F.array(*[entry(h, p, v) for p, v in own]))])
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    found = F.flatten(F.filter(F.transform(suffixes, lambda s: index[s]), lambda r: r.isNotNull()))
-    return F.array_max(F.filter(found, lambda r: path.startswith(r["path"])))
+def _index(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A rule table from the driver's list, as one JSON literal that Spark parses."""
+    names = [c.split(":")[0] for c in schema.split(",")]
+    listed = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{schema}>>")
+    out = spark.range(1).select(F.inline(listed))
+    return F.broadcast(out) if len(rows) <= BROADCAST_RULES else out
+
+
+def _tokens(url: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+"))
 
 
-def rarest_tokens(pages: DataFrame, rules: tuple = PATTERN_RULES) -> dict[str, list[int]]:
-    """Index: rarest literal token -> numbers of its rules; '' holds the rules without a literal. One
-    pass counts the rules' tokens over all urls; what reaches the driver is one number per rule token."""
+def rarest_tokens(urls: DataFrame, rules: tuple = PATTERN_RULES) -> dict[str, list[int]]:
+    """Index: rarest literal token -> numbers of its rules; '' holds the rules without a literal. One pass
+    counts the rules' tokens over all urls; what reaches the driver is one number per rule token."""
     tokens = sorted({t for _, literal, _ in rules for t in literal})
-    url = F.lower(_text("url"))
-    own = F.array_distinct(F.split(url, "[^a-z0-9]+"))
-    counts = pages.agg(*[F.sum(F.array_contains(own, t).cast("long")).alias(f"t{i}") for i, t in enumerate(tokens)]).first() if tokens else []
-    often = {t: counts[i] or 0 for i, t in enumerate(tokens)}
+    found = urls.select(F.explode(_tokens(_text("url"))).alias("token")).join(_index(urls.sparkSession, [(t,) for t in tokens], "token:string"), "token")
+    often = {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
     index: dict[str, list[int]] = {}
     for i, (_, literal, _) in enumerate(rules):
-        index.setdefault(min(literal, key=lambda t: (often[t], t)) if literal else "", []).append(i)
+        index.setdefault(min(literal, key=lambda t: (often.get(t, 0), t)) if literal else "", []).append(i)
     return index
 
 
-def pattern_verdict(url: Column, index: dict[str, list[int]], rules: tuple = PATTERN_RULES) -> Column:
-    url = F.lower(url)
-    keyed = {t: own for t, own in index.items() if t}
-    candidates = F.lit(None).cast("array<int>")
-    if keyed:
-        by_token = F.create_map(*[x for t, own in keyed.items() for x in (F.lit(t), F.array(*map(F.lit, own)))])
-        candidates = F.flatten(F.filter(F.transform(F.array_distinct(F.split(url, "[^a-z0-9]+")), lambda t: by_token[t]), lambda r: r.isNotNull()))
+def host_fits(parts: DataFrame, rules: tuple = HOST_RULES) -> DataFrame:
+    """parts: (url, host, path). (url, n, rule, verdict) of every host rule that fits."""
+    index = _index(parts.sparkSession, [(h, len(h) + len(p), h + p, p, v) for h, p, v in rules], "suffix:string,n:int,rule:string,prefix:string,verdict:string")
+    # no suffix of more labels than the longest rule host has can fit
+    longest = max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    suffixes = F.array(*[F.substring_index("host", ".", -i) for i in range(1, longest + 1)])
+    asked = parts.select("url", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"))
+    return asked.join(index, "suffix").where(F.col("path").startswith(F.col("prefix"))).select("url", "n", "rule", "verdict")
 
-    def hit(i: int) -> Column:
-        # the branch keeps the expression from running unless the rule is a candidate
-        runs = url.rlike(rules[i][0])
-        return runs if i in index.get("", []) else F.when(F.array_contains(candidates, i), runs).otherwise(False)
 
-    verdict = F.lit("allow")
-    for i in [i for i, r in enumerate(rules) if r[2] == "allow"]:
-        verdict = F.when(hit(i), F.lit("allow")).otherwise(verdict)
-    for i in [i for i, r in enumerate(rules) if r[2] == "block"]:
-        verdict = F.when(hit(i), F.lit("block")).otherwise(verdict)
-    return verdict
+def pattern_hits(urls: DataFrame, rules: tuple = PATTERN_RULES) -> DataFrame:
+    """urls: (url). (url, verdict) of every pattern rule that matches, run only where the index fetches it."""
+    index = rarest_tokens(urls, rules)
+    keyed = _index(urls.sparkSession, [(t, rules[i][0], rules[i][2]) for t, own in index.items() if t for i in own], "token:string,pattern:string,verdict:string")
+    asked = urls.select("url", F.explode(_tokens(F.col("url"))).alias("token")).join(keyed, "token")
+    hits = asked.where(F.regexp(F.lower("url"), F.col("pattern"))).select("url", "verdict")
+    for i in index.get("", []):
+        hits = hits.union(urls.where(F.lower("url").rlike(rules[i][0])).select("url", F.lit(rules[i][2]).alias("verdict")))
+    return hits
 
 
 def judge(pages: DataFrame, host_rules: tuple = HOST_RULES, pattern_rules: tuple = PATTERN_RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages."""
-    index = rarest_tokens(pages, pattern_rules)
     url = _text("url")
     out = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(url.contains("://"), url).otherwise("").alias("url"))
-    out = out.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    out = out.withColumn("fit", host_rule(F.col("host"), F.col("path"), host_rules))
-    verdict = F.when(F.col("fit").isNotNull(), F.col("fit.verdict")).otherwise(pattern_verdict(F.col("url"), index, pattern_rules))
-    return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    urls = out.select("url").distinct()
+    parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    none = F.lit(None).cast("string")
+    fits = host_fits(parts, host_rules).select("url", F.struct("n", "rule", "verdict").alias("fit"), none.alias("hit"))
+    hits = pattern_hits(urls, pattern_rules).select("url", F.lit(None).cast(fits.schema["fit"].dataType).alias("fit"), F.col("verdict").alias("hit"))
+    found = fits.union(hits).groupBy("url").agg(F.max("fit").alias("fit"), F.max("hit").alias("hit"))  # block comes after allow
+    verdict = F.coalesce(F.col("fit.verdict"), F.col("hit"), F.lit("allow"))
+    out = out.join(found, "url", "left").select("page_id", "url", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
+    return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", "verdict")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,19 @@ def test_only_candidates_and_rarest_tokens(spark):
     assert index["farm"] == [1] and "spam" not in index
     assert [r.page_id for r in urls.judge(pages).collect() if r.verdict == "block"] == [9]
     assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_ten_thousand_rules(spark):
+    """Cost follows the candidates: long rule lists are tables, and only fetched rules run."""
+    patterns = tuple((rf"(^|[./-])bad{i}-site([./-]|$)", (f"bad{i}", "site"), "block") for i in range(10_000))
+    hosts = tuple((f"h{i}.example.org", "/x/", "block") for i in range(10_000)) + (("h7.example.org", "/x/ok", "allow"),)
+    rows = [(i, f"http://www.h{i}.example.org/x/{'ok' if i % 2 else 'no'}") for i in range(0, 20_000, 100)]
+    rows += [(100_000 + i, f"http://m.bad{i}-site.net/") for i in range(0, 20_000, 500)] + [(7, "http://h7.example.org/x/ok"), (8, "http://" + "a." * 20_000 + "bad1.site.net/" + "p" * 100_000), (9, "http://bad2.site/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    index = urls.rarest_tokens(pages, patterns)
+    assert len(index) == 10_000 and all(t.startswith("bad") for t in index)
+    out = urls.judge(pages, hosts, patterns)
+    got = {r.page_id: r.verdict for r in out.collect()}
+    want = {i: "block" if i < 10_000 else "allow" for i in range(0, 20_000, 100)} | {100_000 + i: "block" if i < 10_000 else "allow" for i in range(0, 20_000, 500)} | {7: "allow", 8: "allow", 9: "allow"}
+    assert got == want
+    assert {"python", "arrow"} & set(out._jdf.queryExecution().executedPlan().toString().lower().split()) == set()
