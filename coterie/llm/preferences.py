@@ -1,21 +1,19 @@
 """Preference formatting of conversations (operator 3).
 
 A pair is two conversations, chosen and rejected. Their longest common turn prefix is the prompt and is
-rendered once; what follows on either side is a completion. Output is one row per rendered turn, so no
-conversation is ever gathered into one cell: (chosen_id, rejected_id, segment, turn, turn_part, role,
-rendered, loss_start, loss_end, n_prompt_turns). Loss falls on the characters [loss_start, loss_end) of
-`rendered`: the words and end mark of assistant turns in completions, nothing elsewhere.
-
-The query pairs conversations that open with the same turn: within an opening, in the order of
-(conv_id mod SALTS, conv_id), the first goes with the second, the third with the fourth, and so on; the
-one with more assistant characters is chosen, the earlier one if they have equally many. An odd last one
-has no partner and no row. Ranks come from counts by salt and a row number inside each salt, so one very
-common opening is spread over many tasks.
-
-The whole query leaves nobody out. Whoever has no partner in an opening is paired across openings: in
-buckets of the md5 of conv_id, in the order of conv_id, and the odd ones of the buckets with each other.
-Prompts of such pairs are empty. If the number of conversations is odd, the last has a null rejected_id
-and all its turns are its completion.
+rendered once; what follows on either side is a completion. Output is one row per turn of a pair, so no
+conversation is ever gathered into one cell: a prompt row has the rendered turn in `prompt`; a completion
+row has both sides' turns at that place, `chosen` and `rejected` (null where a side has no turn there), each
+with the characters [loss_start, loss_end) on which loss falls: the words and end mark of assistant turns,
+nothing elsewhere. format_pairs gives the same turns in a longer form, one row for each side.
+
+Everybody is in one pair. Conversations that open with the same turn go together: within an opening, in the
+order of (conv_id mod SALTS, conv_id), the first with the second, the third with the fourth, and so on; the
+one with more assistant characters is chosen, the earlier one if they have equally many. Ranks come from
+counts by salt and a row number inside each salt, so one very common opening is spread over many tasks. Who
+has no partner in an opening is paired across openings, with an empty prompt: in buckets of the md5 of
+conv_id, in the order of conv_id, and the odd ones of the buckets with each other. If the number of
+conversations is odd, the last has a null rejected_id and all its turns are its completion.
 
 Cases: exact repeats of a row count once; several different rows of one turn number are turns one after
 another, by role and text (nulls first); null turn numbers come first; null role or text renders as
@@ -127,9 +125,38 @@ def format_alone(turns: DataFrame, alone: DataFrame) -> DataFrame:
     )
 
 
+def format_paired(turns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per turn of each pair (chosen_id, rejected_id; a null rejected_id for one without partner)."""
+    sides = F.explode(F.array(F.struct(F.col("chosen_id").alias("conv_id"), F.lit(True).alias("best")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(False).alias("best"))))
+    sided = pairs.select("chosen_id", "rejected_id", sides.alias("s")).select("chosen_id", "rejected_id", "s.conv_id", "s.best")
+    of = lambda best: F.max(F.when(F.col("best") == best, F.struct("same", "role", "text")))
+    met = turns.join(sided, "conv_id").groupBy("chosen_id", "rejected_id", "turn", "part").agg(of(True).alias("a"), of(False).alias("b"))
+    met = stash(met, "met")
+    # the prefix ends at the first place where one side has no turn or another one
+    place = F.struct("turn", "part")
+    ends = met.groupBy("chosen_id").agg(F.min(F.when(~F.col("a.same").eqNullSafe(F.col("b.same")), place)).alias("end"))
+    ends = met.select("chosen_id", "turn", "part").join(ends, "chosen_id").groupBy("chosen_id").agg(F.first("end").alias("end"), F.count(F.when(F.col("end").isNull() | (place < F.col("end")), 1)).alias("n_prompt_turns"))
+    out = met.join(ends, "chosen_id")
+    shared = F.col("end").isNull() | (place < F.col("end"))
+    text = {c: F.concat(*render(F.col(f"{c}.role"), F.col(f"{c}.text"))) for c in "ab"}
+    side = {c: F.when(~shared & F.col(f"{c}.same").isNotNull(), text[c]) for c in "ab"}
+
+    def loss(c: str, what: Column) -> Column:
+        learns = ~shared & F.col(f"{c}.same").isNotNull() & (F.coalesce(F.col(f"{c}.role"), F.lit("")) == "assistant")
+        return F.when(learns, F.length(what)).otherwise(0).cast("long")
+
+    head = {c: render(F.col(f"{c}.role"), F.col(f"{c}.text"))[0] for c in "ab"}
+    return out.select(
+        "chosen_id", "rejected_id", F.when(shared, "prompt").otherwise("completion").alias("segment"), "turn", F.col("part").cast("long").alias("turn_part"), F.when(shared, text["a"]).alias("prompt"),
+        side["a"].alias("chosen"), loss("a", head["a"]).alias("chosen_loss_start"), loss("a", text["a"]).alias("chosen_loss_end"),
+        side["b"].alias("rejected"), loss("b", head["b"]).alias("rejected_loss_start"), loss("b", text["b"]).alias("rejected_loss_end"), "n_prompt_turns",
+    )
+
+
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns_of(table(spark, sf_dir, "conversations"))
-    return format_pairs(turns, opening_pairs(turns))
+    pairs, alone = whole_pairs(turns)
+    return format_paired(turns, pairs.union(alone.select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id"))))
 
 
 def op3_preference_formatting_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,3 +225,32 @@ couples AS (
 """
     + OP3_ORACLE[OP3_ORACLE.index("pairs AS (") :].replace("s.rejected_id = w.rejected_id", "s.rejected_id IS NOT DISTINCT FROM w.rejected_id")
 )
+
+_HEAD, _BODY = (" || ".join(x) for x in (("'<|'", "coalesce({c}_role, '')", "'|>'", "chr(10)"), ("coalesce({c}_text, '')", "'<|end|>'", "chr(10)")))
+
+
+def _side(c: str, name: str) -> str:
+    head, body = _HEAD.format(c=c), _BODY.format(c=c)
+    learns = f"differ > 0 AND {c} IS NOT NULL AND {c}_role = 'assistant'"
+    return f"""CASE WHEN differ > 0 AND {c} IS NOT NULL THEN {head} || {body} END AS {name},
+  CASE WHEN {learns} THEN length({head}) ELSE 0 END AS {name}_loss_start, CASE WHEN {learns} THEN length({head} || {body}) ELSE 0 END AS {name}_loss_end"""
+
+
+OP3_PAIRED_ORACLE = (
+    OP3_WHOLE_ORACLE[: OP3_WHOLE_ORACLE.index("met AS (")]
+    + f"""met AS (
+  SELECT chosen_id, rejected_id, turn, part, """
+    + ", ".join(f"max(CASE WHEN side = '{side}' THEN {column} END) AS {name}" for c, side in (("a", "chosen"), ("b", "rejected")) for column, name in (("same", c), ("role", f"{c}_role"), ("text", f"{c}_text")))
+    + f"""
+  FROM sides GROUP BY ALL),
+walked AS (
+  SELECT *, sum(CASE WHEN a IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (
+    PARTITION BY chosen_id ORDER BY turn NULLS FIRST, part ROWS UNBOUNDED PRECEDING) AS differ
+  FROM met)
+SELECT chosen_id, rejected_id, CASE WHEN differ = 0 THEN 'prompt' ELSE 'completion' END AS segment, turn, part AS turn_part,
+  CASE WHEN differ = 0 THEN {_HEAD.format(c="a")} || {_BODY.format(c="a")} END AS prompt,
+  {_side("a", "chosen")},
+  {_side("b", "rejected")},
+  count(*) FILTER (differ = 0) OVER (PARTITION BY chosen_id) AS n_prompt_turns
+FROM walked"""
+)

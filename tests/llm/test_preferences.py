@@ -56,3 +56,37 @@ def test_whole_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
     assert len(got) > 0 and sorted(con.execute(preferences.OP3_WHOLE_ORACLE).fetchall(), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_paired_rows_against_sql_and_the_longer_form(spark):
+    """One row per turn of a pair holds what the longer form spreads over a row for each side."""
+    for rows in (ROWS, [r for r in ROWS if r[0] != 20], ROWS[:4]):
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        turns = preferences.turns_of(df)
+        pairs, alone = preferences.whole_pairs(turns)
+        both = pairs.union(alone.selectExpr("conv_id", "CAST(NULL AS bigint)"))
+        got = preferences.format_paired(turns, both).collect()
+        con = duckdb.connect()
+        con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+        assert sorted(con.execute(preferences.OP3_PAIRED_ORACLE).fetchall(), key=str) == sorted(map(tuple, got), key=str)
+        spread = []
+        for r in got:
+            ids, at = (r.chosen_id, r.rejected_id), (r.turn, r.turn_part)
+            if r.segment == "prompt":
+                assert r.chosen is None and r.rejected is None and r.chosen_loss_end == r.rejected_loss_end == 0
+                spread.append((*ids, "prompt", *at, r.prompt, 0, 0, r.n_prompt_turns))
+            if r.chosen is not None:
+                spread.append((*ids, "chosen", *at, r.chosen, r.chosen_loss_start, r.chosen_loss_end, r.n_prompt_turns))
+            if r.rejected is not None:
+                spread.append((*ids, "rejected", *at, r.rejected, r.rejected_loss_start, r.rejected_loss_end, r.n_prompt_turns))
+        longer = [(*r[:5], *r[6:]) for r in preferences.format_pairs(turns, pairs).union(preferences.format_alone(turns, alone)).collect()]
+        assert sorted(spread, key=str) == sorted(longer, key=str)
+    assert preferences.format_paired(turns.limit(0), both.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = preferences.op3_preference_formatting(spark, sf).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    assert len(got) > 0 and sorted(con.execute(preferences.OP3_PAIRED_ORACLE).fetchall(), key=str) == sorted(map(tuple, got), key=str)
