@@ -169,9 +169,12 @@ class Paillier:
     def times(self, c: int, x: float) -> int:
         return pow(c, self.encode(x), self.n**2)
 
-    def zeros(self, count: int) -> list[int]:
-        """Encryptions of 0, to refresh quick encodings with."""
-        return [self.encrypt(0.0) for _ in range(count)]
+    def zeros(self, count: int, base: int | None = None) -> list[int]:
+        """Encryptions of 0, to refresh quick encodings with. With base, only so many are powers; the others
+        are products of two of them."""
+        own = [self.encrypt(0.0) for _ in range(min(count, base or count))]
+        rng = random.SystemRandom()
+        return own + [self.add(rng.choice(own), rng.choice(own)) for _ in range(count - len(own))]
 
 
 def encrypt_column(column: Column, key: Paillier, zeros: list[int] | None = None) -> Column:
@@ -229,6 +232,101 @@ def cipher_sum(df: DataFrame, keys: list[str], column: str, key: Paillier, salts
     return own.mapInPandas(partial, own.schema).groupBy(*keys).agg(product(column).alias(column))
 
 
+def exponent_encode(column: Column, precision: float = 0.001) -> Column:
+    """struct(mantissa, exponent) with value = mantissa * 2 ** exponent: the exponent is the largest at which
+    a step of the mantissa is no more than `precision`, and grows where the mantissa would pass 2 ** 53."""
+    low = math.floor(math.log2(precision))
+    wide = F.greatest(F.lit(low), F.ceil(F.log2(F.greatest(F.abs(column), F.lit(1e-300)))) - 53).cast("int")
+    mantissa = F.round(column / F.pow(F.lit(2.0), wide)).cast("long")
+    return F.struct(mantissa.alias("mantissa"), wide.alias("exponent"))
+
+
+def exponent_decode(encoded: Column) -> Column:
+    return encoded["mantissa"] * F.pow(F.lit(2.0), encoded["exponent"])
+
+
+def cipher_matmul(df: DataFrame, cipher: str, features: list[str], key: Paillier, keys: list[str] | None = None) -> DataFrame:
+    """([keys,] feature, product): for each plain feature, the encrypted sum over rows of x times the cipher
+    column, that is one row of X' E(v). Rows are multiplied where they lie and summed as cipher_sum does."""
+    keys = keys or []
+    long = df.select(*keys, cipher, *[F.col(c).cast("double").alias(c) for c in features]).unpivot([*keys, cipher], features, "feature", "x")
+    products = long.withColumn("product", times_column(F.col(cipher), F.col("x"), key))
+    return cipher_sum(products, [*keys, "feature"], "product", key)
+
+
+def dot_encrypted(values: Column, weights: list[int], key: Paillier) -> Column:
+    """Hex cipher of the dot product of a plain array column with encrypted weights: what a party computes
+    for the layer of another one."""
+    public, n2 = key.public, key.n**2
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        def one(row) -> str:
+            out = 1
+            for a, w in zip(row, weights, strict=True):
+                out = out * public.times(w, float(a)) % n2
+            return f"{out:x}"
+
+        return x.map(one)
+
+    return run(values)
+
+
+#: Bits of one packed number: the places of a sum, with room for the sign and 2 ** 16 rows at 2 ** 40 each.
+PACKED_BITS = 96
+
+
+def encrypt_packed(columns: list[Column], key: Paillier, zeros: list[int]) -> Column:
+    """Several reals in one plaintext, PACKED_BITS apart, so that one sum over ciphers adds them all."""
+    public = key.public
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        rng, n2 = random.SystemRandom(), public.n**2
+
+        def one(row) -> str:
+            m = sum(round(v * (1 << public.precision)) << PACKED_BITS * k for k, v in enumerate(row)) % public.n
+            return f"{(1 + m * public.n) * rng.choice(zeros) % n2:x}"
+
+        return x.map(one)
+
+    return run(F.array(*[c.cast("double") for c in columns]))
+
+
+def decrypt_packed(column: Column, key: Paillier, count: int) -> Column:
+    """The packed reals as an array."""
+    half, whole = 1 << PACKED_BITS - 1, 1 << PACKED_BITS
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        def one(v: str) -> list[float]:
+            u = pow(int(v, 16), key.lam, key.n**2)
+            m = (u - 1) // key.n * pow(key.lam, -1, key.n) % key.n
+            m = m - key.n if m > key.n // 2 else m
+            out = []
+            for _ in range(count):
+                low = (m + half) % whole - half
+                out.append(low / (1 << key.precision))
+                m = (m - low) >> PACKED_BITS
+            return out
+
+        return x.map(one)
+
+    return run(column)
+
+
+def system(name: str, bits: int = 1024, seed: int | None = None, zeros: int = 64):
+    """(encrypt, sum, decrypt) of a system by name: plain, paillier or fast_paillier. encrypt takes a column,
+    sum (df, keys, column), decrypt a column of sums."""
+    if name == "plain":
+        return (lambda c: c), (lambda df, keys, c: df.groupBy(*keys).agg(F.sum(c).alias(c))), (lambda c: c)
+    if name not in ("paillier", "fast_paillier"):
+        raise ValueError(f"no system named {name}")
+    key = Paillier.generate(bits, seed=seed)
+    quick = key.zeros(zeros, base=8) if name == "fast_paillier" else None
+    return (lambda c: encrypt_column(c, key, quick)), (lambda df, keys, c: cipher_sum(df, keys, c, key)), (lambda c: decrypt_column(c, key))
+
+
 # --- SM3 (GB/T 32905-2016) ---
 
 _SM3_START = (0x7380166F, 0x4914B2B9, 0x172442D7, 0xDA8A0600, 0xA96F30BC, 0x163138AA, 0xE38DEE4D, 0xB0FB0E4E)

@@ -80,3 +80,11 @@ def softmax(scores: list[Column]) -> list[Column]:
     e = [F.exp(s - top) for s in scores]
     total = sum(e[1:], e[0])
     return [x / total for x in e]
+
+
+def multi_cross_entropy(y: Column, scores: list[Column]) -> tuple[Column, list[Column], list[Column]]:
+    """Loss, and gradient and hessian for each class, in the raw scores; y counts classes from 0."""
+    p = softmax(scores)
+    hit = [(y == k).cast("double") for k in range(len(scores))]
+    loss = -F.log(sum((h * x for h, x in zip(hit[1:], p[1:], strict=True)), hit[0] * p[0]))
+    return loss, [x - h for x, h in zip(p, hit, strict=True)], [x * (1 - x) for x in p]

@@ -196,3 +196,52 @@ def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
         "feature", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max", "nunique",
         (1 - F.col("count") / F.col("_n")).alias("missing_rate"), (F.col("max") - F.col("min")).alias("range"), (F.col("top_n") / F.col("count")).alias("top_share"),
     )
+
+
+def private_woe(passive: DataFrame, active: DataFrame, id_col: str, features: Sequence[str], label: str, key, n_bins: int = 3, zeros: int = 32) -> DataFrame:
+    """woe() between two parties: the active one sends E(y) and E(1 - y) by id, the passive one sums them per
+    (feature, bin) without seeing a label, and the active one decrypts a row per bin."""
+    from ..functions import crypto
+
+    quick = key.zeros(zeros, base=8)
+    y = F.col(label).cast("double")
+    sent = active.select(id_col, crypto.encrypt_packed([y, 1 - y], key, quick).alias("c"))
+    edges = width_edges(passive, features, n_bins)
+    long = long_form(passive.join(sent, id_col), ["c"], features).withColumn("bin", _coded(edges, bin_code))
+    sums = crypto.cipher_sum(long.select("feature", "bin", "c"), ["feature", "bin"], "c", key)
+    counts = sums.withColumn("n", crypto.decrypt_packed(F.col("c"), key, 2))
+    rows = counts.select("feature", "bin", F.round(F.col("n")[0]).cast("long").alias("pos"), F.round(F.col("n")[1]).cast("long").alias("neg"))
+    whole = W.partitionBy("feature")
+    shares = rows.withColumn("_p", F.col("pos") / F.sum("pos").over(whole)).withColumn("_q", F.col("neg") / F.sum("neg").over(whole))
+    raised = F.when((F.col("pos") == 0) | (F.col("neg") == 0), F.lit(EMPTY)).otherwise(0.0)
+    out = shares.withColumn("woe", F.log((F.col("_p") + raised) / (F.col("_q") + raised)))
+    return out.select("feature", "bin", "pos", "neg", "woe", ((F.col("_p") - F.col("_q")) * F.col("woe")).alias("iv"))
+
+
+def profile(df: DataFrame, features: Sequence[str], label: str, k: int = 3) -> DataFrame:
+    """One row per feature: information value, its share of all, its rank, and the k most frequent values
+    (the least of equally frequent ones first) with their shares of the column's rows."""
+    iv = information_value(df, features, label)
+    counts = long_form(df, [], features).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    # the k greatest (n, -value) per feature: a bounded buffer, not a sort of all values
+    top = counts.groupBy("feature").agg(F.sum("n").alias("rows"), *[F.max_by("value", F.struct("n", -F.col("value"))).alias("top1")])
+    for place in range(2, k + 1):
+        gone = F.array(*[F.col(f"top{j}") for j in range(1, place)])
+        rest = counts.join(F.broadcast(top.select("feature", gone.alias("_gone"))), "feature").where(~F.array_contains("_gone", F.col("value")))
+        top = top.join(rest.groupBy("feature").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias(f"top{place}")), "feature", "left")
+    top = top.withColumn("value", F.explode_outer(F.array(*[F.struct(F.lit(j).alias("place"), F.col(f"top{j}").alias("value")) for j in range(1, k + 1)])))
+    named = top.select("feature", "rows", "value.*").join(counts, ["feature", "value"], "left")
+    tops = named.groupBy("feature").agg(*[F.max(F.when(F.col("place") == j, c)).alias(f"{n}{j}") for j in range(1, k + 1) for n, c in (("top", F.col("value")), ("share", F.col("n") / F.col("rows")))])
+    all_ = W.partitionBy(F.lit(0))  # one row per feature
+    ranked = iv.withColumn("iv_share", F.col("iv") / F.sum("iv").over(all_)).withColumn("iv_rank", F.row_number().over(W.orderBy(F.col("iv").desc(), "feature")))
+    return ranked.join(tops, "feature")
+
+
+def top_features(importances: DataFrame, k: int = 20) -> DataFrame:
+    """The k features of greatest importance with their ranks: the table behind a bar chart."""
+    return importance_ranking(importances).where(F.col("rank") <= k)
+
+
+def fill_missing(df: DataFrame, features: Sequence[str], value: float = -1.0) -> DataFrame:
+    """Nulls and NaNs as one value of their own."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(value)) for c in features})

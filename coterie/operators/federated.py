@@ -56,9 +56,11 @@ def local_gradients(df: DataFrame, features: Sequence[str], label: str, weights:
     return rows.select("client_id", "r", F.posexplode("x").alias("idx", "v")).groupBy("client_id", "idx").agg(F.count("*").alias("n"), (-F.avg(F.col("r") * F.col("v"))).alias("g"))
 
 
-def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local_steps: int = 1, rate: float = 0.1, method: str = "fedavg", mu: float = 0.0, logistic: bool = False, squared_prox: bool = False) -> list[float]:
+def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local_steps: int = 1, rate: float = 0.1, method: str = "fedavg", mu: float = 0.0, logistic: bool = False, squared_prox: bool = False, bound: float | None = None, noise: tuple[str, float, float] | None = None, seed: int = 0) -> list[float]:
     """Federated training of a linear model with full local batches: fedavg, fedavg_mean, fedprox or
-    scaffold. What reaches the driver is one weight vector per client and step."""
+    scaffold. What reaches the driver is one weight vector per client and step. bound clips each client's
+    gradient to that l2 norm; noise = (gaussian or laplace, epsilon, delta) is then added to what it sends."""
+    rng = np.random.default_rng(seed)
     spark, m = df.sparkSession, len(features)
     clients = [r["client_id"] for r in df.select("client_id").distinct().collect()]
     shared = np.zeros(m)
@@ -73,6 +75,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local
                 g[r["client_id"]][r["idx"]], n[r["client_id"]] = r["g"], r["n"]
             for c in clients:
                 step = g[c]
+                if bound is not None:
+                    step = step / max(1.0, np.linalg.norm(step) / bound)
                 if method == "fedprox":
                     away = w[c] - shared
                     size = np.linalg.norm(away)
@@ -80,6 +84,11 @@ def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local
                 elif method == "scaffold":
                     step = step + control - own_control[c]
                 w[c] = w[c] - rate * step
+        if noise is not None:
+            kind, epsilon, delta = noise
+            reach = 2 * rate * (bound if bound is not None else 1.0)
+            for c in clients:
+                w[c] = w[c] + (rng.normal(0, np.sqrt(2 * np.log(1.25 / delta)) * reach / epsilon, m) if kind == "gaussian" else rng.laplace(0, reach / epsilon, m))
         if method == "scaffold":
             new = {c: own_control[c] - control + (shared - w[c]) / (local_steps * rate) for c in clients}
             control = control + sum(new[c] - own_control[c] for c in clients) / len(clients)
@@ -87,3 +96,29 @@ def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local
         share = {c: (1 / len(clients) if method == "fedavg_mean" else n[c] / sum(n.values())) for c in clients}
         shared = sum(share[c] * w[c] for c in clients)
     return shared.tolist()
+
+
+def inference(df: DataFrame, features: Sequence[str], weights: Sequence[Sequence[float]]) -> DataFrame:
+    """df with prediction (the class of greatest linear score, the first of equal ones) and loss (softmax
+    cross entropy against `label`)."""
+    from ..functions.losses import multi_cross_entropy
+
+    scores = [reduce(add, [F.col(c) * F.lit(float(w)) for c, w in zip(features, own, strict=True)]) for own in weights]
+    loss, _, _ = multi_cross_entropy(F.col("label"), scores)
+    best = F.array_position(F.array(*scores), F.greatest(*scores)) - 1
+    return df.withColumn("prediction", best.cast("int")).withColumn("loss", loss)
+
+
+def score(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, accuracy, loss) of what inference gives."""
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    return predicted.groupBy(*by).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg("loss").alias("loss"))
+
+
+def iid_clients(df: DataFrame, id_col: str, clients: int, seed: int = 0) -> DataFrame:
+    """Adds client_id: rows in the order of a hash, dealt out in turn."""
+    from ..functions.ordered import row_numbers
+    from .select import hash_order
+
+    ranked = row_numbers(df.withColumn("_h", hash_order(id_col, seed=seed)), "_h", [id_col], "_rn")
+    return ranked.withColumn("client_id", ((F.col("_rn") - 1) % clients).cast("int")).drop("_h", "_rn")

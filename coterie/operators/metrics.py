@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.ordered import running
 
@@ -130,3 +131,27 @@ def silhouette(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     b = F.array_min(F.transform(F.filter("each", lambda k: k["c"] != F.col("c")), lambda k: k["d"]))
     s = F.when(own["n"] <= 1, 0.0).otherwise((b - a) / F.greatest(a, b))
     return both.groupBy(F.col("c").alias("cluster")).agg(F.avg(s).alias("silhouette"))
+
+
+def class_accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """(label, n, accuracy) per class."""
+    return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.avg((F.col(pred) == F.col(label)).cast("double")).alias("accuracy"))
+
+
+def attack_success(df: DataFrame, label: str, pred: str, target: int) -> DataFrame:
+    """(n, rate): of the rows of other classes, how many the attacked model gives the target class."""
+    return df.where(F.col(label) != target).agg(F.count("*").alias("n"), F.avg((F.col(pred) == target).cast("double")).alias("rate"))
+
+
+def confident_top_k(df: DataFrame, scores: str, label: str, per_class: int) -> DataFrame:
+    """(label, n, accuracy) over the rows of each predicted class with the greatest score, per_class of each:
+    a bounded list per class, merged from partial lists."""
+    best = F.array_max(scores)
+    rows = df.select((F.array_position(scores, best) - 1).cast("int").alias("pred"), best.alias("score"), F.col(label).alias("label"), "id")
+    rank = F.row_number().over(W.partitionBy("pred").orderBy(F.col("score").desc(), "id"))  # Spark keeps per_class rows a task
+    return rows.withColumn("_rn", rank).where(F.col("_rn") <= per_class).groupBy(F.col("pred").alias("label")).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+
+
+def residuals(df: DataFrame, id_col: str, y: str, p: str) -> DataFrame:
+    """(id, residual): the series behind a residual plot."""
+    return df.select(id_col, (F.col(y) - F.col(p)).alias("residual"))

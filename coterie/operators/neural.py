@@ -153,3 +153,27 @@ def label_dp(label: Column, n_classes: int, epsilon: float, seed: int) -> Column
     stay = float(np.exp(epsilon) / (np.exp(epsilon) + n_classes - 1))
     other = F.floor(F.rand(seed + 1) * (n_classes - 1)).cast("int")
     return F.when(F.rand(seed) < stay, label).otherwise(F.when(other >= label, other + 1).otherwise(other)).cast("int")
+
+
+def u_shaped(df: DataFrame, inputs: Sequence[str], bottom: Sequence[Sequence[float]], middle: Sequence[Sequence[float]], head: Sequence[float], label: str) -> DataFrame:
+    """A forward pass of a network cut twice: the client keeps bottom and head layers and the label, the
+    server sees hidden values only. Adds probability and loss; layers are weights without bias, tanh between."""
+    rows = lambda xs, layer: [F.tanh(sum((x * F.lit(float(w)) for x, w in zip(xs[1:], own[1:], strict=True)), xs[0] * F.lit(float(own[0])))) for own in layer]
+    client = df.withColumn("_sent", F.array(*rows([F.col(c) for c in inputs], bottom)))
+    hidden = [F.col("_sent")[k] for k in range(len(bottom))]
+    server = client.withColumn("_back", F.array(*rows(hidden, middle)))
+    top = [F.col("_back")[k] for k in range(len(middle))]
+    score = sum((x * F.lit(float(w)) for x, w in zip(top[1:], head[1:], strict=True)), top[0] * F.lit(float(head[0])))
+    p = 1 / (1 + F.exp(-score))
+    y = F.col(label)
+    return server.withColumn("probability", p).withColumn("loss", -(y * F.log(F.col("probability")) + (1 - y) * F.log(1 - F.col("probability")))).drop("_sent", "_back")
+
+
+def encrypted_layer(df: DataFrame, vec: str, weights: Sequence[float], key, noise: float = 0.0) -> DataFrame:
+    """Adds output: the dot product of vec with weights that its owner sent encrypted. The computing party adds
+    its own noise under encryption, so that decryption shows only the noisy sum, and takes it off again."""
+    from ..functions import crypto
+
+    sent = [key.encrypt(float(w)) for w in weights]
+    cipher = crypto.dot_encrypted(F.concat(F.col(vec), F.array(F.lit(float(noise)))), [*sent, key.encrypt(1.0)], key)
+    return df.withColumn("output", crypto.decrypt_column(cipher, key, products=1) - F.lit(float(noise)))

@@ -111,3 +111,14 @@ def pca(df: DataFrame, id_col: str, features: Sequence[str], k: int, whiten: boo
 
 def compose(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     return reduce(lambda out, step: out.transform(step), steps, df)
+
+
+def embedding_sizes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, size, dim): distinct values of each column and min(50, (size + 1) / 2)."""
+    row = df.agg(*[F.countDistinct(c).alias(c) for c in columns])
+    return row.unpivot([], list(columns), "column", "size").select("column", "size", F.least(F.lit(50), F.expr("(size + 1) div 2")).cast("long").alias("dim"))
+
+
+def flatten_image(pixels: Column, mean: float, deviation: float, top: float = 1.0) -> Column:
+    """An image of rows of pixels (0 to top) as one array, centred and scaled."""
+    return F.transform(F.flatten(pixels), lambda x: (x.cast("double") / F.lit(top) - F.lit(mean)) / F.lit(deviation))

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window as W
 from ..functions import losses
 from ..functions.ordered import row_numbers
 from ..shared import stash
+from . import metrics
 from .select import hash_order
 from .transform import bin_code, tree_edges
 
@@ -59,6 +60,42 @@ def histogram(df: DataFrame, features: Sequence[str], node: str = "node") -> Dat
     return long.groupBy(node, "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
 
 
+def cipher_histogram(df: DataFrame, features: Sequence[str], key, zeros: int = 32, packed: bool = True) -> DataFrame:
+    """(feature, bin, g, h, n): the histogram that a party sums over encrypted gradients and hessians, which it
+    can't read, as their owner decrypts it. packed: both travel in one cipher."""
+    from ..functions import crypto
+
+    quick = key.zeros(zeros, base=8)
+    if packed:
+        sent = df.select(*features, crypto.encrypt_packed([F.col("g"), F.col("h")], key, quick).alias("gh"))
+        long = sent.unpivot(["gh"], list(features), "feature", "bin").withColumn("n", F.lit(1))
+        sums = crypto.cipher_sum(long, ["feature", "bin"], "gh", key).withColumn("x", crypto.decrypt_packed(F.col("gh"), key, 2))
+        out = sums.select("feature", "bin", F.col("x")[0].alias("g"), F.col("x")[1].alias("h"))
+    else:
+        sent = df.select(*features, *[crypto.encrypt_column(F.col(c).cast("double"), key, quick).alias(c) for c in "gh"])
+        long = sent.unpivot(["g", "h"], list(features), "feature", "bin")
+        both = [crypto.cipher_sum(long, ["feature", "bin"], c, key) for c in "gh"]
+        out = both[0].join(both[1], ["feature", "bin"]).select("feature", "bin", *[crypto.decrypt_column(F.col(c), key).alias(c) for c in "gh"])
+    counts = df.select(*features).unpivot([], list(features), "feature", "bin").groupBy("feature", "bin").agg(F.count("*").alias("n"))
+    return out.join(counts, ["feature", "bin"])
+
+
+def class_histogram(df: DataFrame, features: Sequence[str], classes: int) -> DataFrame:
+    """(feature, bin, class, g, h, n) of columns g0, h0, g1, h1, ...: one sum per class."""
+    long = df.select(*[f"{x}{k}" for k in range(classes) for x in "gh"], *features).unpivot([f"{x}{k}" for k in range(classes) for x in "gh"], list(features), "feature", "bin")
+    sums = long.groupBy("feature", "bin").agg(F.count("*").alias("n"), *[F.sum(f"{x}{k}").alias(f"{x}{k}") for k in range(classes) for x in "gh"])
+    each = F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"g{k}").alias("g"), F.col(f"h{k}").alias("h")) for k in range(classes)])
+    return sums.select("feature", "bin", "n", F.inline(each))
+
+
+def class_split_gains(hist: DataFrame, lam: float = 0.1, gamma: float = 0.1) -> DataFrame:
+    """(feature, bin, gain): structure scores are summed over the classes, gamma counts once."""
+    upto, whole = W.partitionBy("feature", "class").orderBy("bin"), W.partitionBy("feature", "class")
+    out = hist.select("feature", "bin", "class", *[F.sum(c).over(upto).alias(f"{c}l") for c in "gh"], *[F.sum(c).over(whole).alias(f"{c}t") for c in "gh"], F.max("bin").over(whole).alias("_last"))
+    own = gain(F.col("gl"), F.col("hl"), F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl"), lam, 0.0)
+    return out.where("bin < _last").groupBy("feature", "bin").agg((F.sum(own) - gamma).alias("gain"))
+
+
 def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
     """The sibling's histogram: the parent's minus the child's (both without a node column)."""
     joined = parent.join(child.select("feature", "bin", *[F.col(c).alias(f"_{c}") for c in ("g", "h", "n")]), ["feature", "bin"], "left")
@@ -194,17 +231,22 @@ class BoostedTrees:
         """Every round writes the raw score with the rows, so plans do not grow with the number of trees."""
         self.edges = {c: tree_edges(df, c, self.params.max_bin)[:-1] for c in self.features}
         self.trees = []
-        rows = df.select(self.id_col, F.col(self.label).cast("double").alias("_y"), *self.features).withColumn("_s", F.lit(0.0))
-        for k in range(self.n_trees):
+        return self.resume(df)
+
+    def resume(self, df: DataFrame) -> BoostedTrees:
+        """Goes on from the trees that are there (a saved model's, with its edges) up to n_trees."""
+        rows = df.select(self.id_col, F.col(self.label).cast("double").alias("_y"), *self.features)
+        rows = rows.withColumn("_s", self.raw())
+        for k in range(len(self.trees), self.n_trees):
             p = replace(self.params, seed=self.params.seed + k)
             pred = losses.sigmoid(F.col("_s")) if self.task == "binary" else F.col("_s")
             loss = losses.cross_entropy if self.task == "binary" else losses.squared
             _, g, h = loss(F.col("_y"), pred)
             data = rows.withColumn("g", g).withColumn("h", h)
             if p.goss:
-                data = goss(data, self.id_col, *p.goss, seed=p.seed)
+                data = stash(goss(data, self.id_col, *p.goss, seed=p.seed), "sample")
             elif p.subsample < 1:
-                data = sample_rows(data, self.id_col, p.subsample, p.seed)
+                data = stash(sample_rows(data, self.id_col, p.subsample, p.seed), "sample")
             own = list(self.features)
             if p.colsample < 1:
                 import random
@@ -218,6 +260,13 @@ class BoostedTrees:
     def predict(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.prediction())
 
+    def score(self, df: DataFrame) -> DataFrame:
+        """One row of metrics of the predictions: binary or regression ones, by the task."""
+        out = self.predict(df)
+        if self.task == "binary":
+            return metrics.binary_metrics(out, self.label, "prediction")
+        return metrics.regression_metrics(out, self.label, "prediction")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """The model as rows: one per node."""
         rows = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, replace
 from enum import Enum
 
@@ -101,6 +102,16 @@ class PartyFrame:
         k = int(passive_share * self.n_features)
         return self.with_df(self.df, self.feature_cols[k:]), PartyFrame(self.df, self.id_col, self.feature_cols[:k], None, self.task)
 
+    def permuted(self, option: str = "sequence", seed: int = 0, importances: dict[str, float] | None = None) -> PartyFrame:
+        """Features in another order: as they are (sequence), by a hash of seed and name (random), or by
+        falling importance, the name deciding between equal ones."""
+        order = {
+            "sequence": lambda c: 0,
+            "random": lambda c: hashlib.md5(f"{seed}-{c}".encode()).hexdigest(),
+            "importance": lambda c: (-importances[c], c),
+        }[option]
+        return self.with_df(self.df, tuple(sorted(self.feature_cols, key=order)))
+
     def feature_split(self, n: int) -> list[PartyFrame]:
         """Groups of equally many features; the last takes the remainder. The label stays in each."""
         step = self.n_features // n

@@ -250,14 +250,6 @@ def tree_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return trees.histogram(_coded(spark, sf), _TREE).select("feature", "bin", F.round("g", 6).alias("g"), F.round("h", 6).alias("h"), "n")
 
 
-@query(f"WITH {fx.JOINED}, {_GH}, {_BINS}, part AS (SELECT feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM coded GROUP BY 1, 2) SELECT feature, bin, round(0 * g, 6) AS g, round(0 * h, 6) AS h, 0 * n AS n FROM part")
-def tree_sibling(spark: SparkSession, sf: str) -> DataFrame:
-    """A histogram minus itself."""
-    h = trees.histogram(_coded(spark, sf), _TREE).drop("node")
-    out = trees.subtract(h, h)
-    return out.select("feature", "bin", (F.round("g", 6) + 0.0).alias("g"), (F.round("h", 6) + 0.0).alias("h"), "n")
-
-
 _GAINS = """cum AS (SELECT feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER f AS gt, sum(h) OVER f AS ht, max(bin) OVER f AS last FROM hist WINDOW w AS (PARTITION BY feature ORDER BY bin), f AS (PARTITION BY feature)),
   gains AS (SELECT *, 0.5 * (0.5 * gl * gl / (hl + 0.1) + 0.5 * (gt - gl) * (gt - gl) / (ht - hl + 0.1) - 0.5 * gt * gt / (ht + 0.1)) - 0.1 AS gain FROM cum WHERE bin < last)"""
 

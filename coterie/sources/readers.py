@@ -6,12 +6,15 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..party import PartyFrame, Role, Task
+
 #: JDBC url prefix and default port per kind of database; some speak another one's protocol.
 DATABASES = {"mysql": ("jdbc:mysql", 3306), "mariadb": ("jdbc:mariadb", 3306), "oracle": ("jdbc:oracle:thin", 1521), "gaussdb": ("jdbc:postgresql", 6789), "gbase8a": ("jdbc:mysql", 6789), "db2": ("jdbc:db2", 50000)}
 
@@ -152,3 +155,25 @@ def party_crops(pixels, height: int, width: int, parties: int) -> list:
         return [crop(pixels, height, width, t, x, h, w) for t in (0, h) for x in (0, w)]
     step = width // parties
     return [crop(pixels, height, width, 0, k * step, height, step if k < parties - 1 else width - step * k) for k in range(parties)]
+
+
+@dataclass(frozen=True)
+class NamedDataset:
+    """Where a data set lies and what its columns are."""
+
+    path: str
+    id_col: str
+    features: tuple[str, ...]
+    label: str
+    task: Task = Task.CLASSIFICATION
+
+
+def named_dataset(spark: SparkSession, known: dict[str, NamedDataset], name: str, role: Role, passive_share: float = 0.5, permute: str = "sequence", seed: int = 0, importances: dict[str, float] | None = None) -> PartyFrame:
+    """One party's side of a data set by name: features are permuted, the first int(share * n) go to the
+    passive party, the others and the label to the active one."""
+    if name not in known:
+        raise ValueError(f"no data set named {name}; there are {sorted(known)}")
+    d = known[name]
+    whole = PartyFrame(from_anyfile(spark, d.path), d.id_col, d.features, d.label, d.task).permuted(permute, seed, importances)
+    active, passive = whole.vertical_split(passive_share)
+    return active if role is Role.ACTIVE else passive

@@ -19,6 +19,21 @@ def load_weights(spark: SparkSession, path: str) -> dict[str, float]:
     return {r["name"]: r["value"] for r in spark.read.parquet(path).collect()}
 
 
+def save_layers(spark: SparkSession, layers: dict, epoch: int, path: str) -> None:
+    """Named arrays of any shape (a network's weights, an optimizer's state) and the epoch."""
+    import numpy as np
+
+    rows = [(epoch, name, list(np.shape(x)), np.asarray(x, float).ravel().tolist()) for name, x in sorted(layers.items())]
+    spark.createDataFrame(rows, "epoch int, name string, shape array<int>, data array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_layers(spark: SparkSession, path: str) -> tuple[dict, int]:
+    import numpy as np
+
+    rows = spark.read.parquet(path).collect()  # a row per layer
+    return {r["name"]: np.array(r["data"]).reshape(r["shape"]) for r in rows}, rows[0]["epoch"]
+
+
 def save_trees(model, spark: SparkSession, path: str) -> None:
     model.table(spark).write.mode("overwrite").parquet(path)
 
