@@ -8,29 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
 RANGES = 64
 
 
-def with_range(df: DataFrame, by: str, ranges: int = RANGES) -> DataFrame:
-    """Adds _range: 0, 1, ... in rising order of the numeric column `by` (nulls first)."""
-    cuts = sorted(set(df.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.5 / ranges)))
-    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(by))) if cuts else F.lit(0)
-    return df.withColumn("_range", F.coalesce(F.when(F.col(by).isNull(), -1).otherwise(number), F.lit(0)).cast("int"))
+def _below(column: Column, cuts: list) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= column)) if cuts else F.lit(0)
+
+
+def with_range(df: DataFrame, by: str, tie: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """Adds _range and _sub, which in this order cut the rows into ranges in rising order of (the numeric
+    column `by`, tie[0]), nulls first. A value that holds a range's share of the rows or more has a range of
+    its own, cut further at quantiles of the first tie column if that is numeric."""
+    shares = [k / ranges for k in range(1, ranges)]
+    marks = df.approxQuantile(by, shares, 0.5 / ranges)
+    cuts = sorted(set(marks))
+    heavy = sorted({c for c in cuts if marks.count(c) > 1})
+    own = F.col(by).isin(heavy) if heavy else F.lit(False)
+    # even numbers hold just the cut itself, odd ones what lies between it and the next
+    number = 2 * _below(F.col(by), cuts) + F.when(own, 0).otherwise(1)
+    out = df.withColumn("_range", F.coalesce(F.when(F.col(by).isNull(), -1).otherwise(number), F.lit(0)).cast("int"))
+    sub = F.lit(0)
+    if heavy and tie and isinstance(df.schema[tie[0]].dataType, NumericType):
+        sub = F.when(own, _below(F.col(tie[0]), sorted(set(df.approxQuantile(tie[0], shares, 0.5 / ranges))))).otherwise(0)
+    return out.withColumn("_sub", F.coalesce(sub, F.lit(0)).cast("int"))
 
 
 def running(df: DataFrame, by: str, tie: list[str], sums: dict[str, Column], descending: bool = False, peers: bool = False) -> DataFrame:
     """Adds, for each name in sums, the running sum of its column in the order of (by, *tie). With peers,
     rows of equal order get the sum up to the last of them."""
-    ranged = with_range(df, by)
+    ranged = with_range(df, by, None if peers else tie)
     way = (lambda c: F.col(c).desc()) if descending else F.col
-    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    across = W.orderBy(F.col("_range").desc() if descending else F.col("_range")).rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = W.partitionBy("_range").orderBy(way(by), *([] if peers else tie))
+    totals = ranged.groupBy("_range", "_sub").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    across = W.orderBy(way("_range"), "_sub").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    before = totals.select("_range", "_sub", *[F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = W.partitionBy("_range", "_sub").orderBy(way(by), *([] if peers else tie))
     inside = inside.rangeBetween(W.unboundedPreceding, W.currentRow) if peers else inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = ranged.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(F.broadcast(before), "_range")
+    out = ranged.select("*", *[F.sum(c).over(inside).alias(f"_i_{n}") for n, c in sums.items()]).join(F.broadcast(before), ["_range", "_sub"])
     return out.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.losses import sigmoid
 from ..functions.ordered import row_numbers
+from ..shared import stash
 from .select import hash_order
 
 
@@ -62,7 +63,8 @@ class LinearModel:
             if self.batch_size < 0:
                 parts = [df]
             else:
-                batched = with_batch(df, self.id_col, self.batch_size, epoch)
+                # written once an epoch, a folder per batch, so that a batch reads its own rows only
+                batched = stash(with_batch(df, self.id_col, self.batch_size, epoch), "batches", by="_batch")
                 parts = [batched.where(F.col("_batch") == b) for b in range(math.ceil(df.count() / self.batch_size))]
             for part in parts:
                 g = gradient(part, self.features, self.label, w, self.logistic, self.penalty, self.reg_lambda)

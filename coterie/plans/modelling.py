@@ -458,12 +458,32 @@ def fedavg_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return _fed(spark, sf, rounds=2, rate=0.2)
 
 
-@query()
+def _local_sql(method: str, rounds: int = 2, steps: int = 2, rate: float = 0.2, mu: float = 0.1) -> str:
+    """Rounds of local steps, unrolled: s the shared weights, w those of the clients, k and q the controls of
+    the clients and of the server."""
+    out = [_FED, "s0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b)", "k0 AS (SELECT DISTINCT client_id, 0::DOUBLE AS c, 0::DOUBLE AS d FROM data)", "q0 AS (SELECT 0::DOUBLE AS c, 0::DOUBLE AS d)"]
+    for r in range(rounds):
+        out.append(f"w{r}_0 AS (SELECT k.client_id, s.a, s.b FROM k{r} k, s{r} s)")
+        for t in range(steps):
+            out.append(f"g{r}_{t} AS (SELECT client_id, any_value(w.a) AS a, any_value(w.b) AS b, count(*) AS n, -avg((y - w.a * x0 - w.b * x1) * x0) AS g, -avg((y - w.a * x0 - w.b * x1) * x1) AS h FROM data JOIN w{r}_{t} w USING (client_id) GROUP BY 1)")
+            more = {
+                "fedprox": lambda v: f"CASE WHEN g.a = s.a AND g.b = s.b THEN 0 ELSE {mu} * (g.{v} - s.{v}) / (2 * sqrt((g.a - s.a) * (g.a - s.a) + (g.b - s.b) * (g.b - s.b))) END",
+                "scaffold": lambda v: f"q.{'c' if v == 'a' else 'd'} - k.{'c' if v == 'a' else 'd'}",
+            }[method]
+            out.append(f"w{r}_{t + 1} AS (SELECT client_id, n, g.a - {rate} * (g.g + {more('a')}) AS a, g.b - {rate} * (g.h + {more('b')}) AS b FROM g{r}_{t} g JOIN k{r} k USING (client_id), s{r} s, q{r} q)")
+        w = f"w{r}_{steps}"
+        out.append(f"s{r + 1} AS (SELECT sum(n * a) / sum(n) AS a, sum(n * b) / sum(n) AS b FROM {w})")
+        out.append(f"k{r + 1} AS (SELECT client_id, k.c - q.c + (s.a - w.a) / {steps * rate} AS c, k.d - q.d + (s.b - w.b) / {steps * rate} AS d FROM {w} w JOIN k{r} k USING (client_id), s{r} s, q{r} q)")
+        out.append(f"q{r + 1} AS (SELECT any_value(q.c) + avg(n.c - o.c) AS c, any_value(q.d) + avg(n.d - o.d) AS d FROM k{r + 1} n JOIN k{r} o USING (client_id), q{r} q)")
+    return f"WITH {', '.join(out)} SELECT round(a, 6) AS w0, round(b, 6) AS w1 FROM s{rounds}"
+
+
+@query(_local_sql("fedprox"))
 def fedprox_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return _fed(spark, sf, rounds=2, local_steps=2, rate=0.2, method="fedprox", mu=0.1)
 
 
-@query()
+@query(_local_sql("scaffold"))
 def scaffold_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return _fed(spark, sf, rounds=2, local_steps=2, rate=0.2, method="scaffold")
 

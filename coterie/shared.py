@@ -11,18 +11,22 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (local sessions), a folder of this process."""
+    """spark.checkpoint.dir; where it is unset, a folder of this process in a local session, and an error on
+    a cluster, whose executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="coterie-"))
     return _own[0]
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which ends its lineage."""
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder, in folders by a column if named, and read it back, which
+    ends its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/coterie-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

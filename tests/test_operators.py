@@ -396,3 +396,68 @@ def test_labels_beyond_the_first_ids_count(spark, tmp_path):
     assert registry.QUERIES["kmeans_labelled_centroids"](spark, str(tmp_path)).count() == 640
     label = {i: y for i, _, y in rows}
     assert all(r.cluster == label[r.vec_id] for r in registry.QUERIES["kmeans_constrained"](spark, str(tmp_path)).collect())
+
+
+def test_ties_are_cut_into_ranges(spark):
+    """One value in all rows still takes more than one range, and sums stay right."""
+    from coterie.functions.ordered import with_range
+
+    df = spark.range(5000).select("id", F.lit(1.0).alias("v"), (F.col("id") % 7).cast("double").alias("x"))
+    ranged = with_range(df, "v", ["id"]).groupBy("_range", "_sub").count().collect()
+    assert len(ranged) > 10 and max(r["count"] for r in ranged) < 1000
+    mixed = df.withColumn("v", F.when(F.col("id") % 3 == 0, 2.0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 11).cast("double"))
+    for descending in (False, True):
+        for peers in (False, True):
+            got = {r["id"]: r["s"] for r in running(mixed, "v", ["id"], {"s": F.col("x")}, descending, peers).collect()}
+            rows = [(r["v"], r["id"], r["x"]) for r in mixed.collect()]
+            rank = lambda v: -1e9 if v is None else v
+            rows.sort(key=lambda r: ((-rank(r[0]) if descending else rank(r[0])), r[1]))
+            total, want = 0.0, {}
+            for v, i, x in rows:
+                total += x
+                want[i] = total
+            if peers:
+                last = {v: want[i] for v, i, _ in rows}
+                want = {i: last[v] for v, i, _ in rows}
+            assert got == want, (descending, peers)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from coterie import shared
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
+
+
+def test_resumed_boosting(spark, two_classes):
+    from dataclasses import replace
+
+    params = trees.TreeParams(max_depth=2)
+    whole = trees.BoostedTrees(["a", "b", "c"], "y", "id", n_trees=3, params=params).fit(two_classes)
+    part = trees.BoostedTrees(["a", "b", "c"], "y", "id", n_trees=1, params=params).fit(two_classes)
+    more = replace(part, n_trees=3).resume(two_classes)
+    assert more.text() == whole.text()
+    assert whole.score(two_classes).first() is not None
+
+
+def test_noise_on_clipped_updates(spark):
+    df = spark.createDataFrame([(k % 2, 1.0, float(k), 2.0 * k) for k in range(40)], "client_id int, x0 double, x1 double, y double")
+    plain = federated.train(df, ["x0", "x1"], "y", 2, rate=0.01, bound=1.0)
+    runs = [federated.train(df, ["x0", "x1"], "y", 2, rate=0.01, bound=1.0, noise=(kind, 5.0, 1e-5), seed=3) for kind in ("gaussian", "laplace", "gaussian")]
+    assert runs[0] == runs[2] and runs[0] != runs[1] and all(abs(a - b) < 1 for r in runs for a, b in zip(r, plain))
+
+
+def test_packed_sums_keep_signs(spark):
+    key = crypto.Paillier.generate(512, seed=3)
+    rows = spark.createDataFrame([(k % 2, (-1.0) ** k * k / 7, k / 3) for k in range(30)], "k int, a double, b double")
+    sent = rows.select("k", crypto.encrypt_packed([F.col("a"), F.col("b")], key, key.zeros(6, base=3)).alias("c"))
+    got = {r["k"]: r["x"] for r in crypto.cipher_sum(sent, ["k"], "c", key).select("k", crypto.decrypt_packed(F.col("c"), key, 2).alias("x")).collect()}
+    for k in (0, 1):
+        assert got[k] == pytest.approx([sum((-1.0) ** i * i / 7 for i in range(30) if i % 2 == k), sum(i / 3 for i in range(30) if i % 2 == k)], abs=1e-6)
