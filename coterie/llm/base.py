@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset
-    (local sessions, tests), a folder of this process."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a folder of this
+    process in a local session, and an error on a cluster, whose executors would each write to a disk of
+    their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="coterie-"))
     return "file://" + _own[0]
