@@ -1,25 +1,28 @@
 """SimHash near-duplicates through an inverted index on byte positions (operator 2).
 
 Two 64-bit fingerprints with at most four differing bits agree in at least four of their eight bytes,
-wherever the bits fall. The index therefore posts each distinct fingerprint under its positional bytes,
-four positions to a posting key: a pair meets under as many keys as its shared bytes have quadruples,
-so meeting at all is the count filter (four shared positional bytes, the guaranteed minimum). Single
-bytes as keys would hold 1/256 of all rows per list, which is all pairs in disguise. Inside a list the
-shared bytes of each pair are tallied, and pairs that reach the minimum are verified bit by bit.
+wherever the bits fall. The index therefore posts each distinct fingerprint under its positional bytes, as
+many positions to a posting key as keep an ordinary list near LIST fingerprints: one for some thousand
+fingerprints, two for a million, three for some hundred million, four beyond. A pair that shares the
+guaranteed minimum of four positional bytes meets under every such key. Inside a list the shared bytes of
+each pair are tallied; pairs below the minimum, which met by their key alone, fall out, and the rest are
+verified bit by bit. With four positions to a key the minimum is met by meeting.
 
 Lists hand on a spanning forest of their links and never all pairs. A long list is indexed again on
 smaller chunks of its free bits (half-bytes, then bit pairs), by the same counting argument, so a dense
 group doesn't become quadratic.
 
 Cases: null text or text without words has fingerprint zero, linked like any other; text of fewer than
-four words is one shingle; repeated rows keep their rows; a null doc_id keeps its row and takes the
-component of its fingerprint, null if no row there has an id; an empty table gives an empty result;
-other columns of the input are not read.
+four words is one shingle; a bit set in exactly half of the shingles is 0; very long texts are hashed in
+bounded steps; repeated rows keep their rows; a null doc_id keeps its row and takes the component of its
+fingerprint, null if no row there has an id; an empty table gives an empty result; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -36,8 +39,17 @@ MAX_BITS = 4
 SEED = 42
 #: A list longer than this is indexed again on smaller chunks.
 LONG_LIST = 1024
-_QUADS = list(combinations(range(8), 8 - MAX_BITS))
-_MASKS = [sum(0xFF << 8 * i for i in quad) for quad in _QUADS]
+#: Other fingerprints that an ordinary one meets in a list.
+LIST = 24
+
+
+def positions(n: int) -> int:
+    """Byte positions to a posting key for n distinct fingerprints."""
+    return next((r for r in range(1, 8 - MAX_BITS) if n <= LIST * 256**r), 8 - MAX_BITS)
+
+
+def _masks(r: int) -> list[int]:
+    return [sum(0xFF << 8 * i for i in place) for place in combinations(range(8), r)]
 
 
 def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
@@ -109,14 +121,14 @@ def _forest(fps: np.ndarray, width: int, free: int) -> tuple[list[np.ndarray], l
     return [fps[own]], [fps[label[own]]]
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], r: int = 8 - MAX_BITS) -> Iterator[pa.RecordBatch]:
     """Links inside the posting lists of one partition."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
     c = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got]).astype(np.int64)
     fp = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in got]).view(np.uint64)
-    masks = np.array(_MASKS, np.uint64)
+    masks = np.array(_masks(r), np.uint64)
     us, vs = [], []
     order = np.argsort(c, kind="stable")
     at, n = runs(c[order])
@@ -132,7 +144,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us.append(own[two[near]])
         vs.append(own[two[near] + 1])
         for i, m in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
-            u, v = _forest(own[i : i + m], 4, int(~mask))
+            u, v = _forest(own[i : i + m], 4 if r == 8 - MAX_BITS else 8, int(~mask))
             us += u
             vs += v
     u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
@@ -141,11 +153,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v): a table of links that spans the components of the distinct fingerprints in fps.fp."""
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _MASKS])
-    posted = fps.select("fp").distinct().select(F.posexplode(masks).alias("c", "mask"), "fp")
+    own = stash(fps.select("fp").distinct(), "distinct")
+    r = positions(own.count())
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _masks(r)])
+    posted = own.select(F.posexplode(masks).alias("c", "mask"), "fp")
     posted = posted.select(F.col("c").cast("short").alias("c"), "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     dealt = posted.repartition(F.xxhash64("c", "key")).select("c", "fp")
-    return dealt.mapInArrow(_lists, "u long, v long").distinct()
+    return dealt.mapInArrow(partial(_lists, r=r), "u long, v long").distinct()
 
 
 def _grouped(docs: DataFrame, words_each: int) -> tuple[DataFrame, DataFrame]:

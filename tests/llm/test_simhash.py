@@ -93,3 +93,40 @@ def test_components_of_chain_star_and_nothing(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_number_of_positions_gives_the_same_components(spark, monkeypatch):
+    """Keys of one, two and three positions meet pairs that share fewer than four bytes; the tally drops them."""
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for i in range(40):
+        x = fps[i]
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            x ^= 1 << b
+        fps.append(x)
+    fps += [fps[0] ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]
+    # one byte, two and three in common
+    fps += [(fps[1] & 0xFF) | (rng.getrandbits(56) << 8) for _ in range(30)] + [(fps[2] & 0xFFFFFF) | (rng.getrandbits(40) << 24) for _ in range(30)]
+    want = closed(fps, list(range(len(fps))))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for r in (1, 2, 3, 4):
+        for long_list in (1024, 16):
+            monkeypatch.setattr(simhash, "positions", lambda n, r=r: r)
+            monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+            label = {x: x for x in signed}
+
+            def top(x):
+                while label[x] != x:
+                    x = label[x]
+                return x
+
+            for row in simhash.links(df).collect():
+                label[top(row["u"])] = top(row["v"])
+            groups, wanted = {}, {}
+            for i, x in enumerate(signed):
+                groups.setdefault(top(x), set()).add(i)
+                wanted.setdefault(want[i], set()).add(i)
+            assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values())), (r, long_list)
+    monkeypatch.undo()
+    assert [simhash.positions(n) for n in (0, 5_000, 1_000_000, 100_000_000, 10**10)] == [1, 1, 2, 3, 4]
