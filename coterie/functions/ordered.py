@@ -6,6 +6,8 @@ is a window of its own, and the sums of the ranges before it are added.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -53,3 +55,28 @@ def running(df: DataFrame, by: str, tie: list[str], sums: dict[str, Column], des
 def row_numbers(df: DataFrame, by: str, tie: list[str], name: str = "rn", descending: bool = False) -> DataFrame:
     """Adds name: 1, 2, ... in the order of (by, *tie)."""
     return running(df, by, tie, {name: F.lit(1)}, descending)
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], ranges: int = RANGES) -> DataFrame:
+    """(column, q): the exact linear quantiles of each column at the shares, nulls left out; a column without
+    values has no row. Rows are counted by value first, and values are numbered inside ranges, so no task
+    holds the values of a whole column."""
+    plain = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    marks = plain.approxQuantile(list(columns), [k / ranges for k in range(1, ranges)], 0.5 / ranges)
+    number = F.lit(0)
+    for c, m in zip(columns, marks, strict=True):
+        number = F.when(F.col("column") == c, _below(F.col("v"), sorted(set(m)))).otherwise(number)
+    long = plain.unpivot([], list(columns), "column", "v").where("v is not null")
+    counts = long.groupBy("column", "v").agg(F.count("*").alias("n")).withColumn("_range", number)
+    own = W.partitionBy("column")  # a row per range
+    sums = counts.groupBy("column", "_range").agg(F.sum("n").alias("n"))
+    earlier = F.sum("n").over(own.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    before = sums.select("column", "_range", F.coalesce(earlier, F.lit(0)).alias("before"), F.sum("n").over(own).alias("rows"))
+    inside = F.sum("n").over(W.partitionBy("column", "_range").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    upto = counts.withColumn("upto", inside).join(F.broadcast(before), ["column", "_range"])
+    upto = upto.withColumn("upto", F.col("upto") + F.col("before"))
+    at = [(F.col("rows") - 1) * F.lit(float(x)) for x in shares]
+    ends = [F.min(F.when(F.col("upto") > side(p), F.col("v"))).alias(f"{name}{k}") for k, p in enumerate(at) for name, side in (("low", F.floor), ("high", F.ceil))]
+    found = upto.groupBy("column", "rows").agg(*ends)
+    linear = lambda k, p: F.when(F.col(f"low{k}") == F.col(f"high{k}"), F.col(f"low{k}")).otherwise((F.ceil(p) - p) * F.col(f"low{k}") + (p - F.floor(p)) * F.col(f"high{k}"))
+    return found.select("column", F.array(*[linear(k, p) for k, p in enumerate(at)]).alias("q"))

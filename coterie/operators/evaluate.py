@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ordered import quantiles
 from .transform import bin_code, width_edges
 
 EMPTY = 1e-7
@@ -153,7 +154,7 @@ def stability_index(base: DataFrame, test: DataFrame, feature: str) -> DataFrame
     k = min(20, n // 10)
     if k < 1:
         return base.sparkSession.createDataFrame([(None,)], "psi double")
-    q = base.agg(F.percentile(feature, [i / k for i in range(1, k)]).alias("q")).first()["q"] if k > 1 else []
+    q = quantiles(base, [feature], [i / k for i in range(1, k)]).first()["q"] if k > 1 else []
     edges = sorted({round(x, 4) for x in q})
     bucket = F.when(F.col(feature).isNull(), -1).otherwise(bin_code(F.col(feature), edges) if edges else F.lit(0))
     side = lambda df, s: df.select(F.lit(s).alias("side"), F.col(feature).isNotNull().cast("int").alias("has"), bucket.alias("bin"))
@@ -189,9 +190,10 @@ def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
     top = long.where("value is not null").groupBy("feature", "value").count().groupBy("feature").agg(F.max("count").alias("top_n"))
     stats = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", [0.25, 0.5, 0.75]).alias("_q"), F.max("value").alias("max"), F.countDistinct("value").alias("nunique"), F.count("*").alias("_n"),
+        F.max("value").alias("max"), F.countDistinct("value").alias("nunique"), F.count("*").alias("_n"),
     )
-    out = stats.join(top, "feature")
+    quarters = quantiles(df, features, [0.25, 0.5, 0.75]).select(F.col("column").alias("feature"), F.col("q").alias("_q"))
+    out = stats.join(top, "feature").join(F.broadcast(quarters), "feature")  # a row per feature
     return out.select(
         "feature", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max", "nunique",
         (1 - F.col("count") / F.col("_n")).alias("missing_rate"), (F.col("max") - F.col("min")).alias("range"), (F.col("top_n") / F.col("count")).alias("top_share"),

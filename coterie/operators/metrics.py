@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.ordered import running
+from ..functions.ordered import quantiles, running
 
 
 def ks_table(df: DataFrame, y: str = "y", p: str = "p", points: int = 50) -> DataFrame:
@@ -102,7 +102,8 @@ def score_histogram(df: DataFrame, p: str = "p", bins: int = 10) -> DataFrame:
 
 
 def box_stats(df: DataFrame, p: str = "p") -> DataFrame:
-    q = df.agg(F.min(p).alias("low"), F.percentile(p, [0.25, 0.5, 0.75]).alias("q"), F.max(p).alias("high"))
+    ends = df.agg(F.min(p).alias("low"), F.max(p).alias("high"))
+    q = ends.join(F.broadcast(quantiles(df, [p], [0.25, 0.5, 0.75])), F.lit(True), "left")  # one row each
     return q.select("low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
 
 

@@ -51,9 +51,11 @@ def width_edges(df: DataFrame, features: Sequence[str], n: int) -> dict[str, lis
 
 def quantile_edges(df: DataFrame, features: Sequence[str], n: int) -> dict[str, list[float]]:
     """Inner edges of n bins of equal frequency (linear quantiles); equal edges are an error."""
-    r = df.agg(*[F.percentile(c, [k / n for k in range(1, n)]).alias(c) for c in features]).first()
+    from ..functions.ordered import quantiles
+
+    r = {x["column"]: x["q"] for x in quantiles(df, features, [k / n for k in range(1, n)]).collect()}
     for c in features:
-        if len(set(r[c])) < n - 1:
+        if len(set(r.get(c, []))) < n - 1:
             raise ValueError(f"bin edges of {c} are not distinct")
     return {c: list(r[c]) for c in features}
 

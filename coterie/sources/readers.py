@@ -118,16 +118,22 @@ def from_anyfile(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader(spark, path, **options)
 
 
-def database_options(kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None) -> dict:
-    """Options of Spark's JDBC reader; the chosen columns are part of the query."""
+def database_options(kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None, split: tuple[str, int, int, int] | None = None) -> dict:
+    """Options of Spark's JDBC reader; the chosen columns are part of the query. split: a numeric column, its
+    usual least and greatest value, and the number of ranges of it that are read side by side."""
     prefix, default = DATABASES[kind]
     url = f"{prefix}:@{host}:{port or default}/{database}" if kind == "oracle" else f"{prefix}://{host}:{port or default}/{database}"
-    return {"url": url, "query": f"select {', '.join(target) if target else '*'} from {table}", "user": user, "password": password}
+    query = f"select {', '.join(target) if target else '*'} from {table}"
+    if split is None:
+        return {"url": url, "query": query, "user": user, "password": password}
+    column, low, high, parts = split
+    ranges = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return {"url": url, "dbtable": f"({query}) chosen", "user": user, "password": password} | ranges
 
 
-def from_database(spark: SparkSession, kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None, excluding: Sequence[str] | None = None) -> DataFrame:
-    """One of DATABASES, by JDBC (its driver must be on the class path)."""
-    options = database_options(kind, host, database, table, user, password, port, target)
+def from_database(spark: SparkSession, kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None, excluding: Sequence[str] | None = None, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """One of DATABASES, by JDBC (its driver must be on the class path); without split one task reads it."""
+    options = database_options(kind, host, database, table, user, password, port, target, split)
     return choose(spark.read.format("jdbc").options(**options).load(), None, excluding)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coterie.functions import crypto, losses
-from coterie.functions.ordered import row_numbers, running
+from coterie.functions.ordered import quantiles, row_numbers, running
 from coterie.operators import clean, evaluate, federated, intersect, kmeans, linear, metrics, neural, select, transform, trees
 from coterie.party import PartyFrame, Role
 from coterie.pipeline import FittedScale, Intersect, Model, Pipeline, Transform
@@ -335,6 +335,9 @@ def test_sources(spark, tmp_path):
     o = readers.database_options("oracle", "h", "d", "t", "u", "p", target=["a", "b"])
     assert o["url"] == "jdbc:oracle:thin:@h:1521/d" and o["query"] == "select a, b from t"
     assert readers.database_options("gaussdb", "h", "d", "t", "u", "p")["url"] == "jdbc:postgresql://h:6789/d"
+    parts = readers.database_options("gaussdb", "h", "d", "t", "u", "p", target=["a", "id"], split=("id", 1, 900, 9))
+    assert parts["dbtable"] == "(select a, id from t) chosen" and "query" not in parts
+    assert (parts["partitionColumn"], parts["lowerBound"], parts["upperBound"], parts["numPartitions"]) == ("id", "1", "900", "9")
     assert readers.dummy_ids(spark, 10).agg(F.sum("id")).first()[0] == 55 and readers.dummy_ids(spark, 10, True).distinct().count() == 10
     assert readers.dummy_table(spark, 5, 3).columns == ["id", "y", "x0", "x1", "x2"]
     writers.append_metrics(spark, str(tmp_path / "log"), "r", 1, {"loss": 0.5})
@@ -461,3 +464,18 @@ def test_packed_sums_keep_signs(spark):
     got = {r["k"]: r["x"] for r in crypto.cipher_sum(sent, ["k"], "c", key).select("k", crypto.decrypt_packed(F.col("c"), key, 2).alias("x")).collect()}
     for k in (0, 1):
         assert got[k] == pytest.approx([sum((-1.0) ** i * i / 7 for i in range(30) if i % 2 == k), sum(i / 3 for i in range(30) if i % 2 == k)], abs=1e-6)
+
+
+def test_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=501), rng.integers(0, 4, 501).astype(float)
+    rows = [(float(x), float(y) if k % 3 else None, None) for k, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = {r["column"]: r["q"] for r in quantiles(df, ["a", "b", "c"], shares, ranges=7).collect()}
+    assert sorted(got) == ["a", "b"]  # a column of nulls has no row
+    assert np.allclose(got["a"], np.quantile(a, shares), atol=1e-12)
+    assert np.allclose(got["b"], np.quantile([y for k, y in enumerate(b) if k % 3], shares), atol=1e-12)
+    assert quantiles(df.limit(0), ["a"], shares).count() == 0
+    one = quantiles(spark.createDataFrame([(2.0,)] * 9, "a double"), ["a"], shares).first()["q"]
+    assert one == [2.0] * 6
