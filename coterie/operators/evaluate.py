@@ -167,16 +167,18 @@ def stability_index(base: DataFrame, test: DataFrame, feature: str) -> DataFrame
     return share.agg(F.sum(term).alias("psi"))
 
 
-def tree_importance(df: DataFrame, features: Sequence[str], label: str, task: str = "binary", trees: int = 10) -> DataFrame:
-    """(feature, importance) of Spark's boosted trees (forests for several classes)."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("y")))
-    kind = {"binary": lambda: GBTClassifier(maxIter=trees, seed=1), "multi": lambda: RandomForestClassifier(numTrees=trees, seed=1), "regression": lambda: GBTRegressor(maxIter=trees, seed=1)}[task]()
-    fitted = kind.setFeaturesCol("x").setLabelCol("y").fit(data)
-    return df.sparkSession.createDataFrame(list(zip(features, map(float, fitted.featureImportances.toArray()), strict=True)), "feature string, importance double")
+def tree_importance(df: DataFrame, features: Sequence[str], label: str, id_col: str = "id", task: str = "binary", way: str = "gain", trees: int = 10, params=None) -> DataFrame:
+    """(feature, importance) of boosted trees fitted to the table, every feature included. way: split, gain or
+    cover, as shares of their sum, or shap, the mean absolute contribution to a row's score."""
+    from .shap import shap_importance
+    from .trees import BoostedTrees, TreeParams
+
+    model = BoostedTrees(list(features), label, id_col, task, trees, params or TreeParams(reg_gamma=0.0)).fit(df)
+    if way == "shap":
+        return shap_importance(model, df)
+    found = {r["feature"]: r["importance"] for r in model.importances(df.sparkSession, way).collect()}  # a row per feature
+    total = sum(found.values()) or 1.0
+    return df.sparkSession.createDataFrame([(c, float(found.get(c, 0.0) / total)) for c in features], "feature string, importance double")
 
 
 def importance_ranking(importances: DataFrame) -> DataFrame:

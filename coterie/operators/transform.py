@@ -61,9 +61,10 @@ def quantile_edges(df: DataFrame, features: Sequence[str], n: int) -> dict[str,
 
 
 def tree_edges(df: DataFrame, feature: str, max_bin: int) -> list[float]:
-    """Distinct values at the places floor((k + 1) * n / max_bin) of the sorted column."""
+    """Distinct values at the places floor((k + 1) * n / max_bin) of the sorted column, nulls left out."""
     from ..functions.ordered import running
 
+    df = df.where(F.col(feature).isNotNull())
     counts = df.groupBy(F.col(feature).cast("double").alias("v")).agg(F.count("*").alias("n"))
     upto = running(counts, "v", [], {"upto": F.col("n")})
     n = df.count()

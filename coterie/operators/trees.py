@@ -25,9 +25,11 @@ from .transform import bin_code, tree_edges
 
 @dataclass
 class Node:
+    """g and h are sums over the node's rows; with several classes, lists of one sum for each."""
+
     node: int
-    g: float
-    h: float
+    g: float | list[float]
+    h: float | list[float]
     n: int
     depth: int = 0
     feature: str | None = None
@@ -52,6 +54,8 @@ class TreeParams:
     goss: tuple[float, float] | None = None
     colsample: float = 1.0
     seed: int = 0
+    #: Of several classes: squares of each bin's gradients are summed in place of squares of sums.
+    square_bins: bool = False
 
 
 def histogram(df: DataFrame, features: Sequence[str], node: str = "node") -> DataFrame:
@@ -96,6 +100,40 @@ def class_split_gains(hist: DataFrame, lam: float = 0.1, gamma: float = 0.1) ->
     return out.where("bin < _last").groupBy("feature", "bin").agg((F.sum(own) - gamma).alias("gain"))
 
 
+def class_columns(classes: int) -> list[str]:
+    return [f"{x}{k}" for x in "gh" for k in range(classes)]
+
+
+def vector_histogram(df: DataFrame, features: Sequence[str], classes: int, node: str = "node") -> DataFrame:
+    """(node, feature, bin, g0, ..., h0, ..., n) of a table with columns node, g0, ..., h0, ... and bin codes named
+    as features: one aggregate carries the gradients and hessians of all classes."""
+    own = class_columns(classes)
+    long = df.select(node, *own, *features).unpivot([node, *own], list(features), "feature", "bin")
+    return long.groupBy(node, "feature", "bin").agg(*[F.sum(c).alias(c) for c in own], F.count("*").alias("n"))
+
+
+def vector_split_gains(hist: DataFrame, classes: int, lam: float = 0.1, gamma: float = 0.1, square_bins: bool = False, node: str = "node") -> DataFrame:
+    """(node, feature, bin, gain, gl, hl, nl, gt, ht, nt) of splitting after each bin but the last; gl, hl, gt
+    and ht are arrays over the classes. A gain is the sum of the classes' structure gains less gamma. With
+    square_bins a side's score is the sum of its bins' squared gradients over its hessian, unhalved."""
+    upto, whole = W.partitionBy(node, "feature").orderBy("bin"), W.partitionBy(node, "feature")
+    own = class_columns(classes)
+    sums = [F.sum(c).over(w).alias(f"{c}{s}") for c in [*own, "n"] for s, w in (("l", upto), ("t", whole))]
+    squares = [F.sum(F.col(f"g{k}") * F.col(f"g{k}")).over(w).alias(f"q{k}{s}") for k in range(classes) for s, w in (("l", upto), ("t", whole))] if square_bins else []
+    out = hist.select(node, "feature", "bin", *sums, *squares, F.max("bin").over(whole).alias("_last")).where("bin < _last")
+
+    def score(k: int, of) -> Column:
+        if square_bins:
+            return of("q", k) / (of("h", k) + lam)
+        return 0.5 * of("g", k) * of("g", k) / (of("h", k) + lam)
+
+    left, both = (lambda c, k: F.col(f"{c}{k}l")), (lambda c, k: F.col(f"{c}{k}t"))
+    right = lambda c, k: both(c, k) - left(c, k)
+    total = sum((score(k, left) + score(k, right) - score(k, both) for k in range(classes)), F.lit(0.0))
+    arrays = [F.array(*[f"{c}{k}{s}" for k in range(classes)]).alias(f"{c}{s}") for c in "gh" for s in "lt"]
+    return out.select(node, "feature", "bin", (0.5 * total - gamma).alias("gain"), *arrays, "nl", "nt")
+
+
 def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
     """The sibling's histogram: the parent's minus the child's (both without a node column)."""
     joined = parent.join(child.select("feature", "bin", *[F.col(c).alias(f"_{c}") for c in ("g", "h", "n")]), ["feature", "bin"], "left")
@@ -118,25 +156,37 @@ def split_gains(hist: DataFrame, lam: float = 0.1, gamma: float = 0.1, node: str
 
 def best_splits(hist: DataFrame, lam: float = 0.1, gamma: float = 0.1, node: str = "node") -> DataFrame:
     """The split of greatest gain per node; the first by feature and bin among equal ones."""
-    rows = split_gains(hist, lam, gamma, node)
+    return _best(split_gains(hist, lam, gamma, node), node)
+
+
+def _best(gains: DataFrame, node: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(node).orderBy(F.col("gain").desc(), "feature", "bin"))
-    return rows.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
+    return gains.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
+
 
+def best_vector_splits(hist: DataFrame, classes: int, lam: float = 0.1, gamma: float = 0.1, square_bins: bool = False, node: str = "node") -> DataFrame:
+    return _best(vector_split_gains(hist, classes, lam, gamma, square_bins, node), node)
 
-def leaf_weight(g: Column | float, h: Column | float, lam: float = 0.1) -> Column | float:
+
+def leaf_weight(g: Column | float | list[float], h: Column | float | list[float], lam: float = 0.1) -> Column | float | list[float]:
+    """A weight, or with lists one for each class."""
+    if isinstance(g, list):
+        return [-a / (b + lam) for a, b in zip(g, h, strict=True)]
     return -g / (h + lam)
 
 
-def goss(df: DataFrame, id_col: str, top: float, other: float, seed: int = 0) -> DataFrame:
-    """The share `top` of rows with the largest |g|, and of the rest a random share `other` of all rows
-    whose g and h are raised by (1 - top) / other."""
+def goss(df: DataFrame, id_col: str, top: float, other: float, seed: int = 0, classes: int = 0) -> DataFrame:
+    """The share `top` of rows with the largest |g| (with several classes, the sum of their |g|), and of the
+    rest a random share `other` of all rows whose g and h are raised by (1 - top) / other."""
     n = df.count()
     a, b = int(n * top), int(n * other)
-    ranked = row_numbers(df.withColumn("_a", F.abs("g")), "_a", [id_col], "_rn", descending=True).drop("_a")
+    own = class_columns(classes) if classes else ["g", "h"]
+    size = sum((F.abs(c) for c in own[: classes or 1]), F.lit(0.0))
+    ranked = row_numbers(df.withColumn("_a", size), "_a", [id_col], "_rn", descending=True).drop("_a")
     first, rest = ranked.where(F.col("_rn") <= a).drop("_rn"), ranked.where(F.col("_rn") > a).drop("_rn")
     rest = row_numbers(rest.withColumn("_h", hash_order(id_col, seed=seed)), "_h", [id_col], "_rn").where(F.col("_rn") <= b).drop("_rn", "_h")
     up = (1 - top) / other if other else 1.0
-    return first.unionByName(rest.withColumn("g", F.col("g") * up).withColumn("h", F.col("h") * up))
+    return first.unionByName(rest.withColumns({c: F.col(c) * up for c in own}))
 
 
 def sample_rows(df: DataFrame, id_col: str, share: float, seed: int = 0) -> DataFrame:
@@ -146,9 +196,11 @@ def sample_rows(df: DataFrame, id_col: str, share: float, seed: int = 0) -> Data
 
 
 def value_of(tree: Node, lam: float) -> Column:
-    """The tree as one expression over raw features; x > threshold goes right."""
+    """The tree as one expression over raw features; x > threshold goes right. With several classes, its
+    values are arrays."""
     if tree.feature is None:
-        return F.lit(float(leaf_weight(tree.g, tree.h, lam)))
+        w = leaf_weight(tree.g, tree.h, lam)
+        return F.array(*[F.lit(float(x)) for x in w]) if isinstance(w, list) else F.lit(float(w))
     return F.when(F.col(tree.feature) > F.lit(tree.threshold), value_of(tree.right, lam)).otherwise(value_of(tree.left, lam))
 
 
@@ -161,19 +213,30 @@ def node_of(tree: Node) -> Column:
 def _split(node: Node, row, edges: dict[str, list[float]]) -> None:
     node.feature, node.threshold, node.gain = row["feature"], edges[row["feature"]][row["bin"]], row["gain"]
     node.left = Node(2 * node.node + 1, row["gl"], row["hl"], row["nl"], node.depth + 1)
-    node.right = Node(2 * node.node + 2, row["gt"] - row["gl"], row["ht"] - row["hl"], row["nt"] - row["nl"], node.depth + 1)
+    node.right = Node(2 * node.node + 2, _rest(row["gt"], row["gl"]), _rest(row["ht"], row["hl"]), row["nt"] - row["nl"], node.depth + 1)
+
 
+def _rest(whole: float | list[float], part: float | list[float]) -> float | list[float]:
+    return [a - b for a, b in zip(whole, part, strict=True)] if isinstance(whole, list) else whole - part
 
-def build(df: DataFrame, features: Sequence[str], edges: dict[str, list[float]], p: TreeParams) -> Node:
-    """One tree from a table with raw features, g and h."""
-    coded = df.select("g", "h", *features, *[bin_code(F.col(c), edges[c]).alias(f"b_{c}") for c in features])
-    total = df.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).first()
-    root = Node(0, total["g"] or 0.0, total["h"] or 0.0, total["n"])
+
+def build(df: DataFrame, features: Sequence[str], edges: dict[str, list[float]], p: TreeParams, classes: int = 0) -> Node:
+    """One tree from a table with raw features and g and h, or with several classes g0, ... and h0, ... A null
+    feature goes with the lowest bin, as it does in value_of."""
+    own = class_columns(classes) if classes else ["g", "h"]
+    coded = df.select(*own, *features, *[F.coalesce(bin_code(F.col(c), edges[c]), F.lit(0)).alias(f"b_{c}") for c in features])
+    total = df.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in own], F.count("*").alias("n")).first()
+    both = ([total[c] for c in own[:classes]], [total[c] for c in own[classes:]]) if classes else (total["g"], total["h"])
+    root = Node(0, *both, total["n"])
 
     def splits(nodes: list[Node]) -> dict:
         at = coded.withColumn("node", node_of(root)).where(F.col("node").isin([x.node for x in nodes]))
-        hist = histogram(at.select("node", "g", "h", *[F.col(f"b_{c}").alias(c) for c in features]), features)
-        return {r["node"]: r for r in best_splits(hist, p.reg_lambda, p.reg_gamma).collect()}  # a row per node
+        at = at.select("node", *own, *[F.col(f"b_{c}").alias(c) for c in features])
+        if classes:
+            found = best_vector_splits(vector_histogram(at, features, classes), classes, p.reg_lambda, p.reg_gamma, p.square_bins)
+        else:
+            found = best_splits(histogram(at, features), p.reg_lambda, p.reg_gamma)
+        return {r["node"]: r for r in found.collect()}  # a row per node
 
     good = lambda x, found: x.node in found and found[x.node]["gain"] > p.min_gain
     can = lambda x: x.depth < p.max_depth and x.n >= p.min_samples
@@ -207,7 +270,8 @@ def build(df: DataFrame, features: Sequence[str], edges: dict[str, list[float]],
 
 @dataclass
 class BoostedTrees:
-    """Boosting for binary labels (cross entropy) and regression (squared error)."""
+    """Boosting for binary labels (cross entropy), several classes 0, 1, ... (multi: cross entropy of a softmax
+    over one raw score per class, each tree a vector of weights in its leaves) and regression (squared error)."""
 
     features: Sequence[str]
     label: str
@@ -217,14 +281,27 @@ class BoostedTrees:
     params: TreeParams = field(default_factory=TreeParams)
     trees: list[Node] = field(default_factory=list)
     edges: dict[str, list[float]] = field(default_factory=dict)
+    classes: int = 0
+
+    def _scores(self, start: Column, trees: list[Node]) -> Column:
+        out = start
+        for t in trees:
+            value = value_of(t, self.params.reg_lambda)
+            if self.classes:
+                out = F.zip_with(out, value, lambda s, v: s + F.lit(self.params.rate) * v)
+            else:
+                out = out + F.lit(self.params.rate) * value
+        return out
 
     def raw(self) -> Column:
-        out = F.lit(0.0)
-        for t in self.trees:
-            out = out + F.lit(self.params.rate) * value_of(t, self.params.reg_lambda)
-        return out
+        """The sum of the trees: a number, or with several classes an array."""
+        return self._scores(F.array(*[F.lit(0.0)] * self.classes) if self.classes else F.lit(0.0), self.trees)
 
     def prediction(self) -> Column:
+        """The probability of class 1, the number that regression gives, or the likeliest class (the first of
+        equally likely ones)."""
+        if self.task == "multi":
+            return (F.array_position(self.raw(), F.array_max(self.raw())) - 1).cast("int")
         return losses.sigmoid(self.raw()) if self.task == "binary" else self.raw()
 
     def fit(self, df: DataFrame) -> BoostedTrees:
@@ -233,18 +310,25 @@ class BoostedTrees:
         self.trees = []
         return self.resume(df)
 
+    def _gradients(self) -> dict[str, Column]:
+        y, s = F.col("_y"), F.col("_s")
+        if self.task == "multi":
+            _, g, h = losses.multi_cross_entropy(y, [s[k] for k in range(self.classes)])
+            return dict(zip(class_columns(self.classes), [*g, *h], strict=True))
+        _, g, h = losses.cross_entropy(y, losses.sigmoid(s)) if self.task == "binary" else losses.squared(y, s)
+        return {"g": g, "h": h}
+
     def resume(self, df: DataFrame) -> BoostedTrees:
         """Goes on from the trees that are there (a saved model's, with its edges) up to n_trees."""
+        if self.task == "multi" and not self.classes:
+            self.classes = int(df.agg(F.max(self.label)).first()[0]) + 1
         rows = df.select(self.id_col, F.col(self.label).cast("double").alias("_y"), *self.features)
         rows = rows.withColumn("_s", self.raw())
         for k in range(len(self.trees), self.n_trees):
             p = replace(self.params, seed=self.params.seed + k)
-            pred = losses.sigmoid(F.col("_s")) if self.task == "binary" else F.col("_s")
-            loss = losses.cross_entropy if self.task == "binary" else losses.squared
-            _, g, h = loss(F.col("_y"), pred)
-            data = rows.withColumn("g", g).withColumn("h", h)
+            data = rows.withColumns(self._gradients())
             if p.goss:
-                data = stash(goss(data, self.id_col, *p.goss, seed=p.seed), "sample")
+                data = stash(goss(data, self.id_col, *p.goss, seed=p.seed, classes=self.classes), "sample")
             elif p.subsample < 1:
                 data = stash(sample_rows(data, self.id_col, p.subsample, p.seed), "sample")
             own = list(self.features)
@@ -252,34 +336,46 @@ class BoostedTrees:
                 import random
 
                 own = sorted(random.Random(p.seed).sample(own, max(1, int(len(own) * p.colsample))), key=self.features.index)
-            tree = build(data, own, self.edges, p)
+            tree = build(data, own, self.edges, p, self.classes)
             self.trees.append(tree)
-            rows = stash(rows.withColumn("_s", F.col("_s") + F.lit(p.rate) * value_of(tree, p.reg_lambda)), "boost")
+            rows = stash(rows.withColumn("_s", self._scores(F.col("_s"), [tree])), "boost")
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", self.prediction())
+        """Adds prediction, and with several classes the array of their probabilities."""
+        if self.task != "multi":
+            return df.withColumn("prediction", self.prediction())
+        out = df.withColumn("_s", self.raw())
+        p = losses.softmax([F.col("_s")[k] for k in range(self.classes)])
+        likeliest = F.array_position("_s", F.array_max("_s")) - 1
+        return out.withColumns({"prediction": likeliest.cast("int"), "probabilities": F.array(*p)}).drop("_s")
 
     def score(self, df: DataFrame) -> DataFrame:
-        """One row of metrics of the predictions: binary or regression ones, by the task."""
+        """One row of metrics of the predictions, by the task."""
         out = self.predict(df)
         if self.task == "binary":
             return metrics.binary_metrics(out, self.label, "prediction")
+        if self.task == "multi":
+            return metrics.multiclass_metrics(out, self.label, "prediction")
         return metrics.regression_metrics(out, self.label, "prediction")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The model as rows: one per node."""
+        """The model as rows: one per node. With several classes, cover is the sum of their hessians, and
+        covers and weights hold one number for each."""
         rows = []
 
         def walk(tree: int, x: Node) -> None:
-            rows.append((tree, x.node, x.depth, x.feature, x.threshold, x.gain, float(x.h), int(x.n), float(leaf_weight(x.g, x.h, self.params.reg_lambda))))
+            w = leaf_weight(x.g, x.h, self.params.reg_lambda)
+            own = (float(sum(x.h)), int(x.n), [float(v) for v in x.h], [float(v) for v in w]) if self.classes else (float(x.h), int(x.n), float(w))
+            rows.append((tree, x.node, x.depth, x.feature, x.threshold, x.gain, *own))
             if x.feature is not None:
                 walk(tree, x.left)
                 walk(tree, x.right)
 
         for k, t in enumerate(self.trees):
             walk(k, t)
-        return spark.createDataFrame(rows, "tree int, node int, depth int, feature string, threshold double, gain double, cover double, n long, weight double")
+        weight = "covers array<double>, weights array<double>" if self.classes else "weight double"
+        return spark.createDataFrame(rows, f"tree int, node int, depth int, feature string, threshold double, gain double, cover double, n long, {weight}")
 
     def importances(self, spark: SparkSession, kind: str = "split") -> DataFrame:
         """(feature, importance): number of splits, mean gain or mean cover."""
@@ -289,7 +385,8 @@ class BoostedTrees:
     def text(self) -> str:
         def lines(x: Node, pad: str) -> list[str]:
             if x.feature is None:
-                return [f"{pad}leaf {leaf_weight(x.g, x.h, self.params.reg_lambda):.6g} (n={x.n})"]
+                w = leaf_weight(x.g, x.h, self.params.reg_lambda)
+                return [f"{pad}leaf {', '.join(f'{v:.6g}' for v in (w if isinstance(w, list) else [w]))} (n={x.n})"]
             return [f"{pad}{x.feature} <= {x.threshold:.6g} (gain {x.gain:.6g})", *lines(x.left, pad + "  "), f"{pad}else", *lines(x.right, pad + "  ")]
 
         return "\n".join(f"tree {k}\n" + "\n".join(lines(t, "  ")) for k, t in enumerate(self.trees))

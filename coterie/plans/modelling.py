@@ -110,7 +110,9 @@ def stability_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def tree_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.importance_ranking(evaluate.tree_importance(fx.joined(spark, sf), fx.FEATURES, "y", trees=3))
+    """Features ranked by the gain of this library's own boosted trees."""
+    ranked = evaluate.importance_ranking(evaluate.tree_importance(fx.joined(spark, sf), fx.FEATURES, "y", trees=3))
+    return ranked.withColumn("importance", F.round("importance", 6))
 
 
 # --- metrics ---

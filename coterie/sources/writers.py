@@ -48,7 +48,11 @@ def load_trees(spark: SparkSession, path: str, reg_lambda: float = 0.1) -> list:
 
     def make(own: dict, k: int) -> Node:
         r = own[k]
-        x = Node(k, -r["weight"] * (r["cover"] + reg_lambda), r["cover"], r["n"], r["depth"], r["feature"], r["threshold"], r["gain"])
+        if "weights" in r:
+            both = [-w * (c + reg_lambda) for w, c in zip(r["weights"], r["covers"], strict=True)], list(r["covers"])
+        else:
+            both = -r["weight"] * (r["cover"] + reg_lambda), r["cover"]
+        x = Node(k, *both, r["n"], r["depth"], r["feature"], r["threshold"], r["gain"])
         if x.feature is not None:
             x.left, x.right = make(own, 2 * k + 1), make(own, 2 * k + 2)
         return x
