@@ -208,7 +208,18 @@ def times_column(column: Column, plain: Column, key: Paillier) -> Column:
     return run(column, plain)
 
 
-def cipher_sum(df: DataFrame, keys: list[str], column: str, key: Paillier, salts: int = 32) -> DataFrame:
+def cipher_minus(a: Column, b: Column, key: Paillier) -> Column:
+    """Hex cipher of the difference: a times the inverse of b."""
+    n2 = key.n**2
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None else f"{int(u, 16) * pow(int(v, 16), -1, n2) % n2:x}" for u, v in zip(x, y, strict=True)])
+
+    return run(a, b)
+
+
+def cipher_sum(df: DataFrame, keys: list[str], column: str, key: Paillier) -> DataFrame:
     """(keys, column): the encrypted sum per group. Products are made within each partition first, so a
     group of any size reaches its last task as one number per partition."""
     n2, names = key.n**2, [*keys, column]
@@ -276,8 +287,40 @@ def dot_encrypted(values: Column, weights: list[int], key: Paillier) -> Column:
 PACKED_BITS = 96
 
 
-def encrypt_packed(columns: list[Column], key: Paillier, zeros: list[int]) -> Column:
-    """Several reals in one plaintext, PACKED_BITS apart, so that one sum over ciphers adds them all."""
+def packed_bits(rows: int, largest: float, key: Paillier) -> int:
+    """Bits that a packed sum of so many numbers, none over `largest`, takes with its sign."""
+    return max(1, math.ceil(math.log2(max(rows, 1) * max(largest, 1e-9) * 2**key.precision + 1))) + 2
+
+
+def capacity(key: Paillier, bits: int) -> int:
+    """How many packed numbers of so many bits a plaintext holds; an error if none fits."""
+    if (room := (key.n.bit_length() - 2) // bits) < 1:
+        raise ValueError(f"a key of {key.n.bit_length()} bits has no room for {bits} bits")
+    return room
+
+
+def pack_ciphers(df: DataFrame, keys: list[str], slot: Column, column: str, key: Paillier, bits: int) -> DataFrame:
+    """(keys, column): the ciphers of a group in one, each moved up by its slot times bits. A group has one
+    row for a slot and no more slots than the key's capacity."""
+    n2 = key.n**2
+
+    @F.pandas_udf("string")
+    def run(slots: pd.Series, ciphers: pd.Series) -> pd.Series:
+        def one(places, values) -> str:
+            out = 1
+            for k, v in zip(places, values, strict=True):
+                out = out * pow(int(v, 16), 1 << bits * int(k), n2) % n2
+            return f"{out:x}"
+
+        return pd.Series([one(a, b) for a, b in zip(slots, ciphers, strict=True)])
+
+    held = df.select(*keys, F.struct(slot.cast("int").alias("slot"), F.col(column).alias("c")).alias("_x")).groupBy(*keys).agg(F.collect_list("_x").alias("_x"))
+    return held.select(*keys, run(F.col("_x.slot"), F.col("_x.c")).alias(column))
+
+
+def encrypt_packed(columns: list[Column], key: Paillier, zeros: list[int], bits: int = PACKED_BITS) -> Column:
+    """Several reals in one plaintext, `bits` apart, so that one sum over ciphers adds them all."""
+    capacity(key, bits * len(columns))
     public = key.public
 
     @F.pandas_udf("string")
@@ -285,7 +328,7 @@ def encrypt_packed(columns: list[Column], key: Paillier, zeros: list[int]) -> Co
         rng, n2 = random.SystemRandom(), public.n**2
 
         def one(row) -> str:
-            m = sum(round(v * (1 << public.precision)) << PACKED_BITS * k for k, v in enumerate(row)) % public.n
+            m = sum(round(v * (1 << public.precision)) << bits * k for k, v in enumerate(row)) % public.n
             return f"{(1 + m * public.n) * rng.choice(zeros) % n2:x}"
 
         return x.map(one)
@@ -293,9 +336,9 @@ def encrypt_packed(columns: list[Column], key: Paillier, zeros: list[int]) -> Co
     return run(F.array(*[c.cast("double") for c in columns]))
 
 
-def decrypt_packed(column: Column, key: Paillier, count: int) -> Column:
+def decrypt_packed(column: Column, key: Paillier, count: int, bits: int = PACKED_BITS) -> Column:
     """The packed reals as an array."""
-    half, whole = 1 << PACKED_BITS - 1, 1 << PACKED_BITS
+    half, whole = 1 << bits - 1, 1 << bits
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
@@ -307,7 +350,7 @@ def decrypt_packed(column: Column, key: Paillier, count: int) -> Column:
             for _ in range(count):
                 low = (m + half) % whole - half
                 out.append(low / (1 << key.precision))
-                m = (m - low) >> PACKED_BITS
+                m = (m - low) >> bits
             return out
 
         return x.map(one)

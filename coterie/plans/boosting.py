@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, shap, trees
+from ..operators import evaluate, private_trees, shap, trees
 from ..operators.trees import TreeParams
 from . import fixtures as fx
+from .exchange import _key
 from .modelling import _TREE, _TREE_EDGES
 from .tabular import query
 
@@ -17,10 +18,10 @@ from .tabular import query
 _CODES = "codes AS (SELECT id, 'sum_qty' AS feature, CAST(sum_qty > 50 AS INTEGER) + CAST(sum_qty > 100 AS INTEGER) + CAST(sum_qty > 150 AS INTEGER) AS bin FROM joined UNION ALL SELECT id, 'n_lines', CAST(n_lines > 2 AS INTEGER) + CAST(n_lines > 4 AS INTEGER) FROM joined)"
 
 
-def rounds_sql(classes: int, rounds: int, depth: int, gamma: float, gradients: str, rate: float = 0.3, lam: float = 0.1) -> list[str]:
+def rounds_sql(classes: int, rounds: int, depth: int, gamma: float, gradients: str, rate: float = 0.3, lam: float = 0.1, codes: str = _CODES) -> list[str]:
     """Level-wise boosting, unrolled: from s0 (id, y, s: the list of raw scores) to the scores s{rounds}. A node's
     children are numbered twice its number plus 1 and 2. gradients: of a row (y, c, s), as "... AS g, ... AS h"."""
-    out = [_CODES]
+    out = [codes]
     for r in range(rounds):
         out.append(f"gh{r} AS (SELECT id, c, {gradients} FROM s{r}, range({classes}) k(c))")
         out.append(f"n{r}_0 AS (SELECT id, 0 AS node FROM s{r})")
@@ -88,6 +89,36 @@ def boost_fixed_bins(spark: SparkSession, sf: str) -> DataFrame:
     return _binary_model(df).predict(df).select("id", F.round("prediction", 6).alias("prediction"))
 
 
+# --- between parties ---
+
+_PRIVATE_CODES = _CODES[:-1] + " UNION ALL SELECT id, 'priority', CAST(priority > 2 AS INTEGER) + CAST(priority > 3 AS INTEGER) FROM joined)"
+_PRIVATE = ", ".join([fx.JOINED, "s0 AS (SELECT id, y, [0::DOUBLE] AS s FROM joined)", *rounds_sql(1, 1, 2, 0.0, "0.5 - y AS g, 0.25 AS h", codes=_PRIVATE_CODES)])
+
+
+def _private_model(spark: SparkSession, sf: str, depth: int) -> tuple[private_trees.PrivateBoostedTrees, DataFrame, dict[str, DataFrame]]:
+    """Orders and priorities at the party with labels; quantities and line counts at one other each."""
+    active, lines = fx.active(spark, sf).select("id", "y", "priority"), fx.passive(spark, sf)
+    others = {c: lines.select("id", c) for c in _TREE}
+    parties = [private_trees.PassiveParty(c, [c], {c: _TREE_EDGES[c]}) for c in _TREE]
+    model = private_trees.PrivateBoostedTrees(["priority"], "y", "id", parties, _key(), n_trees=1, params=TreeParams(max_depth=depth, reg_gamma=0.0), edges={"priority": [2.0, 3.0]})
+    return model.fit(active, others), active.join(lines.select("id"), "id", "left_semi"), others
+
+
+@query(f"WITH {_PRIVATE} SELECT id, round(1 / (1 + exp(-s[1])), 6) AS prediction FROM s1")
+def private_boost(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of two levels over three parties: encrypted histograms, and splits that only their owner knows."""
+    model, active, others = _private_model(spark, sf, 2)
+    return model.predict(active, others).select("id", F.round("prediction", 6).alias("prediction"))
+
+
+@query(f"WITH {_PRIVATE}, f AS (SELECT feature FROM best0_0) SELECT CASE WHEN node = 0 THEN 'split' ELSE 'leaf' END AS kind, CASE WHEN node = 0 THEN (SELECT nullif(feature, 'priority') FROM f) END AS party, count(*) AS n FROM (SELECT 0 AS node UNION ALL SELECT DISTINCT node FROM n0_1) GROUP BY 1, 2")
+def private_boost_table(spark: SparkSession, sf: str) -> DataFrame:
+    """What the party with labels keeps of a tree of one level: owners and records, no thresholds of others."""
+    model, _, _ = _private_model(spark, sf, 1)
+    t = model.table(spark)
+    return t.groupBy(F.when(F.col("weight").isNull(), "split").otherwise("leaf").alias("kind"), "party").agg(F.count("*").alias("n"))
+
+
 # --- contributions ---
 
 #: A tree of one feature gives that feature its whole value less the mean; one of depth 1 is such a tree.

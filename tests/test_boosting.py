@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coterie.operators import evaluate, shap, trees
+from coterie.operators import evaluate, private_trees, shap, trees
 from coterie.sources import writers
 
 
@@ -155,3 +155,64 @@ def test_importance_by_way(spark, three_classes):
     assert found["a"] > found["d"]
     lone = trees.BoostedTrees(["a"], "y", "id", "multi", 1, trees.TreeParams(max_depth=0), classes=3).fit(df)
     assert shap.contributions(lone, df, ["id"]).agg(F.max(F.abs(F.col("a")[0]))).first()[0] == 0
+
+
+# --- between parties ---
+
+
+def split_between_parties(df):
+    return df.select("id", "y", "a"), {"two": df.select("id", "b", "c"), "three": df.where("id >= 0").select("id", "d")}
+
+
+@pytest.mark.parametrize("task", ["binary", "regression"])
+def test_parties_grow_the_plain_trees(spark, three_classes, task):
+    df, _, _ = three_classes
+    label = F.when(F.col("y") == 1, 1).otherwise(0) if task == "binary" else F.col("b") * F.col("c") + F.col("a")
+    # shifted apart, so that a threshold tells whose it is
+    df = df.select("id", label.alias("y"), "a", F.when(F.col("id") % 13 != 0, F.col("b") + 10).alias("b"), (F.col("c") + 20).alias("c"), (F.col("d") + 30).alias("d"))
+    params, rounds = trees.TreeParams(max_bin=8, max_depth=3, reg_gamma=0.0), 2 if task == "binary" else 1
+    plain = trees.BoostedTrees(list("abcd"), "y", "id", task, rounds, params).fit(df)
+    active, others = split_between_parties(df)
+    others["two"] = others["two"].unionByName(spark.createDataFrame([(9999, 1.0, 1.0)], "id long, b double, c double"))  # an id that others lack
+    key = private_trees.crypto.Paillier.generate(256, seed=5)
+    parties = [private_trees.PassiveParty("two", ["b", "c"]), private_trees.PassiveParty("three", ["d"])]
+    model = private_trees.PrivateBoostedTrees(["a"], "y", "id", parties, key, task, rounds, params, zeros=6).fit(active, others)
+    want, got = by_id(plain.predict(df), "prediction"), by_id(model.predict(active, others), "prediction")
+    assert got == pytest.approx(want, abs=1e-6)
+
+    def shape(x):
+        return None if x.left is None else (x.feature or x.party, shape(x.left), shape(x.right))
+
+    owner = {"a": "a", "b": "two", "c": "two", "d": "three"}
+
+    def plain_shape(x):
+        return None if x.left is None else (owner[x.feature], plain_shape(x.left), plain_shape(x.right))
+
+    assert [shape(t) for t in model.trees] == [plain_shape(t) for t in plain.trees]
+    own = model.table(spark).collect()
+    assert {r.feature for r in own} <= {"a", None} and all((r.threshold is None) == (r.feature is None) for r in own)
+    assert {r.party for r in own} >= {"two"}
+    kept = [r for x in parties for r in x.table(spark).collect()]
+    assert {r.feature for r in kept} <= set("bcd") and len(kept) == sum(r.record is not None for r in own)
+    assert all(r.threshold < 5 for r in own if r.threshold is not None) and all(r.threshold > 5 for r in kept)
+
+
+def test_packed_bins_and_siblings(spark):
+    key = private_trees.crypto.Paillier.generate(512, seed=6)
+    crypto = private_trees.crypto
+    rng = np.random.default_rng(1)
+    rows = [(int(n), int(b), float(g), float(abs(g))) for n, b, g in zip(rng.integers(1, 3, 200), rng.integers(0, 7, 200), rng.standard_normal(200))]
+    df = spark.createDataFrame(rows + [(1, 9, 1.5, 0.5)], "node int, f0 int, g double, h double")
+    bits = crypto.packed_bits(201, 5.0, key)
+    assert crypto.capacity(key, 2 * bits) >= 4
+    sent = df.select("node", "f0", crypto.encrypt_packed([F.col("g"), F.col("h")], key, key.zeros(4), bits).alias("c"))
+    child = private_trees.bin_sums(sent.where("node = 1"), ["f0"], key.public)
+    parent = private_trees.bin_sums(sent.withColumn("node", F.lit(0)), ["f0"], key.public)
+    other = private_trees.sibling_sums(parent, child, [(0, 1, 2)], key.public)
+    got = {(r.node, r.bin): (r.g, r.h, r.n) for r in private_trees.sent_histogram(child.unionByName(other), key, bits).collect()}
+    want = {(r.node, r.bin): (r.g, r.h, r.n) for r in trees.histogram(df, ["f0"]).collect()}
+    assert sorted(got) == sorted(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-6)
+    with pytest.raises(ValueError, match="no room"):
+        crypto.capacity(crypto.Paillier.generate(64, seed=1), 96)
