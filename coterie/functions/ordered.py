@@ -80,3 +80,16 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], ra
     found = upto.groupBy("column", "rows").agg(*ends)
     linear = lambda k, p: F.when(F.col(f"low{k}") == F.col(f"high{k}"), F.col(f"low{k}")).otherwise((F.ceil(p) - p) * F.col(f"low{k}") + (p - F.floor(p)) * F.col(f"high{k}"))
     return found.select("column", F.array(*[linear(k, p) for k, p in enumerate(at)]).alias("q"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Adds name: 1, 2, ... in an order of any columns. The rows are dealt into ranges of it and written with
+    their places there; a table of the ranges' sizes gives what is before each."""
+    from ..shared import stash
+
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the row below
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stash(dealt.select("*", F.shiftright(place, 33).alias("_part"), (place % (1 << 33)).alias("_place")), "numbered")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(name))

@@ -9,7 +9,8 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
-from pyspark.sql.window import Window as W
+
+from ..functions.ordered import numbered
 
 _STATS_LIMIT = 10_000
 
@@ -55,7 +56,7 @@ def fill_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def category_codes(df: DataFrame, column: str, order: str) -> DataFrame:
     """(value, code): codes from 0 by first appearance in the given order."""
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_first"))
-    return first.select("value", (F.row_number().over(W.orderBy("_first", "value")) - 1).cast("int").alias("code"))
+    return numbered(first, [F.col("_first"), F.col("value")], "_rn").select("value", (F.col("_rn") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.ordered import quantiles
+from ..functions.ordered import numbered, quantiles
 from .transform import bin_code, width_edges
 
 EMPTY = 1e-7
@@ -81,37 +81,134 @@ def chi_square(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def chi_adjacent(df: DataFrame, value: str, label: str) -> DataFrame:
     """(value, chi): chi-square of each value's counts against those of the next lower value."""
-    table, w = crosstab(df, value, label), W.orderBy("value")  # one row per distinct value
-    before = table.withColumn("p0", F.lag("n0").over(w)).withColumn("p1", F.lag("n1").over(w)).where("p0 is not null")
-    return before.select("value", chi_square(F.col("p0"), F.col("p1"), F.col("n0"), F.col("n1")).alias("chi"))
+    table = numbered(crosstab(df, value, label), [F.col("value")], "place")
+    lower = table.select((F.col("place") + 1).alias("place"), F.col("n0").alias("p0"), F.col("n1").alias("p1"))
+    return table.join(lower, "place").select("value", chi_square(F.col("p0"), F.col("p1"), F.col("n0"), F.col("n1")).alias("chi"))
+
+
+def class_crosstab(df: DataFrame, features: Sequence[str], label: str, classes: Sequence) -> DataFrame:
+    """(feature, value, counts): rows of each class for each distinct value, nulls left out."""
+    long = long_form(df, [label], features).where(F.col("value").isNotNull() & F.col(label).isNotNull())
+    each = [F.count(F.when(F.col(label) == F.lit(c), 1)) for c in classes]
+    return long.groupBy("feature", "value").agg(F.array(*each).alias("counts"))
+
+
+def merged_groups(counts, max_group: int) -> list[int]:
+    """Places of the first rows of the groups that are left after merging, again and again, the neighbours of
+    least chi-square (the first of equal ones). counts: a row per value in order, a column per class. A heap
+    of pairs over a linked list of groups: a pair is out of date once either of its groups has changed."""
+    import heapq
+
+    import numpy as np
+
+    counts = np.asarray(counts, float)
+    n = len(counts)
+    a, b = counts[:-1], counts[1:]
+    chi, total = np.zeros(max(0, n - 1)), a.sum(1) + b.sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for own in (a, b):
+            e = own.sum(1)[:, None] * (a + b) / total[:, None]
+            chi += np.where(e > 0, (own - e) ** 2 / np.where(e > 0, e, 1), 0).sum(1)
+    rows = [tuple(r) for r in counts.tolist()]
+    after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+    heap = [(x, k, 0, 0) for k, x in enumerate(chi.tolist())]
+    heapq.heapify(heap)
+
+    def pair(u: tuple, v: tuple) -> float:
+        p, q = sum(u), sum(v)
+        out = 0.0
+        for own, size in ((u, p), (v, q)):
+            part = 0.0
+            for o, x, y in zip(own, u, v, strict=True):
+                e = size * (x + y) / (p + q)
+                if e > 0:
+                    part += (o - e) ** 2 / e
+            out += part
+        return out
+
+    for _ in range(n - max_group):
+        while True:
+            _, k, own, other = heapq.heappop(heap)
+            nxt = after[k] if version[k] == own else n
+            if nxt < n and version[nxt] == other:
+                break
+        rows[k] = tuple(x + y for x, y in zip(rows[k], rows[nxt], strict=True))
+        version[k] += 1
+        version[nxt] = -1
+        after[k] = after[nxt]
+        if after[k] < n:
+            before[after[k]] = k
+            heapq.heappush(heap, (pair(rows[k], rows[after[k]]), k, version[k], version[after[k]]))
+        if before[k] >= 0:
+            heapq.heappush(heap, (pair(rows[before[k]], rows[k]), before[k], version[before[k]], version[k]))
+    return [k for k in range(n) if version[k] >= 0]
+
+
+def _label_classes(df: DataFrame, label: str) -> list:
+    return sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())  # a row per class
+
+
+def chi_merge_all(df: DataFrame, features: Sequence[str], label: str, max_group: int = 5) -> DataFrame:
+    """(feature, grp, low): left edges of each feature's groups. A feature's table of distinct values is one
+    group of one task: it takes their number times its logarithm in time, and the number in memory."""
+
+    def merge(rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("value", ignore_index=True)
+        kept = merged_groups(np.array(rows["counts"].tolist()), max_group)
+        return pd.DataFrame({"feature": rows["feature"].iloc[0], "grp": range(1, len(kept) + 1), "low": rows["value"].to_numpy(float)[kept]})
+
+    return class_crosstab(df, features, label, _label_classes(df, label)).groupBy("feature").applyInPandas(merge, "feature string, grp int, low double")
 
 
 def chi_merge(df: DataFrame, value: str, label: str, max_group: int = 5) -> DataFrame:
-    """(grp, low): left edges of the groups after merging, again and again, the neighbours with the least
-    chi-square (the first of equal ones) until max_group are left. The greedy loop runs on the table of
-    distinct values in one task."""
+    """(grp, low) of one column."""
+    return chi_merge_all(df, [value], label, max_group).drop("feature")
+
+
+def private_chi_merge(passive: DataFrame, active: DataFrame, id_col: str, features: Sequence[str], label: str, key, max_group: int = 5, zeros: int = 32) -> DataFrame:
+    """chi_merge_all() of a passive party's features by labels that it never sees: the active party sends each
+    row's class as one cipher of 0s and a 1, the passive one multiplies the ciphers of each value and sends
+    them under numbers of features and places of values, and the active one decrypts, merges and tells the
+    places that are left. Values and names stay with the passive party."""
+    from ..functions import crypto
+    from ..functions.ordered import row_numbers
+    from ..shared import stash
+
+    classes = _label_classes(active, label)
+    bits = crypto.packed_bits(active.count(), 1.0, key)
+    y = [(F.col(label) == F.lit(c)).cast("double") for c in classes]
+    sent = active.where(F.col(label).isNotNull()).select(id_col, crypto.encrypt_packed(y, key, key.zeros(zeros, base=8), bits).alias("c"))
+    long = long_form(passive.join(sent, id_col), ["c"], features).where("value is not null")
+    sums = stash(crypto.cipher_sum(long.select("feature", "value", "c"), ["feature", "value"], "c", key.public), "values")
+    placed = None
+    for i, c in enumerate(features):
+        own = row_numbers(sums.where(F.col("feature") == c), "value", [], "place").select(F.lit(i).alias("number"), F.col("place").cast("long").alias("place"), "value", "c")
+        placed = own if placed is None else placed.unionByName(own)
+    placed = stash(placed, "places")
 
     def merge(rows):
         import numpy as np
-
-        rows = rows.sort_values("value")
-        low, n = rows["value"].tolist(), rows[["n0", "n1"]].to_numpy(float)
-        while len(low) > max_group:
-            a, b = n[:-1], n[1:]
-            total = (a + b).sum(1)
-            chi = np.zeros(len(a))
-            for own in (a, b):
-                e = own.sum(1)[:, None] * (a + b) / total[:, None]
-                chi += np.where(e > 0, (own - e) ** 2 / np.where(e > 0, e, 1), 0).sum(1)
-            k = int(chi.argmin())
-            n[k] += n[k + 1]
-            n = np.delete(n, k + 1, 0)
-            del low[k + 1]
         import pandas as pd
 
-        return pd.DataFrame({"grp": range(1, len(low) + 1), "low": [float(x) for x in low]})
+        rows = rows.sort_values("place", ignore_index=True)
+        kept = merged_groups(np.round(np.array(rows["counts"].tolist())), max_group)
+        return pd.DataFrame({"number": int(rows["number"].iloc[0]), "grp": range(1, len(kept) + 1), "place": rows["place"].to_numpy()[kept]})
+
+    told = placed.select("number", "place", crypto.decrypt_packed(F.col("c"), key, len(classes), bits).alias("counts"))
+    kept = told.groupBy("number").applyInPandas(merge, "number int, grp int, place long")
+    named = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("number") + 1)
+    return kept.join(placed.select("number", "place", "value"), ["number", "place"]).select(named.alias("feature"), "grp", F.col("value").alias("low"))
+
 
-    return crosstab(df, value, label).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(merge, "grp int, low double")
+def chi_bin(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """Replaces each feature of groups (feature, grp, low) by the name of its group; nulls stay null."""
+    lows: dict[str, list[float]] = {}
+    for r in groups.orderBy("feature", "grp").collect():  # max_group rows per feature
+        lows.setdefault(r["feature"], []).append(r["low"])
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), chi_groups(F.col(c), e)) for c, e in lows.items()})
 
 
 def chi_groups(column: Column, lows: Sequence[float]) -> Column:
@@ -129,16 +226,11 @@ def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> Dat
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson") -> DataFrame:
-    """(a, b, corr) for all pairs, nulls as 0. Spearman: Pearson on average ranks, which come from running
-    counts over value ranges."""
+    """(a, b, corr) for all pairs, each over the rows that have both, and 0 where that is not defined.
+    Spearman: Pearson on average ranks."""
     if method == "spearman":
-        from ..functions.ordered import running
-
-        for c in features:
-            counts = df.groupBy(F.col(c)).agg(F.count("*").alias("_k"))
-            upto = running(counts.withColumn("_v", F.col(c).cast("double")), "_v", [], {"_u": F.col("_k")})
-            df = df.join(upto.select(c, (F.col("_u") - (F.col("_k") - 1) / 2).alias("_r")), c).drop(c).withColumnRenamed("_r", c)
-    elif method != "pearson":
+        return rank_correlation(df, features)
+    if method != "pearson":
         raise NotImplementedError(method)
     pairs = [(a, b) for a in features for b in features]
     row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)])
@@ -146,6 +238,54 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pe
     return row.select(F.inline(entries))
 
 
+def rank_correlation(df: DataFrame, features: Sequence[str], ranges: int = 64) -> DataFrame:
+    """Spearman's correlation of all pairs, each over the rows that have both features.
+
+    Which rows have both is told by which features a row has, its pattern. So values are counted by (feature,
+    value, pattern); a pair's ranks within a feature are running sums over the counts of the patterns that
+    hold the pair. Those run inside ranges of each feature (cut at quantiles), with the sums of earlier ranges
+    added, for all features and pairs in one long table. Sums of rank products follow from a second pass."""
+    from ..shared import stash
+
+    features = list(features)
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    has = sum((F.when(F.col(f"x{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(len(features))), F.lit(0).cast("long"))
+    rows = df.select(*x).select("*", has.alias("pattern"))
+    marks = rows.approxQuantile([f"x{i}" for i in range(len(features))], [k / ranges for k in range(1, ranges)], 0.5 / ranges)
+    part = F.lit(0)
+    for i, m in enumerate(marks):
+        cuts = sorted(set(m))
+        below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+        part = F.when(F.col("i") == i, below).otherwise(part)
+    long = rows.select("pattern", F.posexplode(F.array(*[f"x{i}" for i in range(len(features))])).alias("i", "v")).where("v is not null")
+    counts = long.groupBy("i", "v", "pattern").agg(F.count("*").alias("n"))
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    # a value's count for each pair that its feature is of
+    mates = F.array(*[F.struct(F.lit(i).alias("own"), F.lit(p).alias("pair"), F.lit((1 << a) | (1 << b)).cast("long").alias("mask")) for p, (a, b) in enumerate(pairs) for i in {a, b}])
+    by_pair = counts.select("*", F.inline(F.filter(mates, lambda m: (m["own"] == F.col("i")) & (F.col("pattern").bitwiseAND(m["mask"]) == m["mask"]))))
+    by_value = stash(by_pair.groupBy("pair", "i", "v").agg(F.sum("n").alias("n")).withColumn("part", part), "ranks")
+    sums = by_value.groupBy("pair", "i", "part").agg(F.sum("n").alias("n"))
+    earlier = F.sum("n").over(W.partitionBy("pair", "i").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    before = sums.select("pair", "i", "part", F.coalesce(earlier, F.lit(0)).alias("before"))
+    upto = F.sum("n").over(W.partitionBy("pair", "i", "part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = by_value.withColumn("upto", upto).join(F.broadcast(before), ["pair", "i", "part"])  # `ranges` rows for each pair and feature
+    ranks = stash(ranked.select("pair", "i", "v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
+    # back to the rows: both values of a pair, counted together, then their ranks
+    each = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"x{a}").alias("u"), F.col(f"x{b}").alias("w")) for p, (a, b) in enumerate(pairs)])
+    both = rows.select(F.inline(each)).where("u is not null and w is not null").groupBy("pair", "a", "b", "u", "w").agg(F.count("*").alias("n"))
+    side = lambda v, i, name: ranks.select(F.col("pair"), F.col("i").alias(i), F.col("v").alias(v), F.col("rank").alias(name))
+    joined = both.join(side("u", "a", "r"), ["pair", "a", "u"]).join(side("w", "b", "s"), ["pair", "b", "w"])
+    n, r, s = F.col("n"), F.col("r"), F.col("s")
+    mean = {c: F.sum(n * F.col(c)) / F.sum(n) for c in "rs"}
+    found = joined.groupBy("pair").agg(F.sum(n).alias("k"), mean["r"].alias("mr"), mean["s"].alias("ms"), F.sum(n * r * r).alias("rr"), F.sum(n * s * s).alias("ss"), F.sum(n * r * s).alias("rs"))
+    k = F.col("k")
+    above, below = F.col("rs") - k * F.col("mr") * F.col("ms"), (F.col("rr") - k * F.col("mr") * F.col("mr")) * (F.col("ss") - k * F.col("ms") * F.col("ms"))
+    known = found.select("pair", F.when(below > 0, above / F.sqrt(below)).alias("c"))
+    spark = df.sparkSession
+    names = spark.createDataFrame([(p, *n) for p, (a, b) in enumerate(pairs) for n in {(features[a], features[b]), (features[b], features[a])}], "pair int, a string, b string")  # a row per pair
+    return names.join(known, "pair", "left").select("a", "b", F.coalesce("c", F.lit(0.0)).alias("corr"))
+
+
 def stability_index(base: DataFrame, test: DataFrame, feature: str) -> DataFrame:
     """(psi): population stability of test against base. Bins at the base's linear quantiles (as many as
     min(20, n / 10)), rounded to four places, open at both ends, and one bin for missing values; a share

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
+from ..functions.ordered import numbered
 from ..shared import stash
 from .select import hash_order
 
@@ -37,7 +38,8 @@ def with_decoys(reply: DataFrame, others: DataFrame, share: float, seed: int = 0
     """The intersection with int(share * its size) ids of others that it lacks, by hash order."""
     k = int(share * reply.count())
     rest = others.select(F.col(others.columns[0]).alias("id")).distinct().join(reply, "id", "left_anti")
-    return reply.select("id").union(rest.orderBy(hash_order("id", seed=seed), "id").limit(k))
+    ranked = numbered(rest.withColumn("_h", hash_order("id", seed=seed)), [F.col("_h"), F.col("id")], "_rn")
+    return reply.select("id").union(ranked.where(F.col("_rn") <= k).select("id"))
 
 
 def sign_ids(ids: DataFrame, key: crypto.RSA) -> DataFrame:

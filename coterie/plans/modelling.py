@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import losses
+from ..functions import crypto, losses
 from ..operators import evaluate, federated, kmeans, linear, metrics, neural, select, transform, trees
 from ..operators.trees import TreeParams
 from . import fixtures as fx
@@ -63,11 +63,50 @@ def chi_adjacent(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.chi_adjacent(_chi_parts(spark, sf), "value", "y").withColumn("chi", F.round("chi", 6))
 
 
-@query()
+def _merge_sql(source: str, max_group: int) -> str:
+    """The greedy loop as a recursion over lists of groups, from source (feature, value, y)."""
+    cell = lambda at, col: f"CASE WHEN g[{at}].t * (g[i].{col} + g[i + 1].{col}) > 0 THEN pow(g[{at}].{col} - g[{at}].t * (g[i].{col} + g[i + 1].{col}) / (g[i].t + g[i + 1].t), 2) / (g[{at}].t * (g[i].{col} + g[i + 1].{col}) / (g[i].t + g[i + 1].t)) ELSE 0 END"
+    chi = f"(({cell('i', 'a')} + {cell('i', 'b')}) + ({cell('i + 1', 'a')} + {cell('i + 1', 'b')}))"
+    return f"""x AS (SELECT feature, value, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS b FROM {source} GROUP BY 1, 2),
+  m AS (SELECT feature, list({{'low': CAST(value AS DOUBLE), 'a': a, 'b': b, 't': a + b}} ORDER BY value) AS g FROM x GROUP BY 1
+    UNION ALL SELECT feature, g[1:k - 1] || [{{'low': g[k].low, 'a': g[k].a + g[k + 1].a, 'b': g[k].b + g[k + 1].b, 't': g[k].t + g[k + 1].t}}] || g[k + 2:] FROM (SELECT feature, g, list_position(c, list_min(c)) AS k FROM (SELECT feature, g, list_transform(range(1, len(g)), lambda i: {chi}) AS c FROM m WHERE len(g) > {max_group}))),
+  kept AS (SELECT feature, unnest(range(1, len(g) + 1)) AS grp, g FROM m WHERE len(g) <= {max_group})"""
+
+
+@query(f"WITH RECURSIVE t AS (SELECT 'value' AS feature, p_size AS value, CAST(p_retailprice > 1500 AS INTEGER) AS y FROM part), {_merge_sql('t', 5)} SELECT CAST(grp AS INTEGER) AS grp, g[grp].low AS low FROM kept")
 def chi_merge(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.chi_merge(_chi_parts(spark, sf), "value", "y", 5)
 
 
+@query()
+def chi_merge_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of all features of both parties, counts and sums alike."""
+    return evaluate.chi_merge_all(fx.joined(spark, sf), fx.FEATURES, "y", 5)
+
+
+_CHI_TWO = "u AS (SELECT 'p_size' AS feature, p_size AS value, CAST(p_retailprice > 1500 AS INTEGER) AS y FROM part UNION ALL SELECT 'letters', length(p_name || p_type), CAST(p_retailprice > 1500 AS INTEGER) FROM part)"
+
+
+def _chi_two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = fx.table(spark, sf, "part")
+    return p.select("p_partkey", "p_size", F.length(F.concat("p_name", "p_type")).alias("letters")), p.select("p_partkey", (F.col("p_retailprice") > 1500).cast("int").alias("y"))
+
+
+@query(f"WITH RECURSIVE {_CHI_TWO}, {_merge_sql('u', 4)} SELECT feature, CAST(grp AS INTEGER) AS grp, g[grp].low AS low FROM kept")
+def chi_merge_private(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of one party's features by labels that the other keeps encrypted."""
+    passive, active = _chi_two(spark, sf)
+    return evaluate.private_chi_merge(passive, active, "p_partkey", ["p_size", "letters"], "y", crypto.Paillier.generate(512, seed=11), 4)
+
+
+@query(f"WITH RECURSIVE {_CHI_TWO}, {_merge_sql('u', 4)}, w AS (SELECT feature, list(g[grp].low) AS lows FROM kept GROUP BY 1), b AS (SELECT p_partkey, p_size, length(p_name || p_type) AS letters FROM part) SELECT p_partkey, 'group' || greatest(len(list_filter(s.lows, lambda e: p_size >= e)), 1) AS p_size, 'group' || greatest(len(list_filter(l.lows, lambda e: letters >= e)), 1) AS letters FROM b, (SELECT lows FROM w WHERE feature = 'p_size') s, (SELECT lows FROM w WHERE feature = 'letters') l")
+def chi_bin(spark: SparkSession, sf: str) -> DataFrame:
+    """Values replaced by their groups."""
+    passive, active = _chi_two(spark, sf)
+    groups = evaluate.chi_merge_all(passive.join(active, "p_partkey"), ["p_size", "letters"], "y", 4)
+    return evaluate.chi_bin(passive, groups)
+
+
 @query("SELECT p_partkey, 'group' || greatest(CAST(p_size >= 10 AS INTEGER) + CAST(p_size >= 20 AS INTEGER) + CAST(p_size >= 40 AS INTEGER), 1) AS grp FROM part")
 def chi_groups(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "part").select("p_partkey", evaluate.chi_groups(F.col("p_size"), [10, 20, 40]).alias("grp"))
@@ -95,6 +134,21 @@ def spearman_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.correlation_matrix(fx.joined(spark, sf).select("id", *_TRIO), _TRIO, "spearman").withColumn("corr", F.round("corr", 6))
 
 
+_HOLES = "holes AS (SELECT id, size, price, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 17 END AS cycle FROM dirty)"
+
+
+def _pair_sql(a: str, b: str) -> str:
+    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {n}" for c, n in ((a, "u"), (b, "w")))
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(corr(u, w), 0), 6) AS corr FROM (SELECT {ranks} FROM holes WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+
+
+@query(f"WITH {fx.DIRTY}, {_HOLES} " + " UNION ALL ".join(_pair_sql(a, b) for a in ("size", "price", "cycle") for b in ("size", "price", "cycle")))
+def spearman_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Each pair over the rows that have both."""
+    holes = fx.dirty(spark, sf).select("id", "size", "price", F.when(F.col("id") % 3 != 0, F.col("id") % 17).alias("cycle"))
+    return evaluate.correlation_matrix(holes, ["size", "price", "cycle"], "spearman").withColumn("corr", F.round("corr", 6))
+
+
 @query(f"""WITH {fx.CLIENTS}, base AS (SELECT value FROM clients WHERE day <= 15), test AS (SELECT value FROM clients WHERE day > 15),
   k AS (SELECT least(20, count(value) // 10) AS k, count(value) AS n FROM base), m AS (SELECT count(value) AS n FROM test),
   e AS (SELECT DISTINCT round(unnest(quantile_cont(value, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])), 4) AS e FROM base),
