@@ -7,18 +7,26 @@ row has both sides' turns at that place, `chosen` and `rejected` (null where a s
 with the characters [loss_start, loss_end) on which loss falls: the words and end mark of assistant turns,
 nothing elsewhere. format_pairs gives the same turns in a longer form, one row for each side.
 
-Everybody is in one pair. Conversations that open with the same turn go together: within an opening, in the
-order of (conv_id mod SALTS, conv_id), the first with the second, the third with the fourth, and so on; the
-one with more assistant characters is chosen, the earlier one if they have equally many. Ranks come from
-counts by salt and a row number inside each salt, so one very common opening is spread over many tasks. Who
-has no partner in an opening is paired across openings, with an empty prompt: in buckets of the md5 of
-conv_id, in the order of conv_id, and the odd ones of the buckets with each other. If the number of
-conversations is odd, the last has a null rejected_id and all its turns are its completion.
+Pairs can be given. Where none are known, branched() makes one of every conversation, at its last assistant
+turn: chosen is the conversation as it stands, rejected the same turns up to there and then the last assistant
+turn of the next conversation in the order of the md5 of conv_id (after the last comes the first), whose
+number is rejected_id. So the prompt is all that was said before that reply. A conversation that has no
+assistant turn, or is the only one that has, stands alone: rejected_id is null and all its turns are its
+completion. If both replies are equal words, the prompt holds them too.
+
+whole_pairs() instead pairs conversations with each other. Those that open with the same turn go together:
+within an opening, in the order of (conv_id mod SALTS, conv_id), the first with the second, the third with
+the fourth, and so on; the one with more assistant characters is chosen, the earlier one if they have equally
+many. Ranks come from counts by salt and a row number inside each salt, so one very common opening is spread
+over many tasks. Who has no partner in an opening is paired across openings, with an empty prompt: in buckets
+of the md5 of conv_id, in the order of conv_id, and the odd ones of the buckets with each other. If the
+number of conversations is odd, the last has a null rejected_id and all its turns are its completion.
 
 Cases: exact repeats of a row count once; several different rows of one turn number are turns one after
 another, by role and text (nulls first); null turn numbers come first; null role or text renders as
-empty; rows with a null conv_id belong to no conversation and are left out; a pair of equal conversations
-has prompt rows only; an empty table gives an empty result; other columns are not read.
+empty; very long texts and conversations of very many turns are rows like any other; rows with a null conv_id
+belong to no conversation and are left out; a pair of equal conversations has prompt rows only; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ordered import numbered
 from .base import stash, table
 
 SALTS = 64
@@ -87,6 +96,23 @@ def whole_pairs(turns: DataFrame, salts: int = SALTS) -> tuple[DataFrame, DataFr
     return _ids(alike).union(_ids(near)).union(_ids(last)), odd(last).select("conv_id")
 
 
+def branched(turns: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id, best, turn, part, role, text, same): the turns of both sides of each pair, or
+    of the one side of a conversation alone."""
+    replies = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "part", "text", "same")).alias("last"))
+    ring = stash(numbered(replies.withColumn("order", F.md5(F.col("conv_id").cast("string"))), [F.col("order"), F.col("conv_id")]), "ring")
+    n = ring.count()
+    donor = ring.select((F.when(F.col("rn") == 1, n).otherwise(F.col("rn") - 1)).alias("rn"), F.col("conv_id").alias("rejected_id"), F.col("last.text").alias("_text"), F.col("last.same").alias("_same"))
+    pairs = stash(ring.join(donor, "rn").where("conv_id != rejected_id").select(F.col("conv_id").alias("chosen_id"), "rejected_id", F.struct("last.turn", "last.part").alias("_end"), "_text", "_same"), "branches")
+    both = turns.join(pairs.select(F.col("chosen_id").alias("conv_id"), "rejected_id", "_end"), "conv_id", "left")
+    sides = F.array(F.lit(True), F.lit(False))
+    earlier = F.col("rejected_id").isNotNull() & (F.struct("turn", "part") < F.col("_end"))
+    own = both.withColumn("best", F.explode(F.when(earlier, sides).otherwise(F.slice(sides, 1, 1))))
+    own = own.select(F.col("conv_id").alias("chosen_id"), "rejected_id", "best", "turn", "part", "role", "text", "same")
+    other = pairs.select("chosen_id", "rejected_id", F.lit(False).alias("best"), "_end.turn", "_end.part", F.lit("assistant").alias("role"), F.col("_text").alias("text"), F.col("_same").alias("same"))
+    return own.unionByName(other)
+
+
 def render(role: Column, text: Column) -> tuple[Column, Column]:
     """Header and body of a turn."""
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n")), F.concat(F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
@@ -129,8 +155,13 @@ def format_paired(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per turn of each pair (chosen_id, rejected_id; a null rejected_id for one without partner)."""
     sides = F.explode(F.array(F.struct(F.col("chosen_id").alias("conv_id"), F.lit(True).alias("best")), F.struct(F.col("rejected_id").alias("conv_id"), F.lit(False).alias("best"))))
     sided = pairs.select("chosen_id", "rejected_id", sides.alias("s")).select("chosen_id", "rejected_id", "s.conv_id", "s.best")
+    return format_sides(turns.join(sided, "conv_id"))
+
+
+def format_sides(sided: DataFrame) -> DataFrame:
+    """One row per turn of each pair, from the turns of both its sides (best: of the chosen one)."""
     of = lambda best: F.max(F.when(F.col("best") == best, F.struct("same", "role", "text")))
-    met = turns.join(sided, "conv_id").groupBy("chosen_id", "rejected_id", "turn", "part").agg(of(True).alias("a"), of(False).alias("b"))
+    met = sided.groupBy("chosen_id", "rejected_id", "turn", "part").agg(of(True).alias("a"), of(False).alias("b"))
     met = stash(met, "met")
     # the prefix ends at the first place where one side has no turn or another one
     place = F.struct("turn", "part")
@@ -154,12 +185,11 @@ def format_paired(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = turns_of(table(spark, sf_dir, "conversations"))
-    pairs, alone = whole_pairs(turns)
-    return format_paired(turns, pairs.union(alone.select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id"))))
+    return format_sides(branched(turns_of(table(spark, sf_dir, "conversations"))))
 
 
 def op3_preference_formatting_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations paired with each other, in the longer form."""
     turns = turns_of(table(spark, sf_dir, "conversations"))
     pairs, alone = whole_pairs(turns)
     return format_pairs(turns, pairs).union(format_alone(turns, alone))
@@ -254,3 +284,19 @@ SELECT chosen_id, rejected_id, CASE WHEN differ = 0 THEN 'prompt' ELSE 'completi
   count(*) FILTER (differ = 0) OVER (PARTITION BY chosen_id) AS n_prompt_turns
 FROM walked"""
 )
+
+#: The query's: the same rows over sides that branch at the last assistant turn.
+OP3_BRANCHED_ORACLE = (
+    OP3_ORACLE[: OP3_ORACLE.index("convs AS (")]
+    + """last AS (SELECT * FROM placed WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+ring AS (SELECT *, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS donor FROM last WINDOW w AS (ORDER BY md5(CAST(conv_id AS VARCHAR)), conv_id)),
+pairs AS (SELECT r.conv_id AS chosen_id, d.conv_id AS rejected_id, r.turn, r.part, r.place, d.text, d.same FROM ring r JOIN last d ON d.conv_id = r.donor WHERE r.donor <> r.conv_id),
+sides AS (
+  SELECT t.conv_id AS chosen_id, p.rejected_id, t.turn, t.part, t.role, t.text, t.same, 'chosen' AS side FROM placed t LEFT JOIN pairs p ON p.chosen_id = t.conv_id
+  UNION ALL
+  SELECT p.chosen_id, p.rejected_id, t.turn, t.part, t.role, t.text, t.same, 'rejected' FROM placed t JOIN pairs p ON p.chosen_id = t.conv_id AND t.place < p.place
+  UNION ALL
+  SELECT chosen_id, rejected_id, turn, part, 'assistant', text, same, 'rejected' FROM pairs),
+"""
+    + OP3_PAIRED_ORACLE[OP3_PAIRED_ORACLE.index("met AS (") :]
+)

@@ -9,7 +9,7 @@ from .lm import op1_lm_scoring
 from .mixing import op7_source_mixing
 from .neighbours import op10_embedding_near_dedup
 from .packing import op8_best_fit_packing
-from .preferences import OP3_PAIRED_ORACLE, OP3_WHOLE_ORACLE, op3_preference_formatting, op3_preference_formatting_whole
+from .preferences import OP3_BRANCHED_ORACLE, OP3_WHOLE_ORACLE, op3_preference_formatting, op3_preference_formatting_whole
 from .quality import op5_quality_rules
 from .resampling import op13_importance_resampling
 from .simhash import op2_simhash_near_dedup
@@ -34,7 +34,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_preference_formatting": OP3_PAIRED_ORACLE,
+    "op3_preference_formatting": OP3_BRANCHED_ORACLE,
     "op3_preference_formatting_whole": OP3_WHOLE_ORACLE,
     "op4_url_filters": OP4_ORACLE,
     "op11_warc_archive": OP11_ORACLE,

@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 
 from coterie.llm import preferences
@@ -84,9 +86,62 @@ def test_paired_rows_against_sql_and_the_longer_form(spark):
     assert preferences.format_paired(turns.limit(0), both.limit(0)).count() == 0
 
 
-def test_query_against_sql(spark):
+def by_hand(rows):
+    """Branches, prefixes and rows of the query, told conversation by conversation."""
+    convs = {}
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r[1:])
+    for r in sorted({r for r in rows if r[0] is not None}, key=key):
+        convs.setdefault(r[0], []).append(r)
+    placed = {}
+    for i, turns in convs.items():
+        count = {}
+        placed[i] = []
+        for _, turn, role, text in turns:
+            count[turn] = count.get(turn, 0) + 1
+            placed[i].append(((turn, count[turn]), role, text))
+    last = {i: max(k for k, t in enumerate(turns) if t[1] == "assistant") for i, turns in placed.items() if any(t[1] == "assistant" for t in turns)}
+    ring = sorted(last, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    out = []
+    show = lambda t: f"<|{t[1] or ''}|>\n{t[2] or ''}<|end|>\n"
+
+    def side(t):
+        learns = t is not None and t[1] == "assistant"
+        return (None if t is None else show(t), len(f"<|{t[1]}|>\n") if learns else 0, len(show(t)) if learns else 0)
+
+    for i, turns in placed.items():
+        donor = ring[(ring.index(i) + 1) % len(ring)] if i in last and len(ring) > 1 else None
+        other = [] if donor is None else [*turns[: last[i]], (turns[last[i]][0], "assistant", placed[donor][last[donor]][2])]
+        a, b = {t[0]: t for t in turns}, {t[0]: t for t in other}
+        places = [t[0] for t in turns]
+        n = next((k for k, p in enumerate(places) if a.get(p) != b.get(p)), len(places))
+        for k, p in enumerate(places):
+            if k < n:
+                out.append((i, donor, "prompt", *p, show(a[p]), None, 0, 0, None, 0, 0, n))
+            else:
+                out.append((i, donor, "completion", *p, None, *side(a[p]), *side(b.get(p)), n))
+    return sorted(out, key=str)
+
+
+def test_branches_against_sql_and_by_hand(spark):
+    long = [(30, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " * (50_000 if k == 7 else 3)) for k in range(400)]
+    for rows in (ROWS, ROWS + long, ROWS[:4], [(9, 0, "user", "a"), (9, 1, "assistant", "same"), (8, 0, "user", "b"), (8, 3, "assistant", "same"), (8, 4, "user", "thanks")]):
+        df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, rejected_id string").repartition(3)
+        got = preferences.format_sides(preferences.branched(preferences.turns_of(df))).collect()
+        con = duckdb.connect()
+        con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+        want = con.execute(preferences.OP3_BRANCHED_ORACLE)
+        order = [[d[0] for d in want.description].index(c) for c in got[0].__fields__]
+        assert sorted([tuple(r[k] for k in order) for r in want.fetchall()], key=str) == sorted(map(tuple, got), key=str) == by_hand(rows)
+    empty = preferences.turns_of(df.limit(0))
+    assert preferences.format_sides(preferences.branched(empty)).count() == 0
+
+
+def test_query_has_prompts(spark):
+    """On the given table every conversation with a reply has a partner, and prompts are what was said before."""
     sf = "/root/testdata/sf0.001"
     got = preferences.op3_preference_formatting(spark, sf).collect()
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    assert len(got) > 0 and sorted(con.execute(preferences.OP3_PAIRED_ORACLE).fetchall(), key=str) == sorted(map(tuple, got), key=str)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted(map(tuple, got), key=str) == by_hand(rows)
+    replied = {r[0] for r in rows if r[2] == "assistant"}
+    assert {r.chosen_id for r in got} == {r[0] for r in rows} and {r.chosen_id for r in got if r.rejected_id is not None} == replied
+    assert {r.chosen_id for r in got if r.segment == "prompt"} == {r.chosen_id for r in got if r.rejected_id is not None and r.n_prompt_turns > 0} != set()
