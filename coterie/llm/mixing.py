@@ -20,15 +20,15 @@ a row number inside a range, so no window holds all of them.
 Cases: a null text has size 0; a null source is a source of its own, last in order; sources without
 words get target 0; a source misses its target by half of one document at most; an empty table gives an
 empty result; rows repeated any number of times are taken one by one; a very long text is one document
-and taken whole or not; other columns pass through untouched, whatever their names (columns of map type
-take no part in telling rows apart).
+and taken whole or not; other columns pass through untouched, whatever their names and types (rows
+that differ in nothing but the order of a map's entries count as equal).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from pyspark.sql.window import Window as W
 
 from .base import SPACES, stash, table
@@ -61,6 +61,12 @@ def _placed(docs: DataFrame) -> DataFrame:
     return out.withColumn("mix_size", n_words(F.col("text")))
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, MapType) or isinstance(kind, StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
 def _p(*parts: str) -> Column:
     return F.xxhash64(F.lit(SEED), *parts)
 
@@ -129,8 +135,9 @@ def _dealt(draws: DataFrame) -> DataFrame:
 
 def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
     # docs' row travels as one struct, so that no column of it can clash with the working columns
-    told = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
-    h = F.xxhash64(F.lit(SEED), *[F.col(f"`{c}`") for c in told])
+    # maps have no hash; as text they tell rows apart too
+    told = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    h = F.xxhash64(F.lit(SEED), *told)
     docs = docs.select(F.struct("*").alias("mix_row"), h.alias("mix_h"), "text", "source")
     placed = _placed(docs)
     small = stash(placed.select("source", "mix_h", "mix_b1", "mix_b2", "mix_size"), "places")

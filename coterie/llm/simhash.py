@@ -180,15 +180,19 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFra
 
 def one_of_each(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
     """One row of docs for each group of near-duplicates: that of the least doc_id (rows without an id
-    come last, rows of one id go by the hash of their text), and one of it if it is repeated."""
+    come last, rows of one id go by the hash of their text). Of several rows with that id and text the one
+    with the least digest of all its columns stays, whatever order or partitions they come in."""
     fps, by_fp = _grouped(docs, words_each)
     rows = fps.join(by_fp, "fp").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n")).alias("k")
     keep = stash(rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), F.col("k.n").alias("n")), "keep")
     named = docs["doc_id"].cast("long").eqNullSafe(keep["keep_id"]) & (F.xxhash64(docs["text"]) == keep["keep_hash"])
     once = docs.join(keep.where(keep["n"] == 1), named, "left_semi")
-    again = docs.join(keep.where(keep["n"] > 1), named, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(again)
+    # a row as text names all its columns' values; rows of equal text are equal
+    again = docs.join(keep.where(keep["n"] > 1), named, "left_semi").withColumn("_row", F.struct("*"))
+    told = F.sha2(F.to_json(F.struct("_row"), {"ignoreNullFields": "false"}), 256)
+    one = again.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(F.min_by("_row", told).alias("_row"))
+    return once.union(one.select("_row.*"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from test_simhash import brute_fp, closed
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from coterie.llm import quality
+from coterie.llm import mixing, packing, quality
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -64,3 +64,34 @@ def test_repeats_nulls_and_clashing_columns(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_rows_that_differ_in_other_columns(spark):
+    """Of rows of one id and text the same one stays under any order and partitions, and maps stay with their rows."""
+    text = " ".join(f"word{i} and" for i in range(80))
+    rows = [(1, text, "en", f"s{i % 12}", {"k": i}, ({"in": i}, [{"x": i}])) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, m map<string,int>, nested struct<a:map<string,int>,b:array<map<string,int>>>"
+    kept = set()
+    for seed, parts in ((1, 1), (2, 3), (3, 7)):
+        order = np.random.default_rng(seed).permutation(len(rows))
+        docs = spark.createDataFrame([rows[i] for i in order], schema).repartition(parts)
+        one = corpus_pipeline.STAGES[1][1](spark, docs, "")
+        assert one.columns == docs.columns
+        kept.add(str([tuple(r) for r in one.collect()]))
+        mixed = mixing.mixed(docs)
+        got = {r.m["k"]: r for r in mixed.collect()}
+        assert mixed.count() == 40 and sorted(got) == list(range(40))
+        assert all(r.nested.a["in"] == k == r.nested.b[0]["x"] and r.source == f"s{k % 12}" for k, r in got.items())
+    assert len(kept) == 1
+
+
+def test_very_long_texts_pass_all_stages(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choice(words, 150_000))
+    rows = [(1, long, "en", "a", 1), (2, long, "en", "a", 1), (3, " ".join(rng.choice(words, 400)), "en", "b", 1), (4, "x" * 2_000_000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.STAGES[1][1](spark, docs, "")
+    assert sorted(r.doc_id for r in one.collect()) == [1, 3, 4]
+    packed = packing.pack(one.where("doc_id != 4")).collect()
+    assert max(r.length for r in packed) == 4096 and {r.doc_id for r in packed} == {1, 3}
