@@ -117,14 +117,11 @@ def quantize(x: Column, bins: int, bound: float) -> Column:
 
 
 def distance_correlation(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> DataFrame:
-    """(dcor) on squared Euclidean distances. Double centring turns those into minus twice the Gram matrix
-    of centred rows, so the sums over all pairs of rows equal sums of squared covariances: one aggregate,
-    linear in the rows."""
-    pairs = [(x, y) for g, h in ((a, b), (a, a), (b, b)) for x in g for y in h]
-    kinds = [0] * (len(a) * len(b)) + [1] * len(a) ** 2 + [2] * len(b) ** 2
-    row = df.agg(*[F.covar_pop(x, y).alias(str(i)) for i, (x, y) in enumerate(pairs)])
-    part = lambda k: sum([F.col(f"`{i}`") * F.col(f"`{i}`") for i, kk in enumerate(kinds) if kk == k], F.lit(0.0))
-    return row.select(F.sqrt(part(0) / F.sqrt(part(1) * part(2))).alias("dcor"))
+    """(dcor) of two parties' columns on squared Euclidean distances. Double centring turns those into minus
+    twice the Gram matrix of centred rows, so the sums over all pairs of rows equal sums of squared
+    covariances: linear in the rows."""
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in (*a, *b)]).alias("_v"))
+    return distance_correlation_vectors(rows, "_v", len(a))
 
 
 def distance_correlation_vectors(df: DataFrame, vec: str, cut: int) -> DataFrame:

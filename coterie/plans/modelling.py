@@ -423,18 +423,18 @@ def linear_inference(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- clusters ---
 
-_SEEDS = "seeds AS (SELECT label AS c, i, avg(vec[i]) AS m FROM vectors, range(1, 65) r(i) WHERE vec_id < 200 GROUP BY 1, 2), centres AS (SELECT c, list(m ORDER BY i) AS m FROM seeds GROUP BY 1)"
+_SEEDS = "seeds AS (SELECT label AS c, i, avg(vec[i]) AS m FROM vectors, range(1, 65) r(i) GROUP BY 1, 2), centres AS (SELECT c, list(m ORDER BY i) AS m FROM seeds GROUP BY 1)"
 _NEAR = f"near AS (SELECT vec_id, arg_min(c, (round({_D2.format(a='vec', b='m')}, 9), c)) AS cluster, min({_D2.format(a='vec', b='m')}) AS d2 FROM vectors, centres GROUP BY 1)"
 
 
 def _seeds(spark: SparkSession, sf: str) -> list[list[float]]:
-    v = fx.vectors(spark, sf).where("vec_id < 200")
+    v = fx.vectors(spark, sf)
     return kmeans.to_lists(kmeans.centroids(v, "vec", "label"), v.agg(F.max("label")).first()[0] + 1)
 
 
 @query(f"WITH {fx.VECTORS}, {_SEEDS} SELECT c AS cluster, CAST(i - 1 AS INTEGER) AS dim, round(m, 6) AS mean FROM seeds")
 def kmeans_seeded_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    return kmeans.centroids(fx.vectors(spark, sf).where("vec_id < 200"), "vec", "label").withColumn("mean", F.round("mean", 6))
+    return kmeans.centroids(fx.vectors(spark, sf), "vec", "label").withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {fx.VECTORS}, {_SEEDS}, {_NEAR} SELECT vec_id, cluster, round(d2, 6) AS d2 FROM near")
@@ -467,6 +467,13 @@ def kmeans_constrained(spark: SparkSession, sf: str) -> DataFrame:
     return model.predict(v).select("vec_id", "cluster")
 
 
+@query()
+def kmeans_restarts(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of four restarts of twelve clusters, of which labels seed ten."""
+    v = fx.vectors(spark, sf).withColumn("seed", F.when(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 0, F.col("label")).otherwise(-1))
+    return kmeans.SeededKMeans(12, "vec_id", "vec", "seed", n_init=4, max_iter=4).fit(v).predict(v).select("vec_id", "cluster", F.round("d2", 6).alias("d2"))
+
+
 @query(f"WITH {fx.VECTORS} SELECT label AS cluster, CAST(i - 1 AS INTEGER) AS dim, round(avg(vec[i]), 6) AS mean FROM vectors, range(1, 65) r(i) GROUP BY 1, 2")
 def kmeans_labelled_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return kmeans.centroids(fx.vectors(spark, sf), "vec", "label").withColumn("mean", F.round("mean", 6))
@@ -560,10 +567,11 @@ def embedding_norms(spark: SparkSession, sf: str) -> DataFrame:
     return neural.norms_by_label(fx.vectors(spark, sf), "vec", "label").withColumn("mean_norm", F.round("mean_norm", 6))
 
 
-@query(f"WITH {fx.VECTORS}, r AS (SELECT label, (SELECT count(*) FROM range(1, 11) t(i) WHERE vec[i] > vec[label + 1] OR (vec[i] = vec[label + 1] AND i < label + 1)) AS above FROM vectors) SELECT label, count(*) AS n, CAST(sum(CAST(above < 3 AS INTEGER)) AS BIGINT) AS hits FROM r GROUP BY 1")
+@query(f"WITH {fx.VECTORS}, {_SEEDS}, q AS (SELECT vec_id, label, list(-round(sqrt({_D2.format(a='vec', b='m')}), 6) ORDER BY c) AS s FROM vectors, centres GROUP BY 1, 2), r AS (SELECT label, (SELECT count(*) FROM range(1, 11) t(i) WHERE s[i] > s[label + 1] OR (s[i] = s[label + 1] AND i < label + 1)) AS above FROM q) SELECT label, count(*) AS n, CAST(sum(CAST(above < 3 AS INTEGER)) AS BIGINT) AS hits FROM r GROUP BY 1")
 def topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    v = fx.vectors(spark, sf).select("label", F.slice("vec", 1, 10).alias("scores"))
-    return neural.top_k_accuracy(v, "scores", "label", 3)
+    """Is a vector's class among the three whose centroids are nearest?"""
+    v = kmeans.transform(fx.vectors(spark, sf), "vec", _seeds(spark, sf))
+    return neural.top_k_accuracy(v.select("label", F.transform("distances", lambda d: -F.round(d, 6)).alias("scores")), "scores", "label", 3)
 
 
 @query(f"WITH {fx.VECTORS}, t AS (SELECT *, list_sort(list_transform(vec, lambda x: abs(x)), 'DESC')[16] AS least FROM vectors) SELECT vec_id, list_transform(vec, lambda x: CASE WHEN abs(x) >= least THEN round(x, 6) ELSE 0 END) AS vec FROM t")
@@ -576,17 +584,21 @@ def quantize_gradient(spark: SparkSession, sf: str) -> DataFrame:
     return fx.vectors(spark, sf).select("vec_id", F.transform("vec", lambda x: F.round(neural.quantize(x, 8, 0.2), 6) + 0.0).alias("vec"))
 
 
-@query(f"""WITH {fx.VECTORS}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, {_D2.format(a='a.vec[1:4]', b='b.vec[1:4]')} AS x, {_D2.format(a='a.vec[33:36]', b='b.vec[33:36]')} AS y FROM vectors a, vectors b),
+_DCOR = f"""WITH {fx.VECTORS}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, {_D2.format(a='a.vec[1:32]', b='b.vec[1:32]')} AS x, {_D2.format(a='a.vec[33:64]', b='b.vec[33:64]')} AS y FROM vectors a, vectors b),
   c AS (SELECT x - avg(x) OVER (PARTITION BY i) - avg(x) OVER (PARTITION BY j) + avg(x) OVER () AS a, y - avg(y) OVER (PARTITION BY i) - avg(y) OVER (PARTITION BY j) + avg(y) OVER () AS b FROM d)
-  SELECT round(sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))), 6) AS dcor FROM c""")
+  SELECT round(sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))), 6) AS dcor FROM c"""
+
+
+@query(_DCOR)
 def distance_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    own = [F.col("vec")[k].alias(f"v{k}") for k in (0, 1, 2, 3, 32, 33, 34, 35)]
-    v = fx.vectors(spark, sf).select(*own)
-    return neural.distance_correlation(v, ["v0", "v1", "v2", "v3"], ["v32", "v33", "v34", "v35"]).select(F.round("dcor", 6).alias("dcor"))
+    """Of both parties' halves of all vectors, a column for each dimension."""
+    v = fx.vectors(spark, sf).select(*[F.col("vec")[k].alias(f"v{k}") for k in range(64)])
+    return neural.distance_correlation(v, [f"v{k}" for k in range(32)], [f"v{k}" for k in range(32, 64)]).select(F.round("dcor", 6).alias("dcor"))
 
 
-@query()
+@query(_DCOR)
 def distance_correlation_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a column of vectors."""
     return neural.distance_correlation_vectors(fx.vectors(spark, sf), "vec", 32).select(F.round("dcor", 6).alias("dcor"))
 
 
