@@ -90,26 +90,51 @@ def covariance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return row.select(F.inline(entries))
 
 
-def pca(df: DataFrame, id_col: str, features: Sequence[str], k: int, whiten: bool = False) -> tuple[DataFrame, dict]:
-    """Scores on the k leading components and the fitted numbers. The covariance matrix (features squared)
-    is the only thing that reaches the driver; signs are fixed so that the largest loading is positive."""
+def pca_fit(df: DataFrame, vec: str, k: int) -> dict:
+    """The k leading principal components of a column of vectors: components (k x dimensions, signs fixed so
+    that the largest loading is positive), explained_variance and its ratio, singular_values, mean and
+    noise_variance (the mean variance of the dimensions left out). Vectors that are null or hold one take no
+    part."""
     import numpy as np
 
-    n, d = df.count(), len(features)
-    means = df.agg(*[F.avg(c).alias(c) for c in features]).first()
-    place = {c: i for i, c in enumerate(features)}
-    m = np.zeros((d, d))
-    for r in covariance(df, features).collect():
-        m[place[r["a"]], place[r["b"]]] = m[place[r["b"]], place[r["a"]]] = r["cov"] * n / max(n - 1, 1)
-    values, vectors = np.linalg.eigh(m)
+    from ..functions.moments import moments
+
+    n, mean, scatter = moments(df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull())), vec)
+    d = len(mean)
+    values, vectors = np.linalg.eigh(scatter / max(n - 1, 1))
     order = np.argsort(-values)
     values, vectors = np.maximum(values[order], 0), vectors[:, order]
-    top = vectors[:, :k] * np.sign(vectors[np.abs(vectors[:, :k]).argmax(0), range(k)])
-    divide = np.sqrt(values[:k]) if whiten else np.ones(k)
-    score = lambda j: reduce(add, [(F.col(c) - F.lit(means[c])) * F.lit(float(top[i, j] / divide[j])) for i, c in enumerate(features)])
-    out = df.select(id_col, *[score(j).alias(f"pc{j}") for j in range(k)])
-    fitted = {"components": top.T, "explained_variance": values[:k], "explained_variance_ratio": values[:k] / max(values.sum(), 1e-300), "singular_values": np.sqrt(values[:k] * max(n - 1, 1)), "mean": np.array([means[c] for c in features]), "noise_variance": float(values[k:].mean()) if k < d else 0.0}
-    return out, fitted
+    top = vectors[:, :k] * np.sign(vectors[np.abs(vectors[:, :k]).argmax(0), range(min(k, d))]) if d else vectors
+    return {"components": top.T, "explained_variance": values[:k], "explained_variance_ratio": values[:k] / max(values.sum(), 1e-300), "singular_values": np.sqrt(values[:k] * max(n - 1, 1)), "mean": mean, "noise_variance": float(values[k:].mean()) if k < d else 0.0, "n_samples": n}
+
+
+def pca_transform(df: DataFrame, keep: Sequence[str], vec: str, fitted: dict, whiten: bool = False) -> DataFrame:
+    """keep and pc0, pc1, ...: a batch of vectors is projected by one product."""
+    import numpy as np
+    import pyarrow as pa
+
+    top, mean = fitted["components"].T, fitted["mean"]
+    if whiten:
+        top = top / np.sqrt(fitted["explained_variance"])
+    names = [f"pc{j}" for j in range(top.shape[1])]
+
+    def run(batches):
+        for b in batches:
+            own = b.column(len(keep))
+            x = np.asarray(own.flatten().to_numpy(zero_copy_only=False), float).reshape(len(own), -1) if len(own) else np.empty((0, len(mean)))
+            scores = (x - mean) @ top
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(np.ascontiguousarray(scores[:, j])) for j in range(len(names))]], [*keep, *names])
+
+    told = df.where(F.col(vec).isNotNull()).select(*keep, vec)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema.fields[: len(keep)]]
+    return told.mapInArrow(run, ", ".join([*kept, *[f"{c} double" for c in names]]))
+
+
+def pca(df: DataFrame, id_col: str, features: Sequence[str], k: int, whiten: bool = False) -> tuple[DataFrame, dict]:
+    """Scores on the k leading components of columns and the fitted numbers."""
+    rows = df.select(id_col, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    fitted = pca_fit(rows, "_v", k)
+    return pca_transform(rows, [id_col], "_v", fitted, whiten), fitted
 
 
 def compose(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto
 from ..operators import clean, evaluate, intersect, select, transform
 from ..party import PartyFrame
-from ..sources.readers import party_crops
+from ..sources.readers import augmented, overridden, party_crops
 from . import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -161,6 +161,20 @@ def image_crop(spark: SparkSession, sf: str) -> DataFrame:
 # --- cleaning ---
 
 
+def _drawn(name: str, n: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '-2-5-{name}'), 1, 8) AS UBIGINT) % {n} AS INTEGER)"
+
+
+@query(f"""WITH {fx.VECTORS}, own AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN list_transform(vec, lambda x: 1.0::DOUBLE) ELSE vec END AS px, {_drawn('y', 3)} - 1 AS dy, {_drawn('x', 3)} - 1 AS dx, {_drawn('flip', 2)} AS f FROM vectors),
+  p AS (SELECT vec_id, px, i, i // 8 + dy AS y, CASE WHEN f = 1 THEN 7 - i % 8 ELSE i % 8 END + dx AS x FROM own, range(64) r(i))
+  SELECT vec_id, list(CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 THEN px[y * 8 + x + 1] ELSE 0 END ORDER BY i) AS image FROM p GROUP BY 1""")
+def image_augmented(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as images of 8 x 8 pixels in epoch 2: some replaced, then shifted by up to a pixel and turned."""
+    v = fx.vectors(spark, sf).select("vec_id", "vec")
+    poisoned = v.where("vec_id % 50 = 0").select("vec_id", F.transform("vec", lambda x: F.lit(1.0)).alias("vec"))
+    return overridden(v, "vec_id", "vec", poisoned).select("vec_id", augmented("vec", 8, 8, "vec_id", seed=5, epoch=2, pad=1).alias("image"))
+
+
 @query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS TIMESTAMP) AS day FROM orders")
 def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     o = fx.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "none").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"))
@@ -289,6 +303,13 @@ def covariance_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return transform.covariance(fx.joined(spark, sf), ["n_lines", "sum_qty"]).withColumn("cov", F.round("cov", 4))
 
 
+@query(f"WITH {fx.VECTORS} SELECT max(n) AS n, round(sum(v), 6) AS total FROM (SELECT i, var_samp(vec[i]) AS v, count(*) AS n FROM vectors, range(1, 65) r(i) GROUP BY 1)")
+def pca_total_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """Variances along eight components and the noise in the other dimensions make up the whole."""
+    p = transform.pca_fit(fx.vectors(spark, sf), "vec", 8)
+    return spark.createDataFrame([(p["n_samples"], round(float(p["explained_variance"].sum() + 56 * p["noise_variance"]), 6))], "n long, total double")
+
+
 @query()
 def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
     return transform.pca(transform.scale(fx.joined(spark, sf), fx.FEATURES), "id", fx.FEATURES, 2)[0]

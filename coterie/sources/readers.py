@@ -8,7 +8,7 @@ import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -118,23 +118,99 @@ def from_anyfile(spark: SparkSession, path: str, **options) -> DataFrame:
     return reader(spark, path, **options)
 
 
+def database_url(kind: str, host: str, database: str, port: int | None = None) -> str:
+    prefix, default = DATABASES[kind]
+    return f"{prefix}:@{host}:{port or default}/{database}" if kind == "oracle" else f"{prefix}://{host}:{port or default}/{database}"
+
+
 def database_options(kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None, split: tuple[str, int, int, int] | None = None) -> dict:
     """Options of Spark's JDBC reader; the chosen columns are part of the query. split: a numeric column, its
     usual least and greatest value, and the number of ranges of it that are read side by side."""
-    prefix, default = DATABASES[kind]
-    url = f"{prefix}:@{host}:{port or default}/{database}" if kind == "oracle" else f"{prefix}://{host}:{port or default}/{database}"
     query = f"select {', '.join(target) if target else '*'} from {table}"
+    own = {"url": database_url(kind, host, database, port), "user": user, "password": password}
     if split is None:
-        return {"url": url, "query": query, "user": user, "password": password}
+        return own | {"query": query}
     column, low, high, parts = split
-    ranges = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
-    return {"url": url, "dbtable": f"({query}) chosen", "user": user, "password": password} | ranges
+    return own | {"dbtable": f"({query}) chosen", "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
 
 
-def from_database(spark: SparkSession, kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None, excluding: Sequence[str] | None = None, split: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """One of DATABASES, by JDBC (its driver must be on the class path); without split one task reads it."""
-    options = database_options(kind, host, database, table, user, password, port, target, split)
-    return choose(spark.read.format("jdbc").options(**options).load(), None, excluding)
+@dataclass(frozen=True)
+class Database:
+    """A connection: its JDBC url and properties (user, password, driver, ...)."""
+
+    #: How often a range that holds too many rows is cut again.
+    ROUNDS = 8
+
+    spark: SparkSession
+    url: str
+    properties: dict[str, str]
+
+    def ask(self, query: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(url=self.url, query=query, **self.properties).load()
+
+    def quoted(self, name: str) -> str:
+        mark = "`" if self.url.startswith(("jdbc:mysql", "jdbc:mariadb")) else '"'
+        return f"{mark}{name}{mark}"
+
+    def columns(self, table: str, target: Sequence[str] | None = None, excluding: Sequence[str] | None = None) -> list[str]:
+        """The columns that are wanted, in the table's order unless named; names match in any case."""
+        have = self.ask(f"select * from {table} where 1 = 0").columns
+        named = {c.lower(): c for c in have}
+        if unknown := [c for c in (*(target or ()), *(excluding or ())) if c.lower() not in named]:
+            raise ValueError(f"{table} has no columns {unknown}; it has {have}")
+        out = [named[c.lower()] for c in target] if target else have
+        return [c for c in out if c.lower() not in {x.lower() for x in excluding or ()}]
+
+    def predicates(self, table: str, column: str, parts: int, name: str | None = None) -> list[str]:
+        """Conditions on a numeric column (under another name, if given), of which every row meets just one,
+        rows without a value included: some `parts` ranges, cut by what the database counts. Ranges of equal
+        width are counted first; one that holds more than its share is counted again on a finer grid, down to
+        one value or ROUNDS times."""
+        own = self.quoted(self.columns(table, [column])[0])
+        name = name or own
+        low, high, n = self.ask(f"select min({own}) as lo, max({own}) as hi, count({own}) as n from {table}").first()
+        if not n:
+            return [f"{name} is null"]
+        share, done, todo = -(-n // parts), [], [(low, high, n)]
+        for _ in range(self.ROUNDS):
+            finer = []
+            for a, b, held in todo:
+                if held <= share or a == b:
+                    done.append((a, held))
+                    continue
+                slot = f"floor(({own} - {a}) / {float(b - a) / (4 * parts)!r})"
+                inside = self.ask(f"select slot, count(*) as n, min(v) as lo, max(v) as hi from (select {slot} as slot, {own} as v from {table} where {own} >= {a} and {own} <= {b}) x group by slot")
+                finer += [(r[2], r[3], r[1]) for r in inside.collect()]  # 4 * parts rows
+            todo = finer
+            if not todo:
+                break
+        cuts, held = [], 0  # neighbours are joined up to a share
+        for a, k in sorted([*done, *[(a, k) for a, _, k in todo]]):
+            if held and held + k > share:
+                cuts.append(a)
+                held = 0
+            held += k
+        ends = [None, *cuts, None]
+        ranges = [" and ".join(([f"{name} >= {a}"] if a is not None else []) + ([f"{name} < {b}"] if b is not None else [])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [r or f"{name} is not null" for r in ranges] + [f"{name} is null"]
+
+    def read(self, table: str, target: Sequence[str] | None = None, excluding: Sequence[str] | None = None, split: str | None = None, parts: int = 8) -> DataFrame:
+        """The wanted columns, which alone the database is asked for; with split, a numeric column, by one
+        task for each of its ranges and one for its nulls."""
+        wanted = [self.quoted(c) for c in self.columns(table, target, excluding)]
+        if split is None:
+            return self.spark.read.jdbc(self.url, f"(select {', '.join(wanted)} from {table}) chosen", properties=self.properties)
+        own = self.quoted(self.columns(table, [split])[0])
+        query = f"(select {', '.join(wanted)}, {own} as split_by from {table}) chosen"
+        return self.spark.read.jdbc(self.url, query, predicates=self.predicates(table, split, parts, "split_by"), properties=self.properties).drop("split_by")
+
+
+def from_database(spark: SparkSession, kind: str, host: str, database: str, table: str, user: str, password: str, port: int | None = None, target: Sequence[str] | None = None, excluding: Sequence[str] | None = None, split: tuple[str, int, int, int] | str | None = None, parts: int = 8) -> DataFrame:
+    """One of DATABASES, by JDBC (its driver must be on the class path); without split one task reads it.
+    split: a numeric column, whose ranges are found by asking the database, or what database_options takes."""
+    if isinstance(split, tuple):
+        return choose(spark.read.format("jdbc").options(**database_options(kind, host, database, table, user, password, port, target, split)).load(), None, excluding)
+    return Database(spark, database_url(kind, host, database, port), {"user": user, "password": password}).read(table, target, excluding, split, parts)
 
 
 def dummy_ids(spark: SparkSession, n: int, random: bool = False, seed: int = 0) -> DataFrame:
@@ -163,6 +239,38 @@ def party_crops(pixels, height: int, width: int, parties: int) -> list:
     return [crop(pixels, height, width, 0, k * step, height, step if k < parties - 1 else width - step * k) for k in range(parties)]
 
 
+def draw(name: str, n: int, *parts) -> Column:
+    """A number in [0, n) that the parts (columns or constants) and a name determine."""
+    text = F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) for p in parts], F.lit(name))
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n).cast("int")
+
+
+def augmented(pixels: str, height: int, width: int, id_col: str, seed: int, epoch: int, pad: int = 4, flip: bool = True) -> Column:
+    """An image (a flat array of planes of rows) after a random crop of its zero-padded self, and, half of the
+    time, from right to left. What is drawn depends on seed, epoch and the row's id alone, so an epoch looks
+    alike however the table is dealt, and the next one does not."""
+    down, right = draw("y", 2 * pad + 1, id_col, epoch, seed) - pad, draw("x", 2 * pad + 1, id_col, epoch, seed) - pad
+    turned = draw("flip", 2, id_col, epoch, seed) == 1 if flip else F.lit(False)
+    plane = height * width
+
+    def pixel(i: Column) -> Column:
+        y, x = F.floor(i % plane / width).cast("int"), i % width
+        x = F.when(turned, width - 1 - x).otherwise(x) + right
+        y = y + down
+        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+        at = F.floor(i / plane).cast("int") * plane + y * width + x
+        return F.when(inside, F.get(F.col(pixels), at)).otherwise(F.lit(0.0))
+
+    return F.transform(F.sequence(F.lit(0), F.size(pixels) - 1), pixel)
+
+
+def overridden(df: DataFrame, id_col: str, pixels: str, replaced: DataFrame) -> DataFrame:
+    """Images that stand in replaced (id, pixels) in place of the table's own."""
+    other = replaced.select(F.col(id_col).alias("_id"), F.col(pixels).alias("_other"))
+    out = df.join(other, F.col(id_col) == F.col("_id"), "left")
+    return out.select(*[F.coalesce("_other", pixels).alias(c) if c == pixels else df[c] for c in df.columns])
+
+
 @dataclass(frozen=True)
 class NamedDataset:
     """Where a data set lies and what its columns are."""
