@@ -57,10 +57,10 @@ def row_numbers(df: DataFrame, by: str, tie: list[str], name: str = "rn", descen
     return running(df, by, tie, {name: F.lit(1)}, descending)
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], ranges: int = RANGES) -> DataFrame:
-    """(column, q): the exact linear quantiles of each column at the shares, nulls left out; a column without
-    values has no row. Rows are counted by value first, and values are numbered inside ranges, so no task
-    holds the values of a whole column."""
+def value_places(df: DataFrame, columns: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """(column, v, upto, rows): the distinct values of all columns, nulls left out, with the number of rows up to
+    each and of all. Rows are counted by value first, and values are numbered inside ranges, so no task holds
+    the values of a whole column; all columns go through one table."""
     plain = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     marks = plain.approxQuantile(list(columns), [k / ranges for k in range(1, ranges)], 0.5 / ranges)
     number = F.lit(0)
@@ -74,7 +74,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], ra
     before = sums.select("column", "_range", F.coalesce(earlier, F.lit(0)).alias("before"), F.sum("n").over(own).alias("rows"))
     inside = F.sum("n").over(W.partitionBy("column", "_range").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
     upto = counts.withColumn("upto", inside).join(F.broadcast(before), ["column", "_range"])
-    upto = upto.withColumn("upto", F.col("upto") + F.col("before"))
+    return upto.select("column", "v", (F.col("upto") + F.col("before")).alias("upto"), "rows")
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], ranges: int = RANGES) -> DataFrame:
+    """(column, q): the exact linear quantiles of each column at the shares, nulls left out; a column without
+    values has no row."""
+    upto = value_places(df, columns, ranges)
     at = [(F.col("rows") - 1) * F.lit(float(x)) for x in shares]
     ends = [F.min(F.when(F.col("upto") > side(p), F.col("v"))).alias(f"{name}{k}") for k, p in enumerate(at) for name, side in (("low", F.floor), ("high", F.ceil))]
     found = upto.groupBy("column", "rows").agg(*ends)

@@ -362,23 +362,23 @@ def private_woe(passive: DataFrame, active: DataFrame, id_col: str, features: Se
     return out.select("feature", "bin", "pos", "neg", "woe", ((F.col("_p") - F.col("_q")) * F.col("woe")).alias("iv"))
 
 
-def profile(df: DataFrame, features: Sequence[str], label: str, k: int = 3) -> DataFrame:
+def profile(df: DataFrame, features: Sequence[str], label: str, k: int = 3, importance: str | None = None, id_col: str = "id") -> DataFrame:
     """One row per feature: information value, its share of all, its rank, and the k most frequent values
-    (the least of equally frequent ones first) with their shares of the column's rows."""
+    (the least of equally frequent ones first) with their shares of the column's rows. importance: adds a
+    column of that name's tree importance (split, gain, cover or shap)."""
     iv = information_value(df, features, label)
     counts = long_form(df, [], features).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    # the k greatest (n, -value) per feature: a bounded buffer, not a sort of all values
-    top = counts.groupBy("feature").agg(F.sum("n").alias("rows"), *[F.max_by("value", F.struct("n", -F.col("value"))).alias("top1")])
-    for place in range(2, k + 1):
-        gone = F.array(*[F.col(f"top{j}") for j in range(1, place)])
-        rest = counts.join(F.broadcast(top.select("feature", gone.alias("_gone"))), "feature").where(~F.array_contains("_gone", F.col("value")))
-        top = top.join(rest.groupBy("feature").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias(f"top{place}")), "feature", "left")
-    top = top.withColumn("value", F.explode_outer(F.array(*[F.struct(F.lit(j).alias("place"), F.col(f"top{j}").alias("value")) for j in range(1, k + 1)])))
-    named = top.select("feature", "rows", "value.*").join(counts, ["feature", "value"], "left")
-    tops = named.groupBy("feature").agg(*[F.max(F.when(F.col("place") == j, c)).alias(f"{n}{j}") for j in range(1, k + 1) for n, c in (("top", F.col("value")), ("share", F.col("n") / F.col("rows")))])
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("rows"))
+    # Spark keeps the first k of each task before the window, so a feature's values do not meet
+    place = F.row_number().over(W.partitionBy("feature").orderBy(F.col("n").desc(), "value"))
+    first = counts.withColumn("place", place).where(F.col("place") <= k).join(F.broadcast(totals), "feature")  # a row per feature
+    tops = first.groupBy("feature").agg(*[F.max(F.when(F.col("place") == j, c)).alias(f"{n}{j}") for j in range(1, k + 1) for n, c in (("top", F.col("value")), ("share", F.col("n") / F.col("rows")))])
     all_ = W.partitionBy(F.lit(0))  # one row per feature
     ranked = iv.withColumn("iv_share", F.col("iv") / F.sum("iv").over(all_)).withColumn("iv_rank", F.row_number().over(W.orderBy(F.col("iv").desc(), "feature")))
-    return ranked.join(tops, "feature")
+    out = ranked.join(tops, "feature")
+    if importance is None:
+        return out
+    return out.join(tree_importance(df, features, label, id_col, way=importance).withColumnRenamed("importance", importance), "feature")
 
 
 def top_features(importances: DataFrame, k: int = 20) -> DataFrame:

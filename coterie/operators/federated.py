@@ -62,14 +62,15 @@ def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local
     gradient to that l2 norm; noise = (gaussian or laplace, epsilon, delta) is then added to what it sends."""
     rng = np.random.default_rng(seed)
     spark, m = df.sparkSession, len(features)
-    clients = [r["client_id"] for r in df.select("client_id").distinct().collect()]
+    clients = sorted(r["client_id"] for r in df.select("client_id").distinct().collect())
+    kind = dict(df.dtypes)["client_id"]
     shared = np.zeros(m)
     control, own_control = np.zeros(m), {c: np.zeros(m) for c in clients}
     for _ in range(rounds):
         w = {c: shared.copy() for c in clients}
         n: dict = {}
         for _ in range(local_steps):
-            table = spark.createDataFrame([(c, w[c].tolist()) for c in clients], "client_id int, w array<double>")
+            table = spark.createDataFrame([(c, w[c].tolist()) for c in clients], f"client_id {kind}, w array<double>")
             g = {c: np.zeros(m) for c in clients}
             for r in local_gradients(df, features, label, table, logistic).collect():
                 g[r["client_id"]][r["idx"]], n[r["client_id"]] = r["g"], r["n"]
@@ -115,6 +116,23 @@ def score(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return predicted.groupBy(*by).agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg("loss").alias("loss"))
 
 
+def validate(df: DataFrame, features: Sequence[str], weights: Sequence[Sequence[float]]) -> DataFrame:
+    """(n, loss, accuracy, weighted_f1, auc) of a linear model of several classes against `label`, one row; auc is
+    that of class 1's probability if there are two classes, else null."""
+    from . import metrics
+
+    told = inference(df, features, weights)
+    sums = told.agg(F.count("*").alias("n"), F.avg("loss").alias("loss"))
+    classes = metrics.multiclass_metrics(told, "label", "prediction").select(F.col("acc").alias("accuracy"), "weighted_f1")
+    if len(weights) == 2:
+        gap = reduce(add, [F.col(c) * F.lit(float(b) - float(a)) for c, a, b in zip(features, *weights, strict=True)])
+        area = metrics.auc(told.select(F.col("label").alias("y"), F.round(1 / (1 + F.exp(-gap)), 12).alias("p"))).select("auc")
+    else:
+        area = df.sparkSession.createDataFrame([(None,)], "auc double")
+    one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  (a row each)
+    return one(sums).join(one(classes), "_one").join(one(area), "_one").drop("_one")
+
+
 def iid_clients(df: DataFrame, id_col: str, clients: int, seed: int = 0) -> DataFrame:
     """Adds client_id: rows in the order of a hash, dealt out in turn."""
     from ..functions.ordered import row_numbers

@@ -42,7 +42,9 @@ def with_batch(df: DataFrame, id_col: str, batch_size: int, epoch: int) -> DataF
 
 @dataclass
 class LinearModel:
-    """Gradient descent; batch_size -1 takes the whole table at each step."""
+    """Gradient descent; batch_size -1 takes the whole table at each step. With a validating table, history has
+    its measures after each epoch, and the weights kept are the last ones that were better than all before
+    them in any of best_by: loss, and acc, auc and ks of a logistic model or r2 of a plain one."""
 
     features: Sequence[str]
     label: str
@@ -55,10 +57,11 @@ class LinearModel:
     reg_lambda: float = 0.0
     weights: list[float] | None = None
     history: list[dict] = field(default_factory=list)
+    best_by: Sequence[str] = ("loss",)
 
     def fit(self, df: DataFrame, validate: DataFrame | None = None) -> LinearModel:
         w = list(self.weights or [0.0] * len(self.features))
-        best = None
+        kept, best = None, {}
         for epoch in range(self.epochs):
             if self.batch_size < 0:
                 parts = [df]
@@ -70,13 +73,36 @@ class LinearModel:
                 g = gradient(part, self.features, self.label, w, self.logistic, self.penalty, self.reg_lambda)
                 w = [a - self.learning_rate * b for a, b in zip(w, g, strict=True)]
             if validate is not None:
-                loss = self.loss(validate, w)
-                self.history.append({"epoch": epoch, "loss": loss})
-                if best is None or loss < best[0]:
-                    best = (loss, w)
-        self.weights = best[1] if best else w
+                told = self.measures(validate, w)
+                self.history.append({"epoch": epoch, **told})
+                for name in self.best_by:
+                    value = -told[name] if name == "loss" else told[name]
+                    if value is not None and (name not in best or value > best[name]):
+                        best[name], kept = value, w
+        self.weights = kept or w
         return self
 
+    def measures(self, df: DataFrame, weights: Sequence[float] | None = None) -> dict[str, float]:
+        """The mean loss, and what best_by asks for besides."""
+        from . import metrics
+
+        w = self.weights if weights is None else weights
+        out = {"loss": self.loss(df, w)}
+        wanted = set(self.best_by) - {"loss"}
+        if unknown := wanted - ({"acc", "auc", "ks"} if self.logistic else {"r2"}):
+            raise ValueError(f"no measures {sorted(unknown)} of this model")
+        score = dot(self.features, w)
+        rows = df.select(F.col(self.label).alias("y"), (sigmoid(score) if self.logistic else score).alias("p"))
+        if "acc" in wanted:
+            out["acc"] = rows.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("double"))).first()[0]
+        if "auc" in wanted:
+            out["auc"] = metrics.auc(rows).first()["auc"]
+        if "ks" in wanted:
+            out["ks"] = metrics.ks_value(rows).first()["ks"]
+        if "r2" in wanted:
+            out["r2"] = metrics.regression_metrics(rows, "y", "p").first()["r2"]
+        return out
+
     def loss(self, df: DataFrame, weights: Sequence[float] | None = None) -> float:
         """Mean loss and the penalty."""
         w = self.weights if weights is None else weights

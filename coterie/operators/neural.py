@@ -91,6 +91,21 @@ def top_k_accuracy(df: DataFrame, scores: str, label: str, k: int) -> DataFrame:
     return hits.groupBy("label").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
 
 
+def validate(df: DataFrame, scores: str, label: str, classes: int, top: int = 5) -> DataFrame:
+    """(acc, auc, topk_acc) of an array of class scores, one row: the share of rows whose class has the greatest
+    score (the first of equal ones), the area under the curve of class 1's sigmoid if there are two classes,
+    else 0, and the share of rows whose class is among the `top` greatest."""
+    from . import metrics
+
+    hits = [top_k_accuracy(df, scores, label, k).agg((F.sum("hits") / F.sum("n")).alias(name)) for k, name in ((1, "acc"), (top, "topk_acc"))]
+    if classes == 2:
+        area = metrics.auc(df.select(F.col(label).alias("y"), (1 / (1 + F.exp(-F.col(scores)[1]))).alias("p"))).select("auc")
+    else:
+        area = df.sparkSession.createDataFrame([(0.0,)], "auc double")
+    one = lambda d: d.withColumn("_one", F.lit(1))  # noqa: E731  (a row each)
+    return one(hits[0]).join(one(area), "_one").join(one(hits[1]), "_one").drop("_one")
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, weight): 1 / n of the class, scaled to sum to the number of classes."""
     w = W.partitionBy(F.lit(0))  # a row per class

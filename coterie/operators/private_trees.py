@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, losses
 from ..shared import stash
-from .transform import bin_code, tree_edges
+from .transform import all_tree_edges, bin_code
 from .trees import TreeParams, histogram, leaf_weight, split_gains
 
 
@@ -139,9 +139,9 @@ class PrivateBoostedTrees:
             ids = ids.join(others[x.name].select(i), i, "left_semi")
         rows = stash(active.join(ids, i, "left_semi").select(i, F.col(self.label).cast("double").alias("_y"), *self.features, F.lit(0.0).alias("_s")), "active")
         own = {x.name: others[x.name].join(ids, i, "left_semi") for x in self.parties}
-        self.edges = self.edges or {c: tree_edges(rows, c, p.max_bin)[:-1] for c in self.features}
+        self.edges = self.edges or {c: e[:-1] for c, e in all_tree_edges(rows, self.features, p.max_bin).items()}
         for x in self.parties:
-            x.edges = x.edges or {c: tree_edges(own[x.name], c, p.max_bin)[:-1] for c in x.features}
+            x.edges = x.edges or {c: e[:-1] for c, e in all_tree_edges(own[x.name], x.features, p.max_bin).items()}
         coded = {x.name: stash(x.coded(own[x.name], i), "codes") for x in self.parties}
         for _ in range(self.n_trees):
             loss = losses.cross_entropy(F.col("_y"), losses.sigmoid(F.col("_s"))) if self.task == "binary" else losses.squared(F.col("_y"), F.col("_s"))

@@ -20,7 +20,7 @@ from ..functions.ordered import row_numbers
 from ..shared import stash
 from . import metrics
 from .select import hash_order
-from .transform import bin_code, tree_edges
+from .transform import all_tree_edges, bin_code
 
 
 @dataclass
@@ -306,7 +306,7 @@ class BoostedTrees:
 
     def fit(self, df: DataFrame) -> BoostedTrees:
         """Every round writes the raw score with the rows, so plans do not grow with the number of trees."""
-        self.edges = {c: tree_edges(df, c, self.params.max_bin)[:-1] for c in self.features}
+        self.edges = {c: e[:-1] for c, e in all_tree_edges(df, self.features, self.params.max_bin).items()}
         self.trees = []
         return self.resume(df)
 

@@ -197,10 +197,14 @@ def cipher_matmul(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("feature", F.round(crypto.decrypt_column(F.col("product"), key, 1), 6).alias("product"))
 
 
-@query("SELECT s_suppkey, round(s_acctbal, 2) AS value FROM supplier")
+@query("""WITH v AS (SELECT s_suppkey, s_acctbal AS x FROM supplier UNION ALL SELECT -s_suppkey, s_acctbal * 1e15 FROM supplier), e AS (SELECT *, CAST(greatest(-10, ceil(log2(greatest(abs(x), 1e-300))) - 53) AS INTEGER) AS exponent FROM v)
+  SELECT s_suppkey, CAST(round(x / pow(2::DOUBLE, exponent)) AS BIGINT) AS mantissa, exponent, CAST(round(x / pow(2::DOUBLE, exponent)) AS BIGINT) * pow(2::DOUBLE, exponent) AS value FROM e""")
 def exponent_codes(spark: SparkSession, sf: str) -> DataFrame:
-    code = crypto.exponent_encode(F.col("s_acctbal"), 0.001)
-    return fx.table(spark, sf, "supplier").select("s_suppkey", F.round(crypto.exponent_decode(code), 2).alias("value"))
+    """Balances, and balances with fifteen places more, whose mantissas would not fit at that precision."""
+    s = fx.table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"))
+    own = s.unionByName(s.select((-F.col("s_suppkey")).alias("s_suppkey"), (F.col("x") * 1e15).alias("x")))
+    code = crypto.exponent_encode(F.col("x"), 0.001)
+    return own.select("s_suppkey", code["mantissa"].alias("mantissa"), code["exponent"].alias("exponent"), crypto.exponent_decode(code).alias("value"))
 
 
 @query("SELECT name, n_regionkey, CAST(sum(n_nationkey) AS DOUBLE) AS total FROM nation, (SELECT unnest(['plain', 'paillier', 'fast_paillier']) AS name) GROUP BY 1, 2")
@@ -330,6 +334,26 @@ def fed_score(spark: SparkSession, sf: str) -> DataFrame:
     return federated.score(_inferred(spark, sf), ["client_id"]).withColumn("accuracy", F.round("accuracy", 6)).withColumn("loss", F.round("loss", 6))
 
 
+_F1 = "by_class AS (SELECT k.c, count(*) FILTER (y = k.c) AS t, count(*) FILTER (q = k.c) AS n, count(*) FILTER (y = k.c AND q = k.c) AS h FROM q, (SELECT DISTINCT y AS c FROM q UNION SELECT DISTINCT q FROM q) k GROUP BY 1), f1 AS (SELECT sum(h) / sum(t) AS accuracy, sum(t * coalesce(2 * h / nullif(t + n, 0), 0)) / sum(t) AS weighted_f1 FROM by_class)"
+_RANKS = "a AS (SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM q))"
+
+
+@query(f"WITH {fx.ACTIVE}, l AS (SELECT y, o_totalprice / 500000 AS a, priority / 5 AS b FROM active), z AS (SELECT y, a - b AS s0, b - 0.5 * a AS s1 FROM l), q AS (SELECT y, CAST(s1 > s0 AS INTEGER) AS q, round(1 / (1 + exp(s0 - s1)), 12) AS p, -ln(exp(CASE WHEN y = 1 THEN s1 ELSE s0 END) / (exp(s0) + exp(s1))) AS loss FROM z), {_F1}, {_RANKS} SELECT (SELECT count(*) FROM q) AS n, (SELECT round(avg(loss), 6) FROM q) AS loss, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, round(auc, 6) AS auc FROM f1, a")
+def fed_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """A shared model of two classes: loss, accuracy, weighted F1 and the area under class 1's curve."""
+    a = fx.active(spark, sf).select((F.col("o_totalprice") / 500000).alias("a"), (F.col("priority") / 5).alias("b"), F.col("y").alias("label"))
+    m = federated.validate(a, ["a", "b"], [[1.0, -1.0], [-0.5, 1.0]])
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "weighted_f1", "auc")])
+
+
+@query(f"WITH {fx.ACTIVE}, {_LINEAR}, q AS (SELECT label AS y, prediction AS q, s FROM inferred), {_F1}, near AS (SELECT avg(CAST((SELECT count(*) FROM range(1, 4) t(i) WHERE s[i] > s[y + 1] OR (s[i] = s[y + 1] AND i < y + 1)) < 2 AS DOUBLE)) AS topk FROM q) SELECT round(accuracy, 6) AS acc, 0::DOUBLE AS auc, round(topk, 6) AS topk_acc FROM f1, near")
+def network_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy and top-2 accuracy of class scores; the curve's area is for two classes and 0 for more."""
+    scores = F.array(*[F.col("a") * w[0] + F.col("b") * w[1] + F.lit(w[2]) for w in _WEIGHTS[:2]], F.lit(0.6) - 0.2 * F.col("a") + 0.1 * F.col("b"))
+    m = neural.validate(_inferred(spark, sf).withColumn("s", scores), "s", "label", 3, top=2)
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
 @query(f"WITH {fx.ACTIVE}, {_LINEAR} SELECT label, count(*) AS n, round(avg(CAST(prediction = label AS DOUBLE)), 6) AS accuracy FROM inferred GROUP BY 1")
 def class_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.class_accuracy(_inferred(spark, sf), "label", "prediction").withColumn("accuracy", F.round("accuracy", 6))

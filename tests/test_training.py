@@ -138,3 +138,38 @@ def test_an_empty_batch_moves_nothing(spark):
     assert model.step({"p": split.vectors(df.limit(0), "id", ["a"])}, df.select("id", "y").limit(0)) == 0 and (layer.weights == before).all()
     model.fit({"p": split.vectors(df, "id", ["a"])}, df.select("id", "y"))
     assert model.losses[1] == 0 and model.losses[0] > 0
+
+
+# --- which epoch is kept ---
+
+
+def test_best_epoch_by_any_measure(spark):
+    from coterie.operators import linear, metrics
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 2))
+    y = (x[:, 0] + 0.8 * rng.standard_normal(200) > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(200)], "id long, y int, a double, b double")
+    model = linear.LinearModel(["a", "b"], "y", logistic=True, epochs=5, learning_rate=30.0, best_by=("acc", "auc", "ks")).fit(df, validate=df)
+    assert [sorted(h) for h in model.history] == [["acc", "auc", "epoch", "ks", "loss"]] * 5
+    best, last = {}, None
+    for h in model.history:
+        for name in ("acc", "auc", "ks"):
+            if h[name] > best.get(name, -9):
+                best[name], last = h[name], h
+    rows = model.predict(df).withColumnRenamed("probability", "p")
+    assert model.loss(df) == pytest.approx(last["loss"]) and metrics.auc(rows).first().auc == pytest.approx(last["auc"])
+    plain = linear.LinearModel(["a", "b"], "a", epochs=3, learning_rate=0.3, best_by=("r2",)).fit(df, validate=df)
+    assert plain.history[-1]["r2"] == max(h["r2"] for h in plain.history)
+    with pytest.raises(ValueError, match="no measures"):
+        linear.LinearModel(["a"], "y", best_by=("auc",)).fit(df, validate=df)
+
+
+def test_clients_of_any_type(spark):
+    from coterie.operators import federated
+
+    rows = [(f"site {k % 3}", 1.0, float(k), 2.0 * k + 1) for k in range(30)]
+    df = spark.createDataFrame(rows, "client_id string, x0 double, x1 double, y double")
+    same = df.withColumn("client_id", F.substring("client_id", 6, 1).cast("long") + 5_000_000_000)
+    a, b = (federated.train(d, ["x0", "x1"], "y", rounds=2, rate=0.001, method="scaffold") for d in (df, same))
+    assert a == pytest.approx(b) and a != [0, 0]
