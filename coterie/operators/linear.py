@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.losses import sigmoid
 from ..functions.ordered import row_numbers
-from ..shared import stash
+from ..shared import discard, stash
 from .select import hash_order
 
 
@@ -72,6 +72,8 @@ class LinearModel:
             for part in parts:
                 g = gradient(part, self.features, self.label, w, self.logistic, self.penalty, self.reg_lambda)
                 w = [a - self.learning_rate * b for a, b in zip(w, g, strict=True)]
+            if self.batch_size >= 0:
+                discard(batched)
             if validate is not None:
                 told = self.measures(validate, w)
                 self.history.append({"epoch": epoch, **told})

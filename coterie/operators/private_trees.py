@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, losses
-from ..shared import stash
+from ..shared import discard, stash
 from .transform import all_tree_edges, bin_code
 from .trees import TreeParams, histogram, leaf_weight, split_gains
 
@@ -148,8 +148,10 @@ class PrivateBoostedTrees:
             told = rows.select("*", loss[1].alias("g"), loss[2].alias("h"))
             tree, at = self._grow(told, own, coded)
             weights = F.create_map(*[F.lit(v) for x in tree.walk() if x.left is None for v in (x.node, float(x.weight))])
-            rows = stash(rows.join(at, i).withColumn("_s", F.col("_s") + F.lit(p.rate) * weights[F.col("node")]).drop("node"), "boost")
+            before, rows = rows, stash(rows.join(at, i).withColumn("_s", F.col("_s") + F.lit(p.rate) * weights[F.col("node")]).drop("node"), "boost")
+            discard(before, at)
             self.trees.append(tree)
+        discard(rows, *coded.values())
         return self
 
     def _grow(self, rows: DataFrame, own: dict[str, DataFrame], coded: dict[str, DataFrame]) -> tuple[SharedNode, DataFrame]:
@@ -175,7 +177,9 @@ class PrivateBoostedTrees:
                 direct = held[x.name].join(at.where(F.col("node").isin([v for v in ids if v not in derived])), i)
                 sums = stash(bin_sums(direct, names, self.key.public), "sums")
                 if pairs:
-                    sums = stash(sums.unionByName(sibling_sums(before[x.name], sums, pairs, self.key.public)), "sums")
+                    summed, sums = sums, stash(sums.unionByName(sibling_sums(before[x.name], sums, pairs, self.key.public)), "sums")
+                    discard(summed)
+                discard(*[before[x.name]] if x.name in before else [])
                 before[x.name] = sums
                 gains = split_gains(sent_histogram(sums, self.key, bits), p.reg_lambda, p.reg_gamma).withColumn("party", F.lit(k))
                 found = gains if found is None else found.unionByName(gains)
@@ -184,13 +188,16 @@ class PrivateBoostedTrees:
             level = [x for x in level if x.node in best and best[x.node]["gain"] > p.min_gain]
             for x in level:
                 self._split(x, best[x.node])
-            at = stash(self._route(at, rows, own, level), "nodes") if level else at
+            if level:
+                placed, at = at, stash(self._route(at, rows, own, level), "nodes")
+                discard(placed)
             kin = [(x.node, *sorted((x.left.node, x.right.node), key=lambda v, x=x: (x.left if v == x.left.node else x.right).n)) for x in level]
             level = [y for x in level for y in (x.left, x.right)]
         sums = {r["node"]: r for r in rows.join(at, i).groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # a row per leaf
         for x in root.walk():
             if x.left is None:
                 x.weight = leaf_weight(sums[x.node]["g"], sums[x.node]["h"], p.reg_lambda) if x.node in sums else 0.0
+        discard(sent, *held.values(), *before.values())
         return root, at
 
     def _split(self, x: SharedNode, row) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import stash
+from ..shared import discard, stash
 
 Slope = Callable[[np.ndarray], np.ndarray]
 
@@ -145,12 +145,14 @@ class SplitTraining:
         told = stash(x.join(labels, "id").select("id", F.array(1 / (1 + F.exp(-s)) - y).alias("d"), (F.greatest(s, F.lit(0.0)) - y * s + F.log1p(F.exp(-F.abs(s)))).alias("loss")), "loss")
         n, loss = told.agg(F.count("*"), F.sum("loss")).first()
         if not n:
+            discard(told, *kept, *held.values())
             return 0.0
-        d, moves = told.select("id", "d"), []
+        d, moves, sent = told.select("id", "d"), [], [told, *kept, *held.values()]
         for layer, own in zip(reversed(self.chain), reversed(kept), strict=True):
             met = own.join(d, "id")
             moves.append((layer, weight_gradient(met, layer)))
             d = stash(backward(met, layer), "gradient")
+            sent.append(d)
         at = 0
         for name, layer in self.bottoms.items():
             width = layer.weights.shape[1]
@@ -159,6 +161,7 @@ class SplitTraining:
             moves.append((layer, weight_gradient(held[name].join(own, "id"), layer)))
         for layer, g in moves:
             layer.weights = layer.weights - self.rate * g / n
+        discard(*sent)
         return loss / n
 
     def fit(self, inputs: dict[str, DataFrame], labels: DataFrame) -> SplitTraining:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import losses
 from ..functions.ordered import row_numbers
-from ..shared import stash
+from ..shared import discard, stash
 from . import metrics
 from .select import hash_order
 from .transform import all_tree_edges, bin_code
@@ -338,7 +338,9 @@ class BoostedTrees:
                 own = sorted(random.Random(p.seed).sample(own, max(1, int(len(own) * p.colsample))), key=self.features.index)
             tree = build(data, own, self.edges, p, self.classes)
             self.trees.append(tree)
-            rows = stash(rows.withColumn("_s", self._scores(F.col("_s"), [tree])), "boost")
+            before, rows = rows, stash(rows.withColumn("_s", self._scores(F.col("_s"), [tree])), "boost")
+            discard(before, data)
+        discard(rows)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:

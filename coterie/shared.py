@@ -29,4 +29,17 @@ def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/coterie-{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of stashed tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = vars(df).get("_stashed")
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._stashed = None
