@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Each round is a grouped minimum and a join; rounds grow with the logarithm of the longest chain, and
-every round ends in a written table, so a lost executor costs at most one round.
+every round ends in a written table, so a lost executor costs at most one round. The table of the round
+before is then deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import discard, stash
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -34,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # u > v in every row of large, so a node's lesser neighbours are the rows that begin with it
         small = _star(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stash(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "links")
+        old, edges = edges, stash(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "links")
+        discard(old)
         now = _signature(edges)
         if now == before:
             break

@@ -47,6 +47,8 @@ COUNT_LINES = 24
 #: Rows of other vectors that a row meets in a cell, on average, if there were no groups.
 CELL_ROWS = 24
 BLOCK = 1024
+#: Up to so many cells of more than BLOCK rows, their table (12 bytes a row) is broadcast; beyond, it is joined.
+BROADCAST_CELLS = 200_000
 SEED = 7
 
 
@@ -267,12 +269,14 @@ def neighbours(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     lines, views, least = calibrate(nodes.count(), threshold, recall)
     coded = stash(_codes(nodes.select("node", "e"), lines, views), "codes")
     cells = coded.select("node", F.explode("codes").alias("code"))
-    large = cells.groupBy("code").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-    parts = large.select("code", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    # cells of more than a block: each holds over BLOCK rows, so there are few of them, counted before they are sent
+    large = stash(cells.groupBy("code").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("code", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "large")
+    few = large.count() <= BROADCAST_CELLS
     # each view starts the bytes at a line of its own, along which its cells are sorted
     turned = F.concat(F.expr(f"substring(places, view % {COUNT_LINES} + 1)"), F.expr(f"substring(places, 1, view % {COUNT_LINES})")).alias("places")
     rows = coded.select("node", "places", F.posexplode("codes").alias("view", "code")).select("node", "code", turned)
-    rows = rows.join(parts, "code").withColumn("half", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.join(F.broadcast(large) if few else large, "code", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["code", "bi", "bj"]
     rows = rows.select("code", F.least("half", "other").alias("bi"), F.greatest("half", "other").alias("bj"), "half", "node", "places")
