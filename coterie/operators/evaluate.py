@@ -349,11 +349,12 @@ def private_woe(passive: DataFrame, active: DataFrame, id_col: str, features: Se
 
     quick = key.zeros(zeros, base=8)
     y = F.col(label).cast("double")
-    sent = active.select(id_col, crypto.encrypt_packed([y, 1 - y], key, quick).alias("c"))
+    bits = crypto.packed_bits(active.count(), 1.0, key)
+    sent = active.select(id_col, crypto.encrypt_packed([y, 1 - y], key, quick, bits).alias("c"))
     edges = width_edges(passive, features, n_bins)
     long = long_form(passive.join(sent, id_col), ["c"], features).withColumn("bin", _coded(edges, bin_code))
     sums = crypto.cipher_sum(long.select("feature", "bin", "c"), ["feature", "bin"], "c", key)
-    counts = sums.withColumn("n", crypto.decrypt_packed(F.col("c"), key, 2))
+    counts = sums.withColumn("n", crypto.decrypt_packed(F.col("c"), key, 2, bits))
     rows = counts.select("feature", "bin", F.round(F.col("n")[0]).cast("long").alias("pos"), F.round(F.col("n")[1]).cast("long").alias("neg"))
     whole = W.partitionBy("feature")
     shares = rows.withColumn("_p", F.col("pos") / F.sum("pos").over(whole)).withColumn("_q", F.col("neg") / F.sum("neg").over(whole))

@@ -71,9 +71,11 @@ def cipher_histogram(df: DataFrame, features: Sequence[str], key, zeros: int = 3
 
     quick = key.zeros(zeros, base=8)
     if packed:
-        sent = df.select(*features, crypto.encrypt_packed([F.col("g"), F.col("h")], key, quick).alias("gh"))
+        size = df.agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("g"), F.abs("h"))).alias("top")).first()
+        bits = crypto.packed_bits(size["n"], size["top"] or 1.0, key)
+        sent = df.select(*features, crypto.encrypt_packed([F.col("g"), F.col("h")], key, quick, bits).alias("gh"))
         long = sent.unpivot(["gh"], list(features), "feature", "bin").withColumn("n", F.lit(1))
-        sums = crypto.cipher_sum(long, ["feature", "bin"], "gh", key).withColumn("x", crypto.decrypt_packed(F.col("gh"), key, 2))
+        sums = crypto.cipher_sum(long, ["feature", "bin"], "gh", key).withColumn("x", crypto.decrypt_packed(F.col("gh"), key, 2, bits))
         out = sums.select("feature", "bin", F.col("x")[0].alias("g"), F.col("x")[1].alias("h"))
     else:
         sent = df.select(*features, *[crypto.encrypt_column(F.col(c).cast("double"), key, quick).alias(c) for c in "gh"])

@@ -9,7 +9,7 @@ from ..operators import evaluate, private_trees, shap, trees
 from ..operators.trees import TreeParams
 from . import fixtures as fx
 from .exchange import _key
-from .modelling import _TREE, _TREE_EDGES
+from .modelling import _TREE, _TREE_EDGES, _boost
 from .tabular import query
 
 # --- rounds of boosting in SQL ---
@@ -89,6 +89,19 @@ def boost_fixed_bins(spark: SparkSession, sf: str) -> DataFrame:
     return _binary_model(df).predict(df).select("id", F.round("prediction", 6).alias("prediction"))
 
 
+#: Bin codes of all features over ends at the places floor((k + 1) * n / 16) of each sorted column, the last left out.
+_SORTED_CODES = """ends AS (SELECT DISTINCT feature, value FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn, count(*) OVER (PARTITION BY feature) AS n FROM long) WHERE list_contains(list_transform(range(1, 17), lambda k: greatest(1, n * k // 16)), rn)),
+  inner_ends AS (SELECT feature, value FROM ends QUALIFY value < max(value) OVER (PARTITION BY feature)),
+  codes AS (SELECT l.id, l.feature, CAST(count(e.value) AS INTEGER) AS bin FROM long l LEFT JOIN inner_ends e ON e.feature = l.feature AND e.value < l.value GROUP BY 1, 2)"""
+_TWO_ROUNDS = ", ".join([fx.JOINED, fx.LONG, "s0 AS (SELECT id, y, [0::DOUBLE] AS s FROM joined)", *rounds_sql(1, 2, 3, 0.0, "1 / (1 + exp(-s[1])) - y AS g, 1 / (1 + exp(-s[1])) * (1 - 1 / (1 + exp(-s[1]))) AS h", codes=_SORTED_CODES)])
+
+
+@query(f"WITH {_TWO_ROUNDS} SELECT id, y, round(1 / (1 + exp(-s[1])), 6) AS prediction FROM s2")
+def boost_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds over all features, with bin ends found in the data."""
+    return _boost(spark, sf)
+
+
 # --- between parties ---
 
 _PRIVATE_CODES = _CODES[:-1] + " UNION ALL SELECT id, 'priority', CAST(priority > 2 AS INTEGER) + CAST(priority > 3 AS INTEGER) FROM joined)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, losses
-from ..operators import evaluate, federated, intersect, linear, metrics, neural, transform, trees
+from ..operators import evaluate, federated, intersect, kmeans, linear, metrics, neural, transform, trees
 from ..party import Role
 from ..shared import shared_dir
 from ..sources import readers, writers
@@ -63,14 +63,16 @@ def column_choice(spark: SparkSession, sf: str) -> DataFrame:
     return readers.from_parquet(spark, f"{sf}/supplier.parquet", target=["s_suppkey", "s_nationkey", "s_acctbal"], excluding=["s_acctbal"])
 
 
-@query("SELECT CAST(range AS BIGINT) AS id FROM range(1, 1001)")
+@query("SELECT CAST(row_number() OVER () AS BIGINT) AS id FROM supplier")
 def dummy_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.dummy_ids(spark, 1000)
+    """As many ids as there are suppliers."""
+    return readers.dummy_ids(spark, fx.table(spark, sf, "supplier").count())
 
 
-@query("SELECT CAST(500 AS BIGINT) AS n, CAST(500 AS BIGINT) AS n_ids, CAST(500 AS BIGINT) AS inside, CAST(500 AS BIGINT) AS n_binary")
+@query("SELECT count(*) AS n, count(*) AS n_ids, count(*) AS inside, count(*) AS n_binary FROM orders")
 def dummy_table_shape(spark: SparkSession, sf: str) -> DataFrame:
-    d = readers.dummy_table(spark, 500, 3, seed=4)
+    """A made-up party of as many rows as there are orders."""
+    d = readers.dummy_table(spark, fx.table(spark, sf, "orders").count(), 3, seed=4)
     inside = F.count(F.when((F.col("x0") >= 0) & (F.col("x2") < 1), 1))
     return d.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), inside.alias("inside"), F.count(F.when(F.col("y").isin(0, 1), 1)).alias("n_binary"))
 
@@ -91,26 +93,34 @@ def named_dataset_active(spark: SparkSession, sf: str) -> DataFrame:
     return readers.named_dataset(spark, _NAMED(sf), "parts", Role.ACTIVE, 0.5, "importance", importances=rank).rename(["id", "y", "x0", "x1"]).table()
 
 
-@query("SELECT 'bottom' AS name, 3 AS epoch, 2.5::DOUBLE AS total UNION ALL SELECT 'top', 3, -1.0::DOUBLE")
+@query(f"WITH {fx.VECTORS}, m AS (SELECT label, i, round(avg(vec[i]), 9) AS m FROM vectors, range(1, 65) r(i) GROUP BY 1, 2) SELECT 'class' || label AS name, 3 AS epoch, round(sum(m), 6) AS total FROM m GROUP BY 1 UNION ALL SELECT 'all', 3, round(sum(m), 6) FROM m")
 def layers_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers made of class centroids, a vector each and a matrix of all, saved with an epoch and read back."""
+    v = fx.vectors(spark, sf)
+    rows = kmeans.to_lists(kmeans.centroids(v, "vec", "label"), v.agg(F.max("label")).first()[0] + 1)
+    rows = [[round(x, 9) for x in r] for r in rows]
     path = _path(spark, "layers")
-    writers.save_layers(spark, {"bottom": [[0.5, 1.0], [1.5, -0.5]], "top": [-1.0]}, 3, path)
+    writers.save_layers(spark, {"all": rows} | {f"class{k}": r for k, r in enumerate(rows)}, 3, path)
     layers, epoch = writers.load_layers(spark, path)
-    return spark.createDataFrame([(k, epoch, float(v.sum())) for k, v in layers.items()], "name string, epoch int, total double")
+    return spark.createDataFrame([(k, epoch, round(float(v.sum()), 6)) for k, v in layers.items()], "name string, epoch int, total double")
 
 
-@query("SELECT 'a' AS name, 1.5::DOUBLE AS value UNION ALL SELECT 'b', -2.0::DOUBLE")
+@query(f"WITH {fx.JOINED} SELECT feature AS name, round(w, 6) AS value FROM (UNPIVOT (SELECT corr(n_lines, y) AS n_lines, corr(sum_qty, y) AS sum_qty, corr(avg_disc, y) AS avg_disc, corr(avg_tax, y) AS avg_tax, corr(sum_price, y) AS sum_price FROM joined) ON n_lines, sum_qty, avg_disc, avg_tax, sum_price INTO NAME feature VALUE w)")
 def weights_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights taken from the features' correlations with the label, saved and read back."""
     path = _path(spark, "weights")
-    writers.save_weights(spark, {"a": 1.5, "b": -2.0}, path)
+    found = evaluate.label_correlation(fx.joined(spark, sf), fx.FEATURES, "y").collect()
+    writers.save_weights(spark, {r["feature"]: round(r["corr"], 6) for r in found}, path)
     return spark.createDataFrame(sorted(writers.load_weights(spark, path).items()), "name string, value double")
 
 
-@query("SELECT 'run' AS run, CAST(s AS INTEGER) AS step, m AS metric, CASE m WHEN 'loss' THEN 1.0 / (s + 1) ELSE s END::DOUBLE AS value FROM range(2) t(s), (SELECT unnest(['loss', 'auc']) AS m)")
+@query(f"WITH {fx.CLIENTS}, s AS (SELECT client_id, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean FROM clients GROUP BY 1) SELECT 'run' AS run, client_id AS step, metric, value FROM (UNPIVOT s ON n, mean INTO NAME metric VALUE value)")
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of each client's rows and mean value, appended step by step."""
     path = _path(spark, "log")
-    for step in range(2):
-        writers.append_metrics(spark, path, "run", step, {"loss": 1.0 / (step + 1), "auc": float(step)})
+    sums = fx.clients(spark, sf).groupBy("client_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    for r in sums.collect():  # a row per client
+        writers.append_metrics(spark, path, "run", r["client_id"], {"n": float(r["n"]), "mean": r["mean"]})
     return spark.read.parquet(path)
 
 
@@ -132,10 +142,15 @@ def fill_missing(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.fill_missing(fx.dirty(spark, sf).select("id", "size", "price"), ["size", "price"])
 
 
-@query("SELECT 'active' AS role, 3 AS n_features UNION ALL SELECT 'passive', 2")
+@query(f"WITH {fx.JOINED} SELECT 'active' AS role, 3 AS n_features, count(*) AS n, count(y) AS n_labels FROM joined UNION ALL SELECT 'passive', 2, count(*), 0 FROM joined")
 def feature_counts(spark: SparkSession, sf: str) -> DataFrame:
-    a, p = joined_frame(spark, sf).vertical_split(0.4)
-    return spark.createDataFrame([(x.role.value, x.n_features) for x in (a, p)], "role string, n_features int")
+    """Features, rows and labels of both sides of a vertical split."""
+    out = None
+    for x in joined_frame(spark, sf).vertical_split(0.4):
+        labels = F.count(x.label_col) if x.label_col else F.lit(0).cast("long")
+        own = x.df.agg(F.lit(x.role.value).alias("role"), F.lit(x.n_features).alias("n_features"), F.count("*").alias("n"), labels.alias("n_labels"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 # --- intersection ---

@@ -347,11 +347,6 @@ def _boost(spark: SparkSession, sf: str, **params) -> DataFrame:
     return model.predict(j).select("id", "y", F.round("prediction", 6).alias("prediction"))
 
 
-@query()
-def boost_two_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    return _boost(spark, sf)
-
-
 @query()
 def boost_leaf_wise(spark: SparkSession, sf: str) -> DataFrame:
     return _boost(spark, sf, leaf_wise=True, max_leaves=5, goss=(0.3, 0.3), colsample=0.8)
@@ -403,7 +398,17 @@ def logreg_steps(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(spark, linear.LinearModel(["x0", "x1"], "y", logistic=True, epochs=3, learning_rate=0.5).fit(data))
 
 
-@query()
+def _batches_sql(parts: int, rate: float, lam: float) -> str:
+    """One epoch of batches in the order of a hash of the ids."""
+    out = [fx.JOINED, "data AS (SELECT id, y, 1.0::DOUBLE AS x0, sum_qty / 100 AS x1, row_number() OVER (ORDER BY substr(md5(concat(CAST(id AS VARCHAR), '-0')), 1, 15), id) - 1 AS rn, count(*) OVER () AS n FROM joined)", "w0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b)"]
+    for k in range(parts):
+        rest = "(y - 1 / (1 + exp(-(w.a * x0 + w.b * x1))))"
+        out.append(f"w{k + 1} AS (SELECT any_value(w.a) - {rate} * (-avg({rest} * x0) + {lam} * sign(any_value(w.a))) AS a, any_value(w.b) - {rate} * (-avg({rest} * x1) + {lam} * sign(any_value(w.b))) AS b FROM data, w{k} w WHERE rn // greatest(1, n // {parts} + 1) = {k})")
+    p = "1 / (1 + exp(-(w.a * x0 + w.b * x1)))"
+    return f"WITH {', '.join(out)} SELECT id, round({p}, 6) AS probability, CAST({p} > 0.5 AS INTEGER) AS prediction FROM data, w{parts} w"
+
+
+@query(_batches_sql(3, 0.1, 0.001))
 def logreg_batches(spark: SparkSession, sf: str) -> DataFrame:
     data = fx.joined(spark, sf).select("id", "y", F.lit(1.0).alias("x0"), (F.col("sum_qty") / 100).alias("x1"))
     model = linear.LinearModel(["x0", "x1"], "y", logistic=True, epochs=1, batch_size=max(1, data.count() // 3 + 1), penalty="l1", reg_lambda=0.001).fit(data, validate=data)
@@ -460,9 +465,23 @@ def kmeans_inertia(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.round("sse", 4).alias("sse"), F.round("inertia_parts", 4).alias("inertia_parts"))
 
 
-@query()
+def _constrained_sql(iterations: int) -> str:
+    """Centres from the labelled half, then rounds of assigning the others and averaging, unrolled."""
+    mean = "(SELECT {c} AS c, i, avg(vec[i]) AS x FROM {t}, range(1, 65) r(i) {where} GROUP BY 1, 2)"
+    near = "{n} AS (SELECT vec_id, any_value(vec) AS vec, CASE WHEN any_value(seed) >= 0 THEN any_value(seed) ELSE arg_min(c, (round(" + _D2.format(a="vec", b="m") + ", 9), c)) END AS cluster FROM v, {m} GROUP BY 1)"
+    out = [fx.VECTORS, "v AS (SELECT vec_id, vec, CASE WHEN substr(md5(CAST(vec_id AS VARCHAR)), 1, 1) < '8' THEN label ELSE -1 END AS seed FROM vectors)"]
+    out.append(f"m0 AS (SELECT c, list(x ORDER BY i) AS m FROM {mean.format(c='seed', t='v', where='WHERE seed >= 0')} GROUP BY 1)")
+    for k in range(iterations):
+        out.append(near.format(n=f"n{k}", m=f"m{k}"))
+        out.append(f"m{k + 1} AS (SELECT c, list(x ORDER BY i) AS m FROM {mean.format(c='cluster', t=f'n{k}', where='')} GROUP BY 1)")
+    out.append(f"p AS (SELECT vec_id, arg_min(c, (round({_D2.format(a='vec', b='m')}, 9), c)) AS cluster FROM vectors, m{iterations} GROUP BY 1)")
+    return f"WITH {', '.join(out)} SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM p"
+
+
+@query(_constrained_sql(3))
 def kmeans_constrained(spark: SparkSession, sf: str) -> DataFrame:
-    v = fx.vectors(spark, sf).withColumn("seed", F.when(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 0, F.col("label")).otherwise(-1))
+    """A hashed half of the labels seeds and holds its clusters; the other half is free."""
+    v = fx.vectors(spark, sf).withColumn("seed", F.when(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 1) < "8", F.col("label")).otherwise(-1))
     model = kmeans.SeededKMeans(10, "vec_id", "vec", "seed", constrained=True, max_iter=3).fit(v)
     return model.predict(v).select("vec_id", "cluster")
 

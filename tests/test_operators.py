@@ -1,5 +1,6 @@
 """Literal cases, properties and independent computations."""
 
+import hashlib
 import json
 import math
 import sys
@@ -187,6 +188,10 @@ def test_intersections_agree(spark):
 def test_crypto():
     assert crypto.sm3(b"abc") == "66c7f0f462eeedd9d1f2d46bdc10e4e24167c4875cf2f7a2297da02b8f4ba8e0"
     assert crypto.sm3(b"abcd" * 16) == "debe9ff92275b8a138604889c18e5a4d6fdb70e5387e5765293dcba39c0c5732"
+    sizes = [0, 3, 55, 56, 64, 119, 120, 1000]
+    assert crypto.sm3_many([b"x" * n for n in sizes]) == [crypto.sm3(b"x" * n) for n in sizes]
+    if "sm3" in hashlib.algorithms_available:
+        assert all(crypto.sm3(b"x" * n) == hashlib.new("sm3", b"x" * n).hexdigest() for n in sizes)
     key = crypto.RSA.generate(256, seed=3)
     assert key.decrypt(key.encrypt(12345)) == 12345 and key.encrypt(key.sign(99)) == 99
     he = crypto.Paillier.generate(256, seed=4)
