@@ -4,13 +4,29 @@ import numpy as np
 import public_tokenizers
 from test_mixing import water
 from test_quality import brute
-from test_simhash import brute_fp, closed
+from test_simhash import brute_fp
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from coterie.llm import mixing, packing, quality
 
 
+def nearest_first(rows):
+    """Ids that stay: the least of each group of texts near under either seed, by search over all pairs."""
+    fps = [[brute_fp(r.text, 2, seed) for seed in (42, 43)] for r in rows]
+    left, kept = set(range(len(rows))), []
+    while left:
+        todo = [min(left)]
+        kept.append(rows[todo[0]].doc_id)
+        left.discard(todo[0])
+        while todo:
+            x = todo.pop()
+            near = {y for y in left if any(bin(a ^ b).count("1") <= 5 for a, b in zip(fps[x], fps[y]))}
+            left -= near
+            todo += near
+    return kept
+
+
 def test_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.collect()
@@ -29,7 +45,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         n, *_, again = brute(r.text)
         assert not verdict[r.doc_id] or (n >= 10 and 100 * again <= 20 * n)
     left = sorted((r for r in rows if verdict[r.doc_id]), key=lambda r: r.doc_id)
-    first = closed([brute_fp(r.text) for r in left], [r.doc_id for r in left])
+    first = nearest_first(left)
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(first))
     sizes = Counter()
     own = {r.doc_id: (r.source, len(r.text.split())) for r in left if r.doc_id in set(first)}
@@ -95,3 +111,24 @@ def test_very_long_texts_pass_all_stages(spark):
     assert sorted(r.doc_id for r in one.collect()) == [1, 3, 4]
     packed = packing.pack(one.where("doc_id != 4")).collect()
     assert max(r.length for r in packed) == 4096 and {r.doc_id for r in packed} == {1, 3}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Texts in which a word in a hundred was changed go; texts that share a long passage stay."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows, base = [], []
+    for k in range(60):
+        own = list(rng.choice(words, 300))
+        base.append(k)
+        rows.append((k, " ".join(own), "en", "a", 1))
+        other = list(own)
+        for at in rng.choice(300, 3, replace=False):
+            other[at] = f"new{k}x{at}"
+        rows.append((1000 + k, " ".join(other), "en", "a", 1))
+    passage = list(rng.choice(words, 120))
+    rows += [(2000 + k, " ".join([*passage, *rng.choice(words, 180)]), "en", "a", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()}
+    assert set(base) <= kept and {2000 + k for k in range(60)} <= kept
+    assert sum(1000 + k in kept for k in range(60)) <= 6

@@ -7,12 +7,12 @@ from coterie.llm import simhash
 from coterie.llm.components import components
 
 
-def brute_fp(text):
+def brute_fp(text, each=4, seed=42):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    shingles = [b" ".join(words[i : i + each]) for i in range(max(1, len(words) - each + 1))]
+    h = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
