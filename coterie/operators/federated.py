@@ -63,14 +63,14 @@ def train(df: DataFrame, features: Sequence[str], label: str, rounds: int, local
     rng = np.random.default_rng(seed)
     spark, m = df.sparkSession, len(features)
     clients = sorted(r["client_id"] for r in df.select("client_id").distinct().collect())
-    kind = dict(df.dtypes)["client_id"]
+    id_type = dict(df.dtypes)["client_id"]
     shared = np.zeros(m)
     control, own_control = np.zeros(m), {c: np.zeros(m) for c in clients}
     for _ in range(rounds):
         w = {c: shared.copy() for c in clients}
         n: dict = {}
         for _ in range(local_steps):
-            table = spark.createDataFrame([(c, w[c].tolist()) for c in clients], f"client_id {kind}, w array<double>")
+            table = spark.createDataFrame([(c, w[c].tolist()) for c in clients], f"client_id {id_type}, w array<double>")
             g = {c: np.zeros(m) for c in clients}
             for r in local_gradients(df, features, label, table, logistic).collect():
                 g[r["client_id"]][r["idx"]], n[r["client_id"]] = r["g"], r["n"]
