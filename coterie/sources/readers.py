@@ -52,33 +52,54 @@ class _Records(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]
 
-    def rows(self) -> list[dict]:
+    def rows(self, number: int) -> list[dict]:
         raise NotImplementedError
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for r in self.rows():
+        for r in self.rows(partition.value):
             yield tuple(r.get(n) for n in self.names)
 
 
 class _Api(_Records):
-    def rows(self) -> list[dict]:
+    """A call, and a task, for each set of parameters."""
+
+    def calls(self) -> list[dict]:
+        own = json.loads(self.options.get("params", "{}"))
+        return own if isinstance(own, list) else [own]
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in range(len(self.calls()))]
+
+    def rows(self, number: int) -> list[dict]:
+        import time
+        import urllib.error
         import urllib.request
 
-        body = json.dumps(json.loads(self.options.get("params", "{}"))).encode()
-        call = urllib.request.Request(self.options["url"], body, {"Content-Type": "application/json"})
-        with urllib.request.urlopen(call) as f:
-            return json.load(f)[self.options.get("datafield", "data")]
+        body = json.dumps(self.calls()[number]).encode()
+        for again in range(int(self.options.get("retries", "3")), -1, -1):
+            call = urllib.request.Request(self.options["url"], body, {"Content-Type": "application/json"})
+            try:
+                with urllib.request.urlopen(call, timeout=float(self.options.get("timeout", "60"))) as f:
+                    return json.load(f)[self.options.get("datafield", "data")]
+            except urllib.error.HTTPError as e:
+                if e.code < 500 or not again:  # what the server refuses now it refuses later
+                    raise
+            except urllib.error.URLError:
+                if not again:
+                    raise
+            time.sleep(0.2)
+        raise AssertionError("not reached")
 
 
 class _Excel(_Records):
-    def rows(self) -> list[dict]:
+    def rows(self, number: int) -> list[dict]:
         import pandas as pd
 
         return pd.read_excel(self.options["path"]).astype(object).where(lambda x: x.notna(), None).to_dict("records")
 
 
 class ApiSource(DataSource):
-    """POST to a url; the records are in one field of the answer."""
+    """POST to a url, once or once for each set of parameters; the records are in one field of the answer."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,9 +120,11 @@ class ExcelSource(DataSource):
         return _Excel(schema, self.options)
 
 
-def from_api(spark: SparkSession, url: str, schema: str, params: dict | None = None, data_field: str = "data") -> DataFrame:
+def from_api(spark: SparkSession, url: str, schema: str, params: dict | list[dict] | None = None, data_field: str = "data", retries: int = 3, timeout: float = 60.0) -> DataFrame:
+    """The records that a service answers with. A list of params, such as one for each page, makes a call of each,
+    side by side; a call is repeated if the server fails or is not there."""
     spark.dataSource.register(ApiSource)
-    return spark.read.format("coterie_api").schema(schema).options(url=url, params=json.dumps(params or {}), dataField=data_field).load()
+    return spark.read.format("coterie_api").schema(schema).options(url=url, params=json.dumps(params or {}), dataField=data_field, retries=retries, timeout=timeout).load()
 
 
 def from_excel(spark: SparkSession, path: str, schema: str) -> DataFrame:

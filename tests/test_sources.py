@@ -81,3 +81,46 @@ def test_pca_of_many_columns(spark):
     scores = transform.pca_transform(df.where("id >= 0"), ["id"], "v", p, whiten=True).orderBy("id").collect()
     assert np.abs(np.array([r[1:] for r in scores])) == pytest.approx(np.abs(u[:, :5] * np.sqrt(699)), abs=1e-6)
     assert len(transform.pca_fit(df.limit(0), "v", 2)["mean"]) == 0
+
+
+@pytest.fixture
+def service():
+    """A service that gives pages of records, fails each page's first call, and refuses page 9."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            page = asked.get("page", 0)
+            seen.append(page)
+            code = 404 if page == 9 else 503 if seen.count(page) == 1 else 200
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                rows = [{"id": 10 * page + k, "v": None if k == 3 else f"{asked.get('name', '')}{k}", "more": 1} for k in range(5)]
+                self.wfile.write(json.dumps({"data": rows, "page": page}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/", seen
+    server.shutdown()
+
+
+def test_service_in_pages(spark, service):
+    url, seen = service
+    df = readers.from_api(spark, url, "id long, v string", [{"page": k, "name": "n"} for k in range(4)])
+    assert df.rdd.getNumPartitions() == 4
+    got = sorted((r.id, r.v) for r in df.collect())
+    assert got == [(10 * p + k, None if k == 3 else f"n{k}") for p in range(4) for k in range(5)]
+    assert readers.from_api(spark, url, "id long", {"page": 5}).count() == 5
+    before = seen.count(9)
+    with pytest.raises(Exception, match="404"):
+        readers.from_api(spark, url, "id long", {"page": 9}).collect()
+    assert seen.count(9) - before >= 1
