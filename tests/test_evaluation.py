@@ -89,3 +89,16 @@ def test_numbers_of_ordered_rows(spark):
     got = {r.id: r.rn for r in numbered(df, [F.col("v").desc(), F.col("id")]).collect()}
     assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(3000), key=lambda i: (-(i % 7), i))
     assert sorted(got.values()) == list(range(1, 3001))
+
+
+def test_profile_with_importance(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((300, 2)), 1)
+    y = (x[:, 0] > 0.3).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(300)], "id long, y int, a double, b double")
+    rows = {r.feature: r for r in evaluate.profile(df, ["a", "b"], "y", k=2, importance="shap").collect()}
+    assert rows["a"].shap > rows["b"].shap >= 0 and rows["a"].iv_rank == 1
+    for k, c in enumerate("ab"):
+        values, counts = np.unique(x[:, k], return_counts=True)
+        order = np.lexsort((values, -counts))[:2]
+        assert [rows[c].top1, rows[c].top2] == values[order].tolist() and rows[c].share1 == pytest.approx(counts[order[0]] / 300)
