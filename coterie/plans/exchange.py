@@ -336,12 +336,13 @@ _WEIGHTS = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [-0.2, 0.1, 0.6]]
 
 def _inferred(spark: SparkSession, sf: str) -> DataFrame:
     a = fx.active(spark, sf).select("id", (F.col("o_totalprice") / 500000).alias("a"), (F.col("priority") / 5).alias("b"), F.lit(1.0).alias("one"), ((F.col("priority") - 1).cast("int") % 3).alias("label"), (F.col("id") % 4).cast("int").alias("client_id"))
-    return federated.inference(a, ["a", "b", "one"], _WEIGHTS)
+    # the intercept first, as in SQL: scores that are next to equal come out alike
+    return federated.inference(a, ["one", "a", "b"], [[w[2], *w[:2]] for w in _WEIGHTS])
 
 
 @query(f"WITH {fx.ACTIVE}, {_LINEAR} SELECT id, prediction, round(loss, 6) AS loss FROM inferred")
 def fed_inference(spark: SparkSession, sf: str) -> DataFrame:
-    return _inferred(spark, sf).select("id", "prediction", F.round("loss", 6).alias("loss"))
+    return _inferred(spark, sf).select("id", "prediction", fx.rounded(F.col("loss"), 6).alias("loss"))
 
 
 @query(f"WITH {fx.ACTIVE}, {_LINEAR} SELECT client_id, count(*) AS n, round(avg(CAST(prediction = label AS DOUBLE)), 6) AS accuracy, round(avg(loss), 6) AS loss FROM inferred GROUP BY 1")

@@ -5,7 +5,7 @@ Sums and averages of doubles are rounded, so that they do not depend on the orde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURES = ("n_lines", "sum_qty", "avg_disc", "avg_tax", "sum_price")
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL engines on binary numbers round: the scaled double goes to a whole number. F.round takes the shortest
+    decimal instead, and differs where a value is next to a tie."""
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def active(spark: SparkSession, sf: str) -> DataFrame:
     """Orders: a binary label and two features."""
     o = table(spark, sf, "orders")
