@@ -129,7 +129,7 @@ def image_normalise(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors read as images of four rows, flattened, centred and scaled."""
     rows = F.array(*[F.slice("vec", 16 * k + 1, 16) for k in range(4)])
     flat = transform.flatten_image(rows, 0.5, 0.25, 255.0)
-    return fx.vectors(spark, sf).select("vec_id", F.transform(flat, lambda x: F.round(x, 9)).alias("pixels"))
+    return fx.vectors(spark, sf).select("vec_id", F.transform(flat, lambda x: fx.rounded(x, 9)).alias("pixels"))
 
 
 @query("WITH s AS (SELECT 'p_brand' AS \"column\", count(DISTINCT p_brand) AS size FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size) FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part) SELECT \"column\", size, least(50, (size + 1) // 2) AS dim FROM s")

@@ -21,7 +21,7 @@ def tables(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name,table", [("fed_inference", "orders")])
+@pytest.mark.parametrize("name,table", [("fed_inference", "orders"), ("image_normalise", "embeddings")])
 def test_ties(spark, tables, name, table):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet'")
