@@ -163,7 +163,11 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     posted = own.select(F.posexplode(masks).alias("c", "mask"), "fp")
     posted = posted.select(F.col("c").cast("short").alias("c"), "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     dealt = posted.repartition(F.xxhash64("c", "key")).select("c", "fp")
-    return dealt.mapInArrow(partial(_lists, r=r, bits=bits), "u long, v long").distinct()
+    found = dealt.mapInArrow(partial(_lists, r=r, bits=bits), "u long, v long")
+    # a fingerprint has a link from each list; it keeps the least, which the others are linked to in its place,
+    # so that a large group, whose lists begin with few fingerprints, hands on little more than a link per member
+    met = found.groupBy("u").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+    return met.select(F.explode(F.expr("transform(vs, (v, i) -> struct(if(i = 0, u, v) AS u, vs[0] AS v))")).alias("e")).select("e.u", "e.v").distinct()
 
 
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:

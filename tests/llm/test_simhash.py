@@ -130,3 +130,16 @@ def test_every_number_of_positions_gives_the_same_components(spark, monkeypatch)
             assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values())), (r, long_list)
     monkeypatch.undo()
     assert [simhash.positions(n) for n in (0, 5_000, 1_000_000, 100_000_000, 10**10)] == [1, 1, 2, 3, 4]
+
+
+def test_a_dense_group_hands_on_few_links(spark):
+    rng = random.Random(5)
+    base, near = rng.getrandbits(63), set()
+    while len(near) < 2000:
+        x = base
+        for b in rng.sample(range(63), rng.randint(1, 2)):
+            x ^= 1 << b
+        near.add(x)
+    found = simhash.links(spark.createDataFrame([(x,) for x in near], "fp long").repartition(3), 5)
+    assert found.count() < 2 * len(near)
+    assert {(r.node, r.root) for r in components(found).collect()} == {(x, min(near)) for x in near}
