@@ -307,10 +307,14 @@ class BoostedTrees:
         return losses.sigmoid(self.raw()) if self.task == "binary" else self.raw()
 
     def fit(self, df: DataFrame) -> BoostedTrees:
-        """Every round writes the raw score with the rows, so plans do not grow with the number of trees."""
-        self.edges = {c: e[:-1] for c, e in all_tree_edges(df, self.features, self.params.max_bin).items()}
+        """Every round writes the raw score with the rows, so plans do not grow with the number of trees. The
+        rows are written before the first pass, so that what they come from runs once."""
+        rows = stash(df.select(*dict.fromkeys([self.id_col, self.label, *self.features])), "rows")
+        self.edges = {c: e[:-1] for c, e in all_tree_edges(rows, self.features, self.params.max_bin).items()}
         self.trees = []
-        return self.resume(df)
+        self.resume(rows)
+        discard(rows)
+        return self
 
     def _gradients(self) -> dict[str, Column]:
         y, s = F.col("_y"), F.col("_s")
@@ -322,6 +326,11 @@ class BoostedTrees:
 
     def resume(self, df: DataFrame) -> BoostedTrees:
         """Goes on from the trees that are there (a saved model's, with its edges) up to n_trees."""
+        if len(self.trees) < self.n_trees and vars(df).get("_stashed") is None:
+            own = stash(df.select(*dict.fromkeys([self.id_col, self.label, *self.features])), "rows")
+            self.resume(own)
+            discard(own)
+            return self
         if self.task == "multi" and not self.classes:
             self.classes = int(df.agg(F.max(self.label)).first()[0]) + 1
         rows = df.select(self.id_col, F.col(self.label).cast("double").alias("_y"), *self.features)

@@ -28,7 +28,8 @@ def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     ends its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/coterie-{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out

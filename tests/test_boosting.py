@@ -216,3 +216,17 @@ def test_packed_bins_and_siblings(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-6)
     with pytest.raises(ValueError, match="no room"):
         crypto.capacity(crypto.Paillier.generate(64, seed=1), 96)
+
+
+def test_rows_are_made_once(spark):
+    """What the rows come from runs once per fit."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(600, numPartitions=3).select("id", (F.col("id") % 7 > 2).cast("int").alias("y"), (F.col("id") % 50).cast("double").alias("a"), F.sin("id").alias("b"))
+    model = trees.BoostedTrees(["a", "b"], "y", "id", n_trees=2, params=trees.TreeParams(max_depth=3, reg_gamma=0.0)).fit(df.mapInArrow(count, df.schema))
+    assert made.value == 600 and len(model.trees) == 2
