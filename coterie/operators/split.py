@@ -99,6 +99,62 @@ def weight_gradient(held: DataFrame, layer: Layer) -> np.ndarray:
     return out
 
 
+def _layer_back(layer: Layer) -> Callable[[pa.RecordBatch], tuple]:
+    """Of batches (id, x, d), d the gradient of the layer's output: the gradients of weights and of x."""
+    w, (act, slope) = layer.weights, ACTIVATIONS[layer.activation]
+
+    def one(b: pa.RecordBatch) -> tuple:
+        x = _with_bias(_rows(b.column(1)))
+        d = _rows(b.column(2)) * slope(act(x @ w))
+        return x.T @ d, d @ w[:-1].T, 0.0
+
+    return one
+
+
+def _bottom_gradient(met: DataFrame, layer: Layer) -> np.ndarray:
+    """The summed gradient of the weights of (id, x, d); nothing is sent on."""
+    one, shape = _layer_back(layer), layer.weights.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            if b.num_rows:
+                total += one(b)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "v"])
+
+    out = np.zeros(shape)
+    for r in met.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # a row per weight
+        out.ravel()[r["k"]] = r["v"]
+    return out
+
+
+def _passed_back(met: DataFrame, name: str, shape: tuple[int, int], one: Callable[[pa.RecordBatch], tuple]) -> tuple[DataFrame, np.ndarray, float, int]:
+    """One pass over met, which begins with an id: one(batch) gives the gradient of the weights, that of the input
+    by row, and the loss. (id, d) as a written table, the summed gradient, loss and rows; a task sends its sums
+    as a row without d."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, n = np.zeros(shape), 0.0, 0
+        for b in batches:
+            if b.num_rows:
+                g, d, own = one(b)
+                total, loss, n = total + g, loss + own, n + b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(d), pa.nulls(b.num_rows, pa.list_(pa.float64()))], ["id", "d", "sums"])
+        sums = pa.array([[*total.ravel(), loss, float(n)]], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.float64())), sums], ["id", "d", "sums"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(met.schema["id"].dataType)
+    told = stash(met.mapInArrow(run, f"id {dict(met.dtypes)['id']}, d array<double>, sums array<double>"), name)
+    out = np.zeros(shape[0] * shape[1] + 2)
+    for r in told.where("sums is not null").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():  # a row per weight
+        out[r["k"]] = r["v"]
+    d = told.where("sums is null").select("id", "d")
+    d._stashed = told._stashed
+    return d, out[:-2].reshape(shape), float(out[-2]), int(out[-1])
+
+
 @dataclass
 class SplitTraining:
     """bottoms: the layers that read features, by party; chain: what follows, the last one with one output
@@ -134,42 +190,57 @@ class SplitTraining:
         return held, x
 
     def step(self, inputs: dict[str, DataFrame], labels: DataFrame) -> float:
-        """One step over (id, x) of each party and (id, y); gives the mean loss before it."""
-        held, x = self._first(inputs)
-        kept = []
-        for layer in self.chain:
-            kept.append(stash(forward(x, layer), "held"))
-            x = kept[-1].select("id", F.col("out").alias("x"))
-        y, s = F.col("y"), F.col("x")[0]
-        # at the holder of the labels; ln(1 + e^s) - y s, in a form that does not overflow
-        told = stash(x.join(labels, "id").select("id", F.array(1 / (1 + F.exp(-s)) - y).alias("d"), (F.greatest(s, F.lit(0.0)) - y * s + F.log1p(F.exp(-F.abs(s)))).alias("loss")), "loss")
-        n, loss = told.agg(F.count("*"), F.sum("loss")).first()
-        if not n:
-            discard(told, *kept, *held.values())
-            return 0.0
-        d, moves, sent = told.select("id", "d"), [], [told, *kept, *held.values()]
-        for layer, own in zip(reversed(self.chain), reversed(kept), strict=True):
-            met = own.join(d, "id")
-            moves.append((layer, weight_gradient(met, layer)))
-            d = stash(backward(met, layer), "gradient")
-            sent.append(d)
-        at = 0
+        """One step over (id, x) of each party and (id, y); gives the mean loss before it. A party keeps what it
+        received, and works its output out again when the gradient comes."""
+        x = None
         for name, layer in self.bottoms.items():
-            width = layer.weights.shape[1]
-            own = d if self.merge == "add" else d.select("id", F.slice("d", at + 1, width).alias("d"))
-            at += width
-            moves.append((layer, weight_gradient(held[name].join(own, "id"), layer)))
-        for layer, g in moves:
-            layer.weights = layer.weights - self.rate * g / n
-        discard(*sent)
-        return loss / n
+            sent = forward(inputs[name], layer).select("id", F.col("out").alias("x" if x is None else "_out"))
+            if x is None:
+                x = sent
+                continue
+            both = F.concat("x", "_out") if self.merge == "concat" else F.zip_with("x", "_out", lambda a, b: a + b)
+            x = x.join(sent, "id").select("id", both.alias("x"))
+        kept = []
+        for layer in self.chain[:-1]:
+            kept.append(stash(x, "received"))
+            x = forward(kept[-1], layer).select("id", F.col("out").alias("x"))
+        head, top = self.chain[-1], ACTIVATIONS[self.chain[-1].activation]
+
+        def at_labels(b: pa.RecordBatch) -> tuple:
+            x, y = _with_bias(_rows(b.column(1))), np.asarray(b.column(2).to_numpy(zero_copy_only=False), float)
+            out = top[0](x @ head.weights)
+            s = out[:, 0]
+            d = (1 / (1 + np.exp(-np.clip(s, -700, 700))) - y)[:, None] * top[1](out)
+            # ln(1 + e^s) - y s, in a form that does not overflow
+            return x.T @ d, d @ head.weights[:-1].T, (np.maximum(s, 0) - y * s + np.log1p(np.exp(-np.abs(s)))).sum()
+
+        d, g, loss, n = _passed_back(x.join(labels.select("id", F.col("y").cast("double").alias("y")), "id"), "gradient", head.weights.shape, at_labels)
+        moves, used = [(head, g)], [d, *kept]
+        if n:
+            for layer, own in zip(reversed(self.chain[:-1]), reversed(kept), strict=True):
+                d, g, _, _ = _passed_back(own.join(d, "id"), "gradient", layer.weights.shape, _layer_back(layer))
+                moves.append((layer, g))
+                used.append(d)
+            at = 0
+            for name, layer in self.bottoms.items():
+                width = layer.weights.shape[1]
+                own = d if self.merge == "add" else d.select("id", F.slice("d", at + 1, width).alias("d"))
+                at += width
+                moves.append((layer, _bottom_gradient(inputs[name].join(own, "id"), layer)))
+            for layer, g in moves:
+                layer.weights = layer.weights - self.rate * g / n
+        discard(*used)
+        return loss / n if n else 0.0
 
     def fit(self, inputs: dict[str, DataFrame], labels: DataFrame) -> SplitTraining:
         """inputs: (id, x) by party, x an array of doubles; labels: (id, y). Rows that a party lacks take no
         part."""
+        named = {x: stash(df, "inputs") for x, df in inputs.items()}  # what they come from runs once
+        own = stash(labels, "labels")
         for _ in range(self.epochs):
             for k in range(self.batches):
-                self.losses.append(self.step({name: self._batch(df, k) for name, df in inputs.items()}, self._batch(labels, k)))
+                self.losses.append(self.step({x: self._batch(df, k) for x, df in named.items()}, self._batch(own, k)))
+        discard(own, *named.values())
         return self
 
     def predict(self, inputs: dict[str, DataFrame]) -> DataFrame:

@@ -173,3 +173,18 @@ def test_clients_of_any_type(spark):
     same = df.withColumn("client_id", F.substring("client_id", 6, 1).cast("long") + 5_000_000_000)
     a, b = (federated.train(d, ["x0", "x1"], "y", rounds=2, rate=0.001, method="scaffold") for d in (df, same))
     assert a == pytest.approx(b) and a != [0, 0]
+
+
+def test_inputs_of_split_training_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(90, numPartitions=2).select("id", F.array(F.sin("id"), F.cos("id")).alias("x"))
+    layers = [split.Layer.random("a", 2, 2, 1), split.Layer.random("b", 2, 2, 2), split.Layer.random("a", 2, 1, 3, "identity")]
+    model = split.SplitTraining({"a": layers[0]}, layers[1:], batches=2, epochs=2)
+    model.fit({"a": df.mapInArrow(count, df.schema)}, df.select("id", (F.col("id") % 2).alias("y")))
+    assert made.value == 90 and len(model.losses) == 4
