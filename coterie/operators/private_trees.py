@@ -134,11 +134,15 @@ class PrivateBoostedTrees:
 
     def fit(self, active: DataFrame, others: dict[str, DataFrame]) -> PrivateBoostedTrees:
         p, i = self.params, self.id_col
+        # what the tables come from runs once
+        given = {x.name: stash(others[x.name].select(*dict.fromkeys([i, *x.features])), "given") for x in self.parties}
         ids = active.select(i)
         for x in self.parties:
-            ids = ids.join(others[x.name].select(i), i, "left_semi")
+            ids = ids.join(given[x.name].select(i), i, "left_semi")
+        ids = stash(ids, "ids")
         rows = stash(active.join(ids, i, "left_semi").select(i, F.col(self.label).cast("double").alias("_y"), *self.features, F.lit(0.0).alias("_s")), "active")
-        own = {x.name: others[x.name].join(ids, i, "left_semi") for x in self.parties}
+        own = {x.name: stash(given[x.name].join(ids, i, "left_semi"), "own") for x in self.parties}
+        discard(ids, *given.values())
         self.edges = self.edges or {c: e[:-1] for c, e in all_tree_edges(rows, self.features, p.max_bin).items()}
         for x in self.parties:
             x.edges = x.edges or {c: e[:-1] for c, e in all_tree_edges(own[x.name], x.features, p.max_bin).items()}
@@ -151,7 +155,7 @@ class PrivateBoostedTrees:
             before, rows = rows, stash(rows.join(at, i).withColumn("_s", F.col("_s") + F.lit(p.rate) * weights[F.col("node")]).drop("node"), "boost")
             discard(before, at)
             self.trees.append(tree)
-        discard(rows, *coded.values())
+        discard(rows, *coded.values(), *own.values())
         return self
 
     def _grow(self, rows: DataFrame, own: dict[str, DataFrame], coded: dict[str, DataFrame]) -> tuple[SharedNode, DataFrame]:
@@ -159,7 +163,8 @@ class PrivateBoostedTrees:
         p, i = self.params, self.id_col
         size = rows.agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("g"), "h")).alias("top")).first()
         bits = crypto.packed_bits(size["n"], size["top"] or 1.0, self.key)
-        sent = stash(rows.select(i, crypto.encrypt_packed([F.col("g"), F.col("h")], self.key, self.key.zeros(self.zeros, base=8), bits).alias("c")), "sent")
+        # ciphers travel as bytes, which take half of what their digits do
+        sent = stash(rows.select(i, F.unhex(crypto.encrypt_packed([F.col("g"), F.col("h")], self.key, self.key.zeros(self.zeros, base=8), bits)).alias("c")), "sent")
         held = {x.name: stash(coded[x.name].join(sent, i), "held") for x in self.parties}
         codes = [F.coalesce(bin_code(F.col(c), self.edges[c]), F.lit(0)).alias(c) for c in self.features]
         plain = rows.select(i, "g", "h", *codes)
@@ -174,7 +179,10 @@ class PrivateBoostedTrees:
                 pairs = [(a, b, c) for a, b, c in kin if b in ids and c in ids]
                 derived = {c for _, _, c in pairs}
                 names = [f"f{j}" for j in range(len(x.features))]
-                direct = held[x.name].join(at.where(F.col("node").isin([v for v in ids if v not in derived])), i)
+                summed = [v for v in ids if v not in derived]
+                # all rows are at the root, so that none has to be placed
+                direct = held[x.name].withColumn("node", F.lit(0)) if level == [root] else held[x.name].join(at.where(F.col("node").isin(summed)), i)
+                direct = direct.withColumn("c", F.lower(F.hex("c")))
                 sums = stash(bin_sums(direct, names, self.key.public), "sums")
                 if pairs:
                     summed, sums = sums, stash(sums.unionByName(sibling_sums(before[x.name], sums, pairs, self.key.public)), "sums")
