@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import merging
 from ..functions.ordered import numbered, quantiles
 from .transform import bin_code, width_edges
 
@@ -95,72 +96,19 @@ def class_crosstab(df: DataFrame, features: Sequence[str], label: str, classes:
 
 def merged_groups(counts, max_group: int) -> list[int]:
     """Places of the first rows of the groups that are left after merging, again and again, the neighbours of
-    least chi-square (the first of equal ones). counts: a row per value in order, a column per class. A heap
-    of pairs over a linked list of groups: a pair is out of date once either of its groups has changed."""
-    import heapq
-
-    import numpy as np
-
-    counts = np.asarray(counts, float)
-    n = len(counts)
-    a, b = counts[:-1], counts[1:]
-    chi, total = np.zeros(max(0, n - 1)), a.sum(1) + b.sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for own in (a, b):
-            e = own.sum(1)[:, None] * (a + b) / total[:, None]
-            chi += np.where(e > 0, (own - e) ** 2 / np.where(e > 0, e, 1), 0).sum(1)
-    rows = [tuple(r) for r in counts.tolist()]
-    after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-    heap = [(x, k, 0, 0) for k, x in enumerate(chi.tolist())]
-    heapq.heapify(heap)
-
-    def pair(u: tuple, v: tuple) -> float:
-        p, q = sum(u), sum(v)
-        out = 0.0
-        for own, size in ((u, p), (v, q)):
-            part = 0.0
-            for o, x, y in zip(own, u, v, strict=True):
-                e = size * (x + y) / (p + q)
-                if e > 0:
-                    part += (o - e) ** 2 / e
-            out += part
-        return out
-
-    for _ in range(n - max_group):
-        while True:
-            _, k, own, other = heapq.heappop(heap)
-            nxt = after[k] if version[k] == own else n
-            if nxt < n and version[nxt] == other:
-                break
-        rows[k] = tuple(x + y for x, y in zip(rows[k], rows[nxt], strict=True))
-        version[k] += 1
-        version[nxt] = -1
-        after[k] = after[nxt]
-        if after[k] < n:
-            before[after[k]] = k
-            heapq.heappush(heap, (pair(rows[k], rows[after[k]]), k, version[k], version[after[k]]))
-        if before[k] >= 0:
-            heapq.heappush(heap, (pair(rows[before[k]], rows[k]), before[k], version[before[k]], version[k]))
-    return [k for k in range(n) if version[k] >= 0]
+    least chi-square (the first of equal ones). counts: a row per value in order, a column per class."""
+    return merging.greedy(counts, range(len(counts)), max_group)[0]
 
 
 def _label_classes(df: DataFrame, label: str) -> list:
     return sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())  # a row per class
 
 
-def chi_merge_all(df: DataFrame, features: Sequence[str], label: str, max_group: int = 5) -> DataFrame:
-    """(feature, grp, low): left edges of each feature's groups. A feature's table of distinct values is one
-    group of one task: it takes their number times its logarithm in time, and the number in memory."""
-
-    def merge(rows):
-        import numpy as np
-        import pandas as pd
-
-        rows = rows.sort_values("value", ignore_index=True)
-        kept = merged_groups(np.array(rows["counts"].tolist()), max_group)
-        return pd.DataFrame({"feature": rows["feature"].iloc[0], "grp": range(1, len(kept) + 1), "low": rows["value"].to_numpy(float)[kept]})
-
-    return class_crosstab(df, features, label, _label_classes(df, label)).groupBy("feature").applyInPandas(merge, "feature string, grp int, low double")
+def chi_merge_all(df: DataFrame, features: Sequence[str], label: str, max_group: int = 5, block: int = merging.BLOCK) -> DataFrame:
+    """(feature, grp, low): left edges of each feature's groups. Blocks of a feature's distinct values are merged by
+    tasks of their own, until four blocks hold what is left."""
+    table = class_crosstab(df, features, label, _label_classes(df, label))
+    return merging.merged(table, max_group, block).withColumnRenamed("value", "low")
 
 
 def chi_merge(df: DataFrame, value: str, label: str, max_group: int = 5) -> DataFrame:
@@ -168,7 +116,7 @@ def chi_merge(df: DataFrame, value: str, label: str, max_group: int = 5) -> Data
     return chi_merge_all(df, [value], label, max_group).drop("feature")
 
 
-def private_chi_merge(passive: DataFrame, active: DataFrame, id_col: str, features: Sequence[str], label: str, key, max_group: int = 5, zeros: int = 32) -> DataFrame:
+def private_chi_merge(passive: DataFrame, active: DataFrame, id_col: str, features: Sequence[str], label: str, key, max_group: int = 5, zeros: int = 32, block: int = merging.BLOCK) -> DataFrame:
     """chi_merge_all() of a passive party's features by labels that it never sees: the active party sends each
     row's class as one cipher of 0s and a 1, the passive one multiplies the ciphers of each value and sends
     them under numbers of features and places of values, and the active one decrypts, merges and tells the
@@ -189,16 +137,9 @@ def private_chi_merge(passive: DataFrame, active: DataFrame, id_col: str, featur
         placed = own if placed is None else placed.unionByName(own)
     placed = stash(placed, "places")
 
-    def merge(rows):
-        import numpy as np
-        import pandas as pd
-
-        rows = rows.sort_values("place", ignore_index=True)
-        kept = merged_groups(np.round(np.array(rows["counts"].tolist())), max_group)
-        return pd.DataFrame({"number": int(rows["number"].iloc[0]), "grp": range(1, len(kept) + 1), "place": rows["place"].to_numpy()[kept]})
-
-    told = placed.select("number", "place", crypto.decrypt_packed(F.col("c"), key, len(classes), bits).alias("counts"))
-    kept = told.groupBy("number").applyInPandas(merge, "number int, grp int, place long")
+    counts = F.transform(crypto.decrypt_packed(F.col("c"), key, len(classes), bits), lambda x: F.round(x))
+    told = placed.select(F.col("number").cast("string").alias("feature"), F.col("place").alias("value"), counts.alias("counts"))
+    kept = merging.merged(told, max_group, block).select(F.col("feature").cast("int").alias("number"), "grp", F.col("value").cast("long").alias("place"))
     named = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("number") + 1)
     return kept.join(placed.select("number", "place", "value"), ["number", "place"]).select(named.alias("feature"), "grp", F.col("value").alias("low"))
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from coterie.functions import crypto
+from coterie.functions import crypto, merging
 from coterie.functions.ordered import numbered
 from coterie.operators import evaluate
 
@@ -49,6 +49,37 @@ def test_many_distinct_values():
     assert time.process_time() - began < 20
 
 
+def shares(kind, n):
+    """Counts of n values: by chance, one class after the other, the same shares all over, one merge after another."""
+    rng = np.random.default_rng(n)
+    if kind == "chance":
+        return np.eye(2)[rng.integers(0, 2, n)] * rng.integers(1, 4, n)[:, None]
+    if kind == "three":
+        return rng.integers(0, 4, (n, 3)) + [[1, 0, 0]]
+    if kind == "step":
+        return np.eye(2)[(np.arange(n) > n // 3).astype(int)]
+    return np.eye(2)[np.arange(n) % 2] if kind == "chain" else np.full((n, 2), 3)
+
+
+@pytest.mark.parametrize("kind", ["chance", "three", "step", "same", "chain"])
+def test_blocks_of_values_equal_one_loop(spark, kind):
+    n, block = 900, 40
+    counts = shares(kind, n).astype(float)
+    table = spark.createDataFrame([("a", float(k), c) for k, c in enumerate(counts.tolist())], "feature string, value double, counts array<double>").repartition(5)
+    table = table.unionByName(table.where("value < 30").withColumn("feature", F.lit("b")))
+    for left in (5,) if kind != "same" else (1, 5):
+        want = [("a", k + 1, float(v)) for k, v in enumerate(merging.greedy(counts, range(n), left)[0])] + [("b", k + 1, float(v)) for k, v in enumerate(merging.greedy(counts[:30], range(30), left)[0])]
+        assert sorted(map(tuple, merging.merged(table, left, block).collect())) == want
+    sizes = {r["feature"]: r["count"] for r in merging.shrunk(table, 5, block).groupBy("feature").count().collect()}
+    assert sizes["b"] == 30 and (sizes["a"] <= 4 * block or kind == "chain")
+
+
+def test_a_cut_is_dropped_once_it_comes_within_the_level():
+    far, near = [(-1.0, 0.0, 9.0, 0.0)], [(-1.0, 0.0, 0.0, 9.0)]
+    assert not merging.crossed(far, near, 2.0)
+    assert merging.crossed(far, [*near, (1.0, 5.0, 9.0, 9.0), (1.5, 6.0, 40.0, 9.0)], 2.0)
+
+
 def test_features_of_two_parties(spark):
     rng = np.random.default_rng(4)
     n = 400
