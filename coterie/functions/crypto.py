@@ -178,6 +178,12 @@ class Paillier:
         return own + [self.add(rng.choice(own), rng.choice(own)) for _ in range(count - len(own))]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly to a few tasks for each core: a file of some MB is read by one task, which would
+    make all ciphers, at milliseconds each, by itself."""
+    return df.repartition(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def encrypt_column(column: Column, key: Paillier, zeros: list[int] | None = None) -> Column:
     """Ciphertexts in hex. With zeros, an encoding is refreshed by one of them instead of a power."""
     public = key.public

@@ -128,7 +128,7 @@ def private_chi_merge(passive: DataFrame, active: DataFrame, id_col: str, featur
     classes = _label_classes(active, label)
     bits = crypto.packed_bits(active.count(), 1.0, key)
     y = [(F.col(label) == F.lit(c)).cast("double") for c in classes]
-    sent = active.where(F.col(label).isNotNull()).select(id_col, crypto.encrypt_packed(y, key, key.zeros(zeros, base=8), bits).alias("c"))
+    sent = crypto.spread(active.where(F.col(label).isNotNull()).select(id_col, label)).select(id_col, crypto.encrypt_packed(y, key, key.zeros(zeros, base=8), bits).alias("c"))
     long = long_form(passive.join(sent, id_col), ["c"], features).where("value is not null")
     sums = stash(crypto.cipher_sum(long.select("feature", "value", "c"), ["feature", "value"], "c", key.public), "values")
     placed = None

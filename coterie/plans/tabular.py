@@ -78,7 +78,8 @@ def blind_intersect(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT s_nationkey, round(sum(s_acctbal), 2) AS total FROM supplier GROUP BY 1")
 def paillier_group_sum(spark: SparkSession, sf: str) -> DataFrame:
     key = crypto.Paillier.generate(512, seed=5)
-    rows = fx.table(spark, sf, "supplier").select("s_nationkey", crypto.encrypt_column(F.col("s_acctbal"), key).alias("total"))
+    rows = crypto.spread(fx.table(spark, sf, "supplier").select("s_nationkey", "s_acctbal"))
+    rows = rows.select("s_nationkey", crypto.encrypt_column(F.col("s_acctbal"), key).alias("total"))
     sums = crypto.cipher_sum(rows, ["s_nationkey"], "total", key)
     return sums.select("s_nationkey", F.round(crypto.decrypt_column(F.col("total"), key), 2).alias("total"))
 

@@ -15,6 +15,7 @@ from coterie.functions.ordered import quantiles, row_numbers, running
 from coterie.operators import clean, evaluate, federated, intersect, kmeans, linear, metrics, neural, select, transform, trees
 from coterie.party import PartyFrame, Role
 from coterie.pipeline import FittedScale, Intersect, Model, Pipeline, Transform
+from coterie.plans import tabular
 from coterie.sources import readers, writers
 from coterie.streaming import drift
 
@@ -208,6 +209,17 @@ def test_cipher_sum_of_groups(spark):
     assert {r.g: r.v for r in got} == {g: sum(i - 7.5 for i in range(60) if i % 3 == g) for g in range(3)}
 
 
+def test_ciphers_of_a_small_file_are_made_by_many_tasks(spark, tmp_path):
+    rows = [(k, k % 25, float(k)) for k in range(640)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    read = spark.read.parquet(str(tmp_path / "supplier.parquet"))
+    dealt = crypto.spread(read).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(dealt) >= 32 and max(r["count"] for r in dealt) < 64
+    sums = tabular.paillier_group_sum(spark, str(tmp_path))
+    assert "RoundRobinPartitioning" in sums._jdf.queryExecution().toString()
+    assert {r.s_nationkey: r.total for r in sums.collect()} == {g: float(sum(range(g, 640, 25))) for g in range(25)}
+
+
 # --- models ---
 
 
