@@ -84,6 +84,13 @@ class SharedNode:
                 yield from x.walk()
 
 
+def matched(a: DataFrame, b: DataFrame, id_col: str, how: str = "inner") -> DataFrame:
+    """A join by id of two tables of rows, which never passes one of them through the driver. Spark judges written
+    tables by the size of their files, which hold ids in order and a few codes in some bytes a row: of millions of rows
+    it would take one for small, gather it and broadcast it."""
+    return a.join(b.hint("merge"), id_col, how)
+
+
 def bin_sums(df: DataFrame, features: Sequence[str], key: crypto.Paillier) -> DataFrame:
     """(node, feature, bin, c, n) of columns node, c (ciphers) and bin codes: what a passive party sums."""
     long = df.select("node", "c", *features).unpivot(["node", "c"], list(features), "feature", "bin")
@@ -138,10 +145,10 @@ class PrivateBoostedTrees:
         given = {x.name: stash(others[x.name].select(*dict.fromkeys([i, *x.features])), "given") for x in self.parties}
         ids = active.select(i)
         for x in self.parties:
-            ids = ids.join(given[x.name].select(i), i, "left_semi")
+            ids = matched(ids, given[x.name].select(i), i, "left_semi")
         ids = stash(ids, "ids")
-        rows = stash(active.join(ids, i, "left_semi").select(i, F.col(self.label).cast("double").alias("_y"), *self.features, F.lit(0.0).alias("_s")), "active")
-        own = {x.name: stash(given[x.name].join(ids, i, "left_semi"), "own") for x in self.parties}
+        rows = stash(matched(active, ids, i, "left_semi").select(i, F.col(self.label).cast("double").alias("_y"), *self.features, F.lit(0.0).alias("_s")), "active")
+        own = {x.name: stash(matched(given[x.name], ids, i, "left_semi"), "own") for x in self.parties}
         discard(ids, *given.values())
         self.edges = self.edges or {c: e[:-1] for c, e in all_tree_edges(rows, self.features, p.max_bin).items()}
         for x in self.parties:
@@ -152,7 +159,7 @@ class PrivateBoostedTrees:
             told = rows.select("*", loss[1].alias("g"), loss[2].alias("h"))
             tree, at = self._grow(told, own, coded)
             weights = F.create_map(*[F.lit(v) for x in tree.walk() if x.left is None for v in (x.node, float(x.weight))])
-            before, rows = rows, stash(rows.join(at, i).withColumn("_s", F.col("_s") + F.lit(p.rate) * weights[F.col("node")]).drop("node"), "boost")
+            before, rows = rows, stash(matched(rows, at, i).withColumn("_s", F.col("_s") + F.lit(p.rate) * weights[F.col("node")]).drop("node"), "boost")
             discard(before, at)
             self.trees.append(tree)
         discard(rows, *coded.values(), *own.values())
@@ -165,7 +172,7 @@ class PrivateBoostedTrees:
         bits = crypto.packed_bits(size["n"], size["top"] or 1.0, self.key)
         # ciphers travel as bytes, which take half of what their digits do
         sent = stash(rows.select(i, F.unhex(crypto.encrypt_packed([F.col("g"), F.col("h")], self.key, self.key.zeros(self.zeros, base=8), bits)).alias("c")), "sent")
-        held = {x.name: stash(coded[x.name].join(sent, i), "held") for x in self.parties}
+        held = {x.name: stash(matched(coded[x.name], sent, i), "held") for x in self.parties}
         codes = [F.coalesce(bin_code(F.col(c), self.edges[c]), F.lit(0)).alias(c) for c in self.features]
         plain = rows.select(i, "g", "h", *codes)
         root = SharedNode(0, size["n"])
@@ -173,7 +180,7 @@ class PrivateBoostedTrees:
         level, kin, before = [root], [], {}
         while level := [x for x in level if x.depth < p.max_depth and x.n >= p.min_samples]:
             ids = [x.node for x in level]
-            found = split_gains(histogram(plain.join(at.where(F.col("node").isin(ids)), i).drop(i), self.features), p.reg_lambda, p.reg_gamma).withColumn("party", F.lit(-1)) if self.features else None
+            found = split_gains(histogram(matched(plain, at.where(F.col("node").isin(ids)), i).drop(i), self.features), p.reg_lambda, p.reg_gamma).withColumn("party", F.lit(-1)) if self.features else None
             for k, x in enumerate(self.parties):
                 # of siblings that both go on, the smaller is summed and the other derived
                 pairs = [(a, b, c) for a, b, c in kin if b in ids and c in ids]
@@ -181,7 +188,7 @@ class PrivateBoostedTrees:
                 names = [f"f{j}" for j in range(len(x.features))]
                 summed = [v for v in ids if v not in derived]
                 # all rows are at the root, so that none has to be placed
-                direct = held[x.name].withColumn("node", F.lit(0)) if level == [root] else held[x.name].join(at.where(F.col("node").isin(summed)), i)
+                direct = held[x.name].withColumn("node", F.lit(0)) if level == [root] else matched(held[x.name], at.where(F.col("node").isin(summed)), i)
                 direct = direct.withColumn("c", F.lower(F.hex("c")))
                 sums = stash(bin_sums(direct, names, self.key.public), "sums")
                 if pairs:
@@ -201,7 +208,7 @@ class PrivateBoostedTrees:
                 discard(placed)
             kin = [(x.node, *sorted((x.left.node, x.right.node), key=lambda v, x=x: (x.left if v == x.left.node else x.right).n)) for x in level]
             level = [y for x in level for y in (x.left, x.right)]
-        sums = {r["node"]: r for r in rows.join(at, i).groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # a row per leaf
+        sums = {r["node"]: r for r in matched(rows, at, i).groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # a row per leaf
         for x in root.walk():
             if x.left is None:
                 x.weight = leaf_weight(sums[x.node]["g"], sums[x.node]["h"], p.reg_lambda) if x.node in sums else 0.0
@@ -227,14 +234,14 @@ class PrivateBoostedTrees:
             right = F.lit(False)
             for x in mine:
                 right = F.when(F.col("node") == x.node, F.coalesce(F.col(x.feature) > F.lit(x.threshold), F.lit(False))).otherwise(right)
-            out.append(at.where(F.col("node").isin([x.node for x in mine])).join(rows.select(i, *self.features), i).select(i, moved(right)))
+            out.append(matched(at.where(F.col("node").isin([x.node for x in mine])), rows.select(i, *self.features), i).select(i, moved(right)))
         for party in self.parties:
             asked = {x.node: x.record for x in level if x.party == party.name}
             if asked:
                 record = F.create_map(*[F.lit(v) for pair in asked.items() for v in pair])[F.col("node")]
                 sent = at.where(F.col("node").isin(list(asked))).select(i, "node", record.alias("_record"))
-                answer = sent.select(i, "_record").join(own[party.name], i).select(i, party.goes_right(F.col("_record")).alias("_right"))
-                out.append(sent.join(answer, i).select(i, moved(F.col("_right"))))
+                answer = matched(sent.select(i, "_record"), own[party.name], i).select(i, party.goes_right(F.col("_record")).alias("_right"))
+                out.append(matched(sent, answer, i).select(i, moved(F.col("_right"))))
         out.append(at.where(~F.col("node").isin([x.node for x in level])))
         first, *more = out
         for x in more:
@@ -257,7 +264,7 @@ class PrivateBoostedTrees:
         that a party does not have goes left at its records."""
         out = active
         for x in self.parties:
-            out = out.join(x.answers(others[x.name], self.id_col).withColumnRenamed("right", f"_right_{x.name}"), self.id_col, "left")
+            out = matched(out, x.answers(others[x.name], self.id_col).withColumnRenamed("right", f"_right_{x.name}"), self.id_col, "left")
         raw = self.raw()
         return out.withColumn("prediction", losses.sigmoid(raw) if self.task == "binary" else raw).drop(*[f"_right_{x.name}" for x in self.parties])
 

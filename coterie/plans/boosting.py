@@ -114,7 +114,7 @@ def _private_model(spark: SparkSession, sf: str, depth: int) -> tuple[private_tr
     others = {c: lines.select("id", c) for c in _TREE}
     parties = [private_trees.PassiveParty(c, [c], {c: _TREE_EDGES[c]}) for c in _TREE]
     model = private_trees.PrivateBoostedTrees(["priority"], "y", "id", parties, _key(), n_trees=1, params=TreeParams(max_depth=depth, reg_gamma=0.0), edges={"priority": [2.0, 3.0]})
-    return model.fit(active, others), active.join(lines.select("id"), "id", "left_semi"), others
+    return model.fit(active, others), private_trees.matched(active, lines.select("id"), "id", "left_semi"), others
 
 
 @query(f"WITH {_PRIVATE} SELECT id, round(1 / (1 + exp(-s[1])), 6) AS prediction FROM s1")

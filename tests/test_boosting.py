@@ -197,6 +197,35 @@ def test_parties_grow_the_plain_trees(spark, three_classes, task):
     assert all(r.threshold < 5 for r in own if r.threshold is not None) and all(r.threshold > 5 for r in kept)
 
 
+@pytest.fixture
+def joins(spark, monkeypatch):
+    """Plan lines of the joins by id in all that is written or collected."""
+    lines = []
+
+    def noted(run):
+        def call(x, *args, **kwargs):
+            lines.extend(line for line in x._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [id#" in line)
+            return run(x, *args, **kwargs)
+
+        return call
+
+    frame = type(spark.range(1))
+    monkeypatch.setattr(private_trees, "stash", noted(private_trees.stash))
+    monkeypatch.setattr(frame, "collect", noted(frame.collect))
+    return lines
+
+
+def test_rows_are_not_broadcast(three_classes, joins):
+    """Tables of rows are small here, as their files may be at any number of rows; none is gathered for a join by id."""
+    df, _, _ = three_classes
+    active, others = split_between_parties(df.withColumn("y", (F.col("y") == 1).cast("int")))
+    parties = [private_trees.PassiveParty("two", ["b", "c"]), private_trees.PassiveParty("three", ["d"])]
+    key = private_trees.crypto.Paillier.generate(256, seed=5)
+    model = private_trees.PrivateBoostedTrees(["a"], "y", "id", parties, key, n_trees=1, params=trees.TreeParams(max_bin=4, max_depth=2, reg_gamma=0.0), zeros=6).fit(active, others)
+    assert len(model.predict(active, others).collect()) == 500
+    assert len(joins) > 10 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_packed_bins_and_siblings(spark):
     key = private_trees.crypto.Paillier.generate(512, seed=6)
     crypto = private_trees.crypto
