@@ -226,6 +226,14 @@ def test_rows_are_not_broadcast(three_classes, joins):
     assert len(joins) > 10 and all("SortMergeJoin" in line for line in joins)
 
 
+def test_query_of_a_private_table_broadcasts_no_rows(spark, joins):
+    from coterie.plans import registry
+
+    kinds = {(r.kind, r.n) for r in registry.QUERIES["private_boost_table"](spark, "/root/testdata/sf0.001").collect()}
+    assert kinds == {("split", 1), ("leaf", 2)}
+    assert len(joins) > 5 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_packed_bins_and_siblings(spark):
     key = private_trees.crypto.Paillier.generate(512, seed=6)
     crypto = private_trees.crypto
