@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The active party's features; FEATURES are the passive party's.
+ACTIVE_FEATURES = ("o_totalprice", "priority")
 FEATURES = ("n_lines", "sum_qty", "avg_disc", "avg_tax", "sum_price")
 
 

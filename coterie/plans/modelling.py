@@ -81,7 +81,7 @@ def chi_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def chi_merge_features(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of all features of both parties, counts and sums alike."""
-    return evaluate.chi_merge_all(fx.joined(spark, sf), fx.FEATURES, "y", 5)
+    return evaluate.chi_merge_all(fx.joined(spark, sf), [*fx.ACTIVE_FEATURES, *fx.FEATURES], "y", 5)
 
 
 _CHI_TWO = "u AS (SELECT 'p_size' AS feature, p_size AS value, CAST(p_retailprice > 1500 AS INTEGER) AS y FROM part UNION ALL SELECT 'letters', length(p_name || p_type), CAST(p_retailprice > 1500 AS INTEGER) FROM part)"

@@ -100,6 +100,22 @@ def test_features_of_two_parties(spark):
     assert evaluate.chi_merge_all(df.limit(0), ["a"], "y").count() == 0
 
 
+def test_query_merges_the_features_of_both_parties(spark):
+    import oracle
+
+    from coterie.plans import fixtures, registry
+
+    sf, want = "/root/testdata/sf0.001", []
+    con = oracle.connect(sf)
+    features = [c for c in con.execute(f"WITH {fixtures.JOINED} SELECT * FROM joined LIMIT 0").df() if c not in ("id", "y")]
+    for c in features:
+        rows = con.execute(f"WITH {fixtures.JOINED} SELECT {c}, count(*) FILTER (y = 0), count(*) FILTER (y = 1) FROM joined GROUP BY 1 ORDER BY 1").fetchall()
+        kept = merging.greedy([r[1:] for r in rows], range(len(rows)), 5)[0]
+        want += [(c, k + 1, float(rows[i][0])) for k, i in enumerate(kept)]
+    assert {"o_totalprice", "priority", "sum_price"} <= set(features)
+    assert sorted(map(tuple, registry.QUERIES["chi_merge_features"](spark, sf).collect())) == sorted(want)
+
+
 def test_rank_correlation_with_nulls(spark):
     rng = np.random.default_rng(6)
     x = np.round(rng.standard_normal((300, 4)), 1)
